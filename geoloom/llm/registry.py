@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import op5_pivotal_mix
+from .packing import op10_slack_packing
 from .sharding import op3_lpt_shards
 from .tokencount import op8_bpe_counts
 
-QUERIES = {q.__name__: q for q in (op3_lpt_shards, op8_bpe_counts)}
+QUERIES = {q.__name__: q for q in (op3_lpt_shards, op5_pivotal_mix, op8_bpe_counts, op10_slack_packing)}
 ORACLE: dict[str, str] = {}
