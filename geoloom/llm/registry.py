@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .licenses import op7_license_scan
 from .mixing import op5_pivotal_mix
 from .packing import op10_slack_packing
+from .pseudonyms import op2_feistel_pseudonyms
+from .quality import op1_importance_resampling
 from .sharding import op3_lpt_shards
 from .tokencount import op8_bpe_counts
 
-QUERIES = {q.__name__: q for q in (op3_lpt_shards, op5_pivotal_mix, op8_bpe_counts, op10_slack_packing)}
+QUERIES = {q.__name__: q for q in (op1_importance_resampling, op2_feistel_pseudonyms, op3_lpt_shards, op5_pivotal_mix, op7_license_scan, op8_bpe_counts, op10_slack_packing)}
 ORACLE: dict[str, str] = {}

@@ -57,22 +57,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of consecutive documents: word i is data[start[i]:end[i]]; those of document d are first[d] .. first[d + 1] - 1."""
+    """Words of consecutive documents: word i is data[start[i]:end[i]]; those of document d are first[d] .. first[d + 1] - 1.
+
+    table gives each byte's class; a word is a run of one class other than 0 (or False).
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
         self.data, self.offsets = data, offsets
-        inside = table[data]
-        edges = offsets[(offsets > 0) & (offsets < len(data))]
-        before = np.empty_like(inside)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        before[edges] = False
-        after = np.empty_like(inside)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        after[edges - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        kind = table[data]
+        cut = np.ones(len(data) + 1, dtype=bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:-1])
+        cut[offsets] = True
+        inside = kind != 0
+        self.start = np.flatnonzero(inside & cut[:-1])
+        self.end = np.flatnonzero(inside & cut[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self, fold: bool = True) -> np.ndarray:
