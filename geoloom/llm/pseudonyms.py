@@ -100,7 +100,7 @@ def luhn_sum(digits: str) -> int:
 
 
 def card(key: bytes, found: str) -> str | None:
-    """13 to 19 digits that pass the Luhn test; the result passes it too."""
+    """13 to 19 digits that pass the Luhn test; the result passes it too. Numbers that fail it are no cards and stay."""
     digits = re.sub(r"\D", "", found)
     if not 13 <= len(digits) <= 19 or luhn_sum(digits) % 10:
         return None
@@ -108,17 +108,6 @@ def card(key: bytes, found: str) -> str | None:
     return _refill(found, _DIGITS, body + str(-luhn_sum(body + "0") % 10))
 
 
-def account(key: bytes, found: str) -> str | None:
-    """13 to 19 digits in a row that are no card: a number of some account, permuted among those of its length that fail the Luhn test."""
-    digits = re.sub(r"\D", "", found)
-    if not 13 <= len(digits) <= 19:
-        return None
-    while True:
-        digits = permuted(key, "account", digits, _DIGITS)
-        if luhn_sum(digits) % 10:
-            return _refill(found, _DIGITS, digits)
-
-
 def ip(key: bytes, found: str) -> str | None:
     """An IPv4 address: four numbers up to 255 without leading zeros."""
     parts = found.split(".")
@@ -226,7 +215,6 @@ KINDS: list[tuple[str, str, Callable[[bytes, str], str | None]]] = [
     ("date", r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z])", date),
     ("social", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", social),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", card),
-    ("account", r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])", account),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])", phone),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])", phone),
 ]
