@@ -52,7 +52,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 2 * CHUNK)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, dtype=np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        _POWERS.clear()
+        for b in (_BASE, pow(_BASE, -1, 2**64)):
+            factors = np.full(size, b, dtype=np.uint64)
+            factors[0] = 1
+            _POWERS.append(np.cumprod(factors))
     return _POWERS[0], _POWERS[1]
 
 
