@@ -15,6 +15,9 @@ from .wordstream import Words, chunks, mix
 #: Labelled rows that the target model and the cut are fitted on, at most: those of the smallest hashes.
 FIT_ROWS = 20_000
 BUCKETS = 10_000
+#: Pseudo-counts of each bucket of the target model on average, spread as the raw model is: they pull
+#: the ratio of what a small sample has hardly seen towards 1.
+SMOOTHING = 30.0
 #: Letters, digits and all bytes beyond ASCII make words; other printable ASCII makes runs of signs.
 _CLASSES = np.zeros(256, dtype=np.uint8)
 _CLASSES[0x21:0x80] = 2
@@ -57,7 +60,7 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log ratios of target to raw by bucket. docs: (id, text); good: (_id), broadcast, at most FIT_ROWS rows.
 
     Raw counts are over all documents, target counts over those in good. The driver gets `buckets`
-    rows. One is added to each raw count, and a share of one in proportion to raw to each target count.
+    rows. One is added to each raw count, and SMOOTHING per bucket, in proportion to raw, to the target counts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +81,7 @@ def fit(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] = r["target"]
     raw /= raw.sum()
-    target += raw * buckets
+    target += raw * buckets * SMOOTHING
     return np.log(target / target.sum()) - np.log(raw)
 
 
