@@ -18,7 +18,9 @@ from .shared import numbered, stored
 from .tokencount import byte_letters, pretokens
 
 #: Pretokens whose ids a worker keeps; the memory is emptied when full.
-KEPT = 300_000
+KEPT = 600_000
+#: Parts in which the rests of a length are numbered; the table of their first numbers has at most window times so many rows.
+REST_SALTS = 64
 
 
 class Ids(dict):
@@ -40,10 +42,9 @@ class Ids(dict):
         return found
 
     def of(self, text: str) -> bytes:
-        cut = pretokens().findall
         if self.special is None or self.special.search(text) is None:
-            return b"".join(map(self.__getitem__, cut(text)))
-        parts = (self.specials.get(part) or b"".join(map(self.__getitem__, cut(part))) for part in self.special.split(text))
+            return b"".join(map(self.__getitem__, pretokens(text)))
+        parts = (self.specials.get(part) or b"".join(map(self.__getitem__, pretokens(part))) for part in self.special.split(text))
         return b"".join(parts)
 
 
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
     plan = spark.createDataFrame(_plan(windows), "_length long, _lo long, _hi long, _k long, _seq long, _off long")
     shared = sum(times for times, _ in windows)
     order = ["doc_id", "doc_tokens", F.element_at("crcs", -1)]
-    rests = numbered(rows.where("rest > 0"), ["rest"], order, "rank", ["doc_id"])
+    rests = numbered(rows.where("rest > 0"), ["rest"], order, "rank", ["doc_id"], salts=REST_SALTS)
     rests = rests.join(F.broadcast(plan), (F.col("rest") == F.col("_length")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
     at = F.col("rank") - F.col("_lo")
     rests = rests.select(

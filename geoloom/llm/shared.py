@@ -50,15 +50,15 @@ def discard(df: DataFrame) -> None:
     discard_path(df.sparkSession, df._geoloom_path)  # noqa: SLF001
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str], out: str, salt_on: list[str], weight: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], order: list[str], out: str, salt_on: list[str], weight: str | None = None, salts: int = SALTS) -> DataFrame:
     """Adds a gapless number from 0 within each group (with weight: the sum of the weights before the row).
 
-    No task sees a whole group: rows go to SALTS parts of their group by a hash of salt_on, the
-    parts' totals (at most groups x SALTS rows) give each part its first number, and a window
+    No task sees a whole group: rows go to `salts` parts of their group by a hash of salt_on, the
+    parts' totals (at most groups x salts rows) give each part its first number, and a window
     numbers the rows of each part. rows is evaluated twice, so pass a stored table.
     """
     value = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(salts)).cast("int"))
     totals = salted.groupBy(*group, "_salt").agg(F.sum(value).alias("_part"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")

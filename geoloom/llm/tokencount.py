@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Counts of pretokens that a worker keeps; the memory is emptied when full.
-KEPT = 400_000
+KEPT = 600_000
 _SHIFT = 20
 
 
-def _ranges(kind: str) -> str:
-    """The inside of a character class of all code points whose category begins with kind."""
+def _ranges(kind: str, below: int) -> str:
+    """The inside of a character class of all code points under `below` whose category begins with kind."""
     out, first, last = [], None, None
-    for code in range(sys.maxunicode + 1):
+    for code in range(below):
         if unicodedata.category(chr(code))[0] != kind:
             continue
         if last is None or code != last + 1:
@@ -35,13 +35,23 @@ def _ranges(kind: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-@lru_cache(1)
-def pretokens() -> re.Pattern:
-    """Byte-level BPE's rule for cutting text before any merge, with explicit classes for letters, numbers and white space."""
-    letter, number, space = _ranges("L"), _ranges("N"), "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+@lru_cache(2)
+def _pattern(below: int) -> re.Pattern:
+    letter, number, space = _ranges("L", below), _ranges("N", below), "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+    if below == 256:
+        space = "\\t-\\r \\x85\\xa0"
     return re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def pretokens(text: str) -> list[str]:
+    """Cuts text by byte-level BPE's rule, with explicit classes for letters, numbers and white space; small classes, which are faster, where they do."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _pattern(sys.maxunicode + 1).findall(text)
+    return _pattern(256).findall(text)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary of a byte-level BPE."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -117,7 +127,7 @@ class Counter(dict):
         return n
 
     def plain(self, text: str) -> int:
-        return sum(map(self.__getitem__, pretokens().findall(text)))
+        return sum(map(self.__getitem__, pretokens(text)))
 
     def count(self, text: str) -> int:
         special = self.merges.special
