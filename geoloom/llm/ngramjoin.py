@@ -24,6 +24,8 @@ MOST = 4
 VERIFY = 16.0
 #: Rounds that link documents to hubs before the remaining candidates are listed, at most.
 STAR_ROUNDS = 6
+#: So many candidate pairs for each row of the lists are listed without more rounds.
+FEW = 4
 #: Bits of the filter that keeps texts of documents without candidates from being shuffled.
 FILTER_BITS = 1 << 23
 
@@ -140,9 +142,10 @@ def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-def _set_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(rep, tokens) for the documents in ids (rep): texts are filtered by bits of fixed size before they are shuffled to the exact join."""
+def _set_table(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(rep, tokens) for the documents in pairs (a, b): texts are filtered by bits of fixed size before they are shuffled to the exact join."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))")
     bits = ids.select(F.floor(place / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
@@ -153,7 +156,7 @@ def _set_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             found = [s.view(np.int64) for _, _, words in chunks(batch.column(1), SPACED) for s in _sets(words, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "tokens"])
 
-    return maybe.join(ids, "rep", "left_semi").mapInArrow(run, f"rep {kind}, tokens array<long>").dropDuplicates(["rep"])
+    return maybe.join(ids, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(run, f"rep {kind}, tokens array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,8 +180,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     much longer; documents in a link share at least the lesser number of the two. Since components
     are asked for, candidates of one component need no verification: documents first link to a hub
     of each prefix shingle's list, in rounds, by neighbouring length classes, and then every
-    candidate pair that is still in two components and shares enough is verified. No list is gathered in one
-    task or row; nothing is capped.
+    candidate pair that is still in two components and shares enough (see _bound, which for two
+    sets of given sizes asks for more than the lesser number) is verified. No list is gathered in
+    one row or in memory; nothing is capped.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(prefixes(docs, sketch(docs.select("text"), size), size, percent), "shingle-sets")
@@ -191,28 +195,28 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     postings = classes.select(F.explode("prefix").alias("token"), "rep", F.col("n").cast("int").alias("n"), "level").repartition("token").sortWithinPartitions("token")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int"), "shingle-lists")
-    token_sets = stored(_set_table(docs, lists.select("rep").distinct(), size), "shingle-tokens")
-
     links: DataFrame | None = None
     group: DataFrame | None = None
     verified: DataFrame | None = None
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    before = None
     for turn in range(STAR_ROUNDS + 1):
-        open_lists = lists if group is None else _in_two_components(lists, group)
-        open_lists = stored(open_lists.withColumn("component", F.col("rep")) if group is None else open_lists, "open-lists")
+        open_lists = lists.withColumn("component", F.col("rep")) if group is None else stored(_in_two_components(lists, group), "open-lists")
         by_component = open_lists.groupBy("token", "component").agg(F.count("*").alias("n"))
         left = by_component.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
         total = left.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         if not total["rows"]:
             break
-        exhaustive = turn == STAR_ROUNDS or total["pairs"] <= 2 * total["rows"]
-        pairs = _candidates(open_lists, by_component, near) if exhaustive else _stars(open_lists, length_class, turn, near)
+        # Hubs go on while they bring the candidates down; then all that is left is listed.
+        exhaustive = turn == STAR_ROUNDS or total["pairs"] <= FEW * total["rows"] or (before is not None and total["pairs"] > 0.7 * before)
+        before = total["pairs"]
+        pairs = _candidates(open_lists, by_component, percent) if exhaustive else _stars(open_lists, length_class, turn, percent)
         pairs = pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
         pairs = stored(pairs, "shingle-pairs")
-        found = stored(_linked(pairs, token_sets, percent), "shingle-links")
+        found = stored(_linked(pairs, _set_table(docs, pairs, size), percent), "shingle-links")
         links = found if links is None else links.unionByName(found)
         verified = pairs if verified is None else verified.unionByName(pairs)
-        discard(open_lists)
+        if group is not None:
+            discard(open_lists)
         group = components(links)
         if exhaustive:
             break
@@ -231,28 +235,47 @@ def _in_two_components(lists: DataFrame, group: DataFrame) -> DataFrame:
     return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "component")
 
 
-def _stars(lists: DataFrame, length_class, turn: int, near) -> DataFrame:
-    """Pairs of a document and the hubs of its lists, of other components; each document keeps the hub it shares most lists with.
+def _near(percent: int):
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+
+
+def _bound(percent: int):
+    """Shingles that the prefixes of two linked documents share, at least.
+
+    Of na and nb shingles at least t are common, with t / (na + nb - t) = percent / 100. The k-th
+    common one is among the first k + na - t of the one and k + nb - t of the other, so all k for
+    which both are within the prefixes, of na - required(na) + la and of nb - required(nb) + lb, are shared.
+    """
+    common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    beyond = [F.col(level) - F.ceil(F.col(n) * percent / 100) for n, level in (("na", "la"), ("nb", "lb"))]
+    return F.greatest(F.lit(1), common + F.least(*beyond))
+
+
+def _stars(lists: DataFrame, length_class, turn: int, percent: int) -> DataFrame:
+    """Pairs of a document and a hub of its lists, of other components; each document keeps the hub it shares most lists with.
 
-    A hub is drawn for each list and each two neighbouring length classes.
+    A hub is drawn for each list and each two neighbouring length classes. As hubs differ between
+    lists, half the shared prefix that a link needs is enough here.
     """
     wide = lists.withColumn("window", F.explode(F.array(length_class, length_class + 1)))
-    hubs = wide.groupBy("token", "window").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("component").alias("hub_component"))).alias("hub"))
-    met = wide.withColumnRenamed("n", "na").join(hubs, ["token", "window"]).select("rep", "na", "component", "hub.hub", "hub.nb", "hub.hub_component").where("component <> hub_component").where(near)
-    shared = met.groupBy("rep", "hub").agg(F.count("*").alias("lists"))
-    best = shared.groupBy("rep").agg(F.max(F.struct("lists", "hub")).alias("best"))
+    drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("hub_component"))
+    hubs = wide.groupBy("token", "window").agg(F.min(drawn).alias("hub"))
+    met = wide.select("token", "window", "rep", F.col("n").alias("na"), F.col("level").alias("la"), "component").join(hubs, ["token", "window"])
+    met = met.select("token", "rep", "na", "la", "component", "hub.hub", "hub.nb", "hub.lb", "hub.hub_component").where("component <> hub_component").where(_near(percent))
+    shared = met.groupBy("rep", "hub", "na", "la", "nb", "lb").agg(F.count("*").alias("lists"))
+    best = shared.where(F.col("lists") >= _bound(percent) / 2).groupBy("rep").agg(F.max(F.struct("lists", "hub")).alias("best"))
     return best.select(F.least("rep", "best.hub").alias("a"), F.greatest("rep", "best.hub").alias("b")).distinct()
 
 
-def _candidates(lists: DataFrame, by_component: DataFrame, near) -> DataFrame:
-    """All pairs of different components whose prefixes share at least the lesser of the numbers they ask for."""
+def _candidates(lists: DataFrame, by_component: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components whose prefixes share as much as a link needs."""
     ca, cb = by_component.select("token", F.col("component").alias("ca")), by_component.select("token", F.col("component").alias("cb"))
     meeting = ca.join(cb, "token").where("ca < cb")
     left = lists.select("token", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("level").alias("la"))
     right = lists.select("token", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("level").alias("lb"))
-    met = meeting.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(near)
-    pairs = met.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("level"))
-    return pairs.where("shared >= level").select("a", "b")
+    met = meeting.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(_near(percent))
+    shared = met.groupBy("ra", "rb", "na", "la", "nb", "lb").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") >= _bound(percent)).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
 
 
 def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
