@@ -15,16 +15,23 @@ from .components import components
 from .shared import discard, stored
 from .wordstream import SPACED, Words, chunks, shingles
 
-#: Counters of the sketch that orders shingles by frequency, in ranges of RANGE. Of fixed size:
-#: any order gives right results, a good one keeps frequent shingles out of prefixes.
-COUNTERS, RANGE = 1 << 20, 1 << 12
+#: Shingles are counted by 32 bits of their hash, in PARTS parts of that space.
+PARTS = 1 << 10
+SPAN = (1 << 32) // PARTS
+#: A shingle's frequency class is the number of these that its count exceeds, beyond the mean count
+#: of its part. Each class has a filter of a fixed number of bits whatever the input: any order of
+#: shingles gives right results, a good one keeps frequent shingles out of prefixes.
+CLASSES = (1, 3, 8, 32, 128, 512, 2048, 8192)
+CLASS_BITS = (1 << 25, 1 << 24, 1 << 23, *[1 << 22] * 5)
+#: Shingles that a task counts before it hands them on.
+FLUSH = 4_000_000
 #: Multiplicity tried for each document: so many shared prefix shingles are asked for, at most.
 MOST = 4
 #: What it costs to verify a candidate, in postings read.
 VERIFY = 16.0
 #: Rounds that link documents to hubs before the remaining candidates are listed, at most.
 STAR_ROUNDS = 6
-#: So many candidate pairs for each row of the lists are listed without more rounds.
+#: Rounds end when so many candidate pairs are left for each row that the lists had.
 FEW = 4
 #: Bits of the filter that keeps texts of documents without candidates from being shuffled.
 FILTER_BITS = 1 << 23
@@ -37,32 +44,104 @@ def _sets(words: Words, size: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(h[lo:hi], size))
 
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents' sets have a shingle in each of COUNTERS buckets, over all documents (text)."""
+def _short(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+def _place(short: np.ndarray, bits: int) -> np.ndarray:
+    return (short.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(bits)
+
+
+def frequent(docs: DataFrame, size: int) -> list[np.ndarray]:
+    """A filter of the frequent shingles of each class, over all documents (text), as bytes of bits.
+
+    Each task sorts the shingles it meets and hands them on as compressed differences by part of the
+    hash space; each part is added up in one array. The driver gets at most sum(CLASS_BITS) / 64 words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.uint32)
+        held: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint32)
+            held.clear()
+            edges = np.searchsorted(every, np.arange(PARTS, dtype=np.uint64) * np.uint64(SPAN))
+            pieces = [(i, np.diff(piece, prepend=np.uint32(i * SPAN))) for i, piece in enumerate(np.split(every, edges[1:])) if len(piece)]
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([zlib.compress(d.astype(np.uint32).tobytes(), 1) for _, d in pieces], pa.binary())], names=["part", "steps"])
+
         for batch in batches:
             for _, _, words in chunks(batch.column(0), SPACED):
-                found = [s for s in _sets(words, size) if len(s)]
-                if found:
-                    np.add(total, np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS), out=total, casting="unsafe")
-        parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in enumerate(total.reshape(-1, RANGE)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["part", "counts"])
+                for s in _sets(words, size):
+                    held.append(_short(s))
+                    n += len(s)
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
+        yield flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}  # at most COUNTERS / RANGE arrays
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zlib.decompress(data), dtype=np.uint32).astype(np.int64)
-                total[part] = total[part] + counts if part in total else counts
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["part", "counts"])
+        at: int | None = None
+        dense: np.ndarray | None = None  # counts of one part, once it has many shingles
+        few: list[np.ndarray] = []
+
+        def found() -> pa.RecordBatch:
+            if dense is None:
+                values, times = np.unique(np.concatenate(few), return_counts=True)
+                mean = float(times.sum()) / SPAN
+            else:
+                mean = float(dense.mean())
+                values = np.flatnonzero(dense > mean + CLASSES[0])
+                times = dense[values]
+            kinds, words, bits = [], [], []
+            for i, least in enumerate(CLASSES):
+                place = np.unique(_place((values[times > mean + least] + at * SPAN).astype(np.uint32), CLASS_BITS[i]))
+                word = (place >> np.uint64(6)).astype(np.int32)
+                starts = np.flatnonzero(np.diff(word, prepend=-1))
+                if len(starts):
+                    bits.append(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), starts).view(np.int64))
+                    words.append(word[starts])
+                    kinds.append(np.full(len(starts), i, dtype=np.int32))
+            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
+            return pa.RecordBatch.from_arrays([pa.array(cat(kinds, np.int32)), pa.array(cat(words, np.int32)), pa.array(cat(bits, np.int64))], names=["kind", "word", "bits"])
 
-    parts = docs.mapInArrow(count, "part int, counts binary").repartition(COUNTERS // RANGE, "part").mapInArrow(add, "part int, counts binary").collect()
-    out = np.zeros((COUNTERS // RANGE, RANGE), dtype=np.int64)
-    for r in parts:
-        out[r["part"]] += np.frombuffer(r["counts"], dtype=np.int64)
-    return out.reshape(-1)
+        for batch in batches:
+            for part, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield found()
+                    at, dense, few = part, None, []
+                few.append(np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.uint32), dtype=np.int64))
+                if dense is not None or sum(map(len, few)) > SPAN // 16:
+                    dense = np.zeros(SPAN, dtype=np.uint32) if dense is None else dense
+                    for hashes in few:
+                        values, times = np.unique(hashes, return_counts=True)
+                        dense[values] += times.astype(np.uint32)
+                    few = []
+        if at is not None:
+            yield found()
+
+    parts = docs.mapInArrow(count, "part int, steps binary").repartition("part").sortWithinPartitions("part")
+    words = parts.mapInArrow(add, "kind int, word int, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    kind, word, bits = (words.column(i).to_numpy() for i in range(3))
+    out = [np.zeros(b // 64, dtype=np.int64) for b in CLASS_BITS]
+    for i, f in enumerate(out):
+        f[word[kind == i]] = bits[kind == i]
+    return [f.view(np.uint8) for f in out]
+
+
+def frequency_class(s: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
+    """How many classes a shingle is in, from the lowest without a gap."""
+    short = _short(s)
+    out = np.zeros(len(s), dtype=np.int64)
+    alive = np.arange(len(s))
+    for f in filters:
+        place = _place(short[alive], len(f) * 8)
+        alive = alive[f[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+        if not len(alive):
+            break
+        out[alive] += 1
+    return out
 
 
 def required(n: int, percent: int) -> int:
@@ -86,14 +165,14 @@ def multiplicity(estimate: np.ndarray, n: int, percent: int) -> int:
     return chosen
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, filters: list[np.ndarray], size: int, percent: int) -> DataFrame:
     """Of every row of docs (doc_id, text): n, a digest of its set (null if empty), its multiplicity and its prefix, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        background = float(table.mean())
+        length = np.array([1.0, *CLASSES])  # of lists, by class
         for batch in batches:
             n, digest, level, prefix = [], [], [], []
             for _, _, words in chunks(batch.column(1), SPACED):
@@ -104,9 +183,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                         level.append(0)
                         prefix.append(s.view(np.int64))
                         continue
-                    frequency = table[(s % np.uint64(COUNTERS)).astype(np.int64)]
-                    order = np.lexsort((s, frequency))
-                    chosen = multiplicity(np.maximum(frequency[order] - background, 1.0), len(s), percent)
+                    frequency = frequency_class(s, table)
+                    order = np.argsort(frequency, kind="stable")
+                    chosen = multiplicity(length[frequency[order]], len(s), percent)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     level.append(chosen)
                     prefix.append(s[order[: len(s) - required(len(s), percent) + chosen]].view(np.int64))
@@ -175,7 +254,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     share a doc_id are one node. A null doc_id has no component but its own null. Other columns are
     not read.
 
-    Shingles are ordered by a sketch of their frequencies over all documents. A document asks for
+    Shingles are ordered by classes of their frequencies over all documents, then by hash. A document asks for
     as many shared prefix shingles as its estimated candidate cost advises and has a prefix that
     much longer; documents in a link share at least the lesser number of the two. Since components
     are asked for, candidates of one component need no verification: documents first link to a hub
@@ -185,7 +264,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     one row or in memory; nothing is capped.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(prefixes(docs, sketch(docs.select("text"), size), size, percent), "shingle-sets")
+    sets = stored(prefixes(docs, frequent(docs.select("text"), size), size, percent), "shingle-sets")
     classes = stored(
         sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix")),
         "shingle-classes",
@@ -198,7 +277,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     links: DataFrame | None = None
     group: DataFrame | None = None
     verified: DataFrame | None = None
-    before = None
+    before = rows = None
     for turn in range(STAR_ROUNDS + 1):
         open_lists = lists.withColumn("component", F.col("rep")) if group is None else stored(_in_two_components(lists, group), "open-lists")
         by_component = open_lists.groupBy("token", "component").agg(F.count("*").alias("n"))
@@ -207,17 +286,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         if not total["rows"]:
             break
         # Hubs go on while they bring the candidates down; then all that is left is listed.
-        exhaustive = turn == STAR_ROUNDS or total["pairs"] <= FEW * total["rows"] or (before is not None and total["pairs"] > 0.7 * before)
-        before = total["pairs"]
+        exhaustive = turn == STAR_ROUNDS or (before is not None and (total["pairs"] <= FEW * rows or total["pairs"] > 0.7 * before))
+        before, rows = total["pairs"], rows or total["rows"]
         pairs = _candidates(open_lists, by_component, percent) if exhaustive else _stars(open_lists, length_class, turn, percent)
         pairs = pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
         pairs = stored(pairs, "shingle-pairs")
         found = stored(_linked(pairs, _set_table(docs, pairs, size), percent), "shingle-links")
-        links = found if links is None else links.unionByName(found)
         verified = pairs if verified is None else verified.unionByName(pairs)
         if group is not None:
             discard(open_lists)
-        group = components(links)
+        if group is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            group = components(links)
         if exhaustive:
             break
     known = classes.select("digest", "rep")
