@@ -2,9 +2,226 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from geoloom.functions import text as tx
+from geoloom.operators import nearest, profile, regions, search, viewport
+from geoloom.operators.viewport import Box
+from geoloom.plans import oracle as o
+from geoloom.sources import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: The view of the viewport queries.
+VIEW = Box(480000000, 80000000, 490000000, 95000000)
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = re.sub(r"\bby\b", '"by"', sql)  # a column; the keyword is in capitals
+        return f
+
+    return add
+
+
+def _distance(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance_m", F.round("distance_m", 3))
+
+
+@query(o.knn(10))
+def knn_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distance(nearest.knn_buildings(derived.event_points(spark, sf_dir), derived.buildings(spark, sf_dir), 10))
+
+
+@query(o.knn(1))
+def knn_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distance(nearest.knn_buildings(derived.event_points(spark, sf_dir), derived.buildings(spark, sf_dir), 1))
+
+
+@query(o.knn(0))
+def knn_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distance(nearest.knn_buildings(derived.event_points(spark, sf_dir), derived.buildings(spark, sf_dir), 0))
+
+
+@query(f"WITH {o.BUILDINGS}, {o.EVENTS}, {o.KNN_PARTS} SELECT query_id, string_agg({o.TYPED}, ', ' ORDER BY d, type_rank, id) AS ids FROM kd WHERE rank <= 10 GROUP BY query_id")
+def revgeo_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.knn_buildings(derived.event_points(spark, sf_dir), derived.buildings(spark, sf_dir), 10)
+    hits = F.sort_array(F.collect_list(F.struct("rank", tx.typed_id(F.col("type_rank"), F.col("id")).alias("t"))))
+    return found.groupBy("query_id").agg(F.array_join(F.transform(hits, lambda h: h["t"]), ", ").alias("ids"))
+
+
+_EDGES = f"{o.AREAS}, {o._EDGE}"  # noqa: SLF001
+_QP = f"qp AS (SELECT query_id, {o.plane()} FROM q)"
+
+
+@query(f"WITH {o.EVENTS}, {_EDGES}, {_QP}, {o.covering('qp', 'query_id')} SELECT query_id, area_type, area_id FROM pip")
+def pip_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, corners = derived.areas(spark, sf_dir)
+    return regions.regions_at(derived.event_points(spark, sf_dir), corners, ["query_id"])
+
+
+@query(
+    f"WITH {o.SITES}, {_EDGES}, {_QP}, {o.covering('qp', 'query_id')}, pairs AS (SELECT query_id, type_rank AS area_type, id AS area_id FROM q, a WHERE admin_level IN (2, 4) UNION ALL SELECT query_id, 9, 9 FROM q)"
+    " SELECT p.query_id, p.area_type, p.area_id, pip.query_id IS NOT NULL AS covers FROM pairs p LEFT JOIN pip USING (query_id, area_type, area_id)"
+)
+def covers_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, corners = derived.areas(spark, sf_dir)
+    some = found.where("admin_level in (2, 4)").select(F.col("type_rank").alias("area_type"), F.col("id").alias("area_id"))
+    unknown = spark.createDataFrame([(9, 9)], "area_type int, area_id long")
+    pairs = derived.supplier_points(spark, sf_dir).join(F.broadcast(some.unionByName(unknown)), F.lit(True))
+    return regions.covers(pairs, corners, ["query_id"]).select("query_id", "area_type", "area_id", "covers")
+
+
+_BP = f"bp AS (SELECT type_rank AS obj_type, id AS obj_id, {o.plane()} FROM b WHERE has_point)"
+
+
+@query(f"WITH {o.BUILDINGS}, {_EDGES}, {_BP}, {o.covering('bp', 'obj_type, obj_id')} SELECT obj_type, obj_id, area_type, area_id FROM pip")
+def memberships_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, corners = derived.areas(spark, sf_dir)
+    points = derived.buildings(spark, sf_dir).where("has_point").select(F.col("type_rank").alias("obj_type"), F.col("id").alias("obj_id"), "lat_e7", "lon_e7")
+    return regions.regions_at(points, corners, ["obj_type", "obj_id"])
+
+
+_ENDS = "ends AS (SELECT id AS street_id, pos AS at, gx, gy FROM svp QUALIFY pos = min(pos) OVER (PARTITION BY id) OR pos = max(pos) OVER (PARTITION BY id))"
+_P = "SELECT s.street_id, s.ax AS px, s.ay AS py, s.bx AS qx, s.by AS qy, e.area_type, e.area_id, e.ax, e.ay, e.bx, e.by FROM sg s, e"
+
+
+@query(
+    f"WITH {o.STREETS}, {_EDGES}, {_ENDS}, {o.covering('ends', 'street_id, at')}, pe AS ({_P} WHERE greatest(s.ax, s.bx) >= least(e.ax, e.bx) AND least(s.ax, s.bx) <= greatest(e.ax, e.bx)"
+    f" AND greatest(s.ay, s.by) >= least(e.ay, e.by) AND least(s.ay, s.by) <= greatest(e.ay, e.by))"
+    f" SELECT DISTINCT street_id, area_type, area_id FROM pe WHERE {o.meets('p', 'q', 'a', 'b')} UNION SELECT street_id, area_type, area_id FROM pip"
+)
+def street_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, corners = derived.areas(spark, sf_dir)
+    return regions.street_regions(derived.street_vertices(spark, sf_dir), corners)
+
+
+_CORNER = "corner AS (SELECT type_rank AS own_type, id AS own_id, ring AS own_ring, is_inner AS own_inner, gx, gy FROM avp WHERE pos = 0)"
+_OVERLAP = f"""WITH {_EDGES}, {_CORNER}, {o.covering('corner', 'own_type, own_id, own_ring, own_inner')},
+pe AS (SELECT s.area_type AS own_type, s.area_id AS own_id, s.ax AS px, s.ay AS py, s.bx AS qx, s.by AS qy, e.area_type, e.area_id, e.ax, e.ay, e.bx, e.by FROM e s, e),
+u AS (SELECT own_type, own_id, area_type, area_id FROM pe WHERE {o.meets('p', 'q', 'a', 'b')} UNION SELECT own_type, own_id, area_type, area_id FROM pip
+  UNION SELECT area_type, area_id, own_type, own_id FROM pip WHERE NOT own_inner)
+SELECT DISTINCT own_type, own_id, area_type, area_id FROM u WHERE own_type <> area_type OR own_id <> area_id"""
+
+
+@query(_OVERLAP)
+def area_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.area_overlap(derived.areas(spark, sf_dir)[1])
+
+
+_QU = f"qu AS (SELECT query_id, {o.unit('q')} FROM q)"
+
+
+@query(f"WITH {o.SITES}, {_QU}, {o.STREETS}, {o.arc('sg', 'street_id')} SELECT query_id, street_id, round(d, 3) AS distance_m FROM nearest")
+def nearest_street(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distance(nearest.nearest_street(derived.supplier_points(spark, sf_dir), derived.street_vertices(spark, sf_dir)).select("query_id", "street_id", "distance_m"))
+
+
+@query(f"WITH {o.EVENTS}, {_QU}, {_EDGES}, {o.arc('e', 'area_type, area_id')} SELECT query_id, round(min(d), 3) AS distance_m FROM nearest GROUP BY query_id")
+def nearest_area_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, corners = derived.areas(spark, sf_dir)
+    return _distance(nearest.nearest_area_edge(derived.event_points(spark, sf_dir), corners).select("query_id", "distance_m"))
+
+
+_IN = f"lat_e7 BETWEEN {VIEW.min_lat} AND {VIEW.max_lat} AND lon_e7 BETWEEN {VIEW.min_lon} AND {VIEW.max_lon}"
+_SHOWN = "type_rank, id, lat_e7, lon_e7, name"
+
+
+@query(f"WITH {o.BUILDINGS} SELECT {_SHOWN} FROM b WHERE has_point AND {_IN} ORDER BY type_rank, id LIMIT 10000")
+def viewport_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.houses(derived.buildings(spark, sf_dir), VIEW).select("type_rank", "id", "lat_e7", "lon_e7", "name")
+
+
+@query(f"WITH {o.BUILDINGS}, n AS (SELECT *, row_number() OVER (ORDER BY type_rank, id) AS n FROM b WHERE has_point AND {_IN}) SELECT {_SHOWN} FROM n WHERE (n - 1) % 5 = 0 ORDER BY type_rank, id LIMIT 4000")
+def viewport_houses_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.houses(derived.buildings(spark, sf_dir), VIEW, 4000, 5).select("type_rank", "id", "lat_e7", "lon_e7", "name")
+
+
+@query(f"WITH {o.BUILDINGS} SELECT least(count(*), 101) AS matched, least(count(*), 100) AS returned, count(*) > 100 AS threshold_reached, count(*) <= 100 AS matched_exact, false AS sampled FROM b WHERE has_point AND {_IN}")
+def viewport_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.house_counts(derived.buildings(spark, sf_dir), VIEW, 100)
+
+
+@query(f"WITH {o.BUILDINGS} SELECT count(*) AS matched, least(count(*), 100) AS returned, count(*) > 100 AS threshold_reached FROM b WHERE has_point AND {_IN}")
+def viewport_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.scan(derived.buildings(spark, sf_dir), VIEW, 100)
+
+
+_X0, _Y0, _X1, _Y1 = (o.num(v) for v in viewport.plane_box(VIEW))
+_MEETS = f"max(gx) >= {_X0} AND min(gx) <= {_X1} AND max(gy) >= {_Y0} AND min(gy) <= {_Y1}"
+
+
+@query(f"WITH {o.STREETS} SELECT id FROM svp GROUP BY id HAVING {_MEETS} ORDER BY id LIMIT 1000")
+def viewport_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viewport.streets(derived.street_vertices(spark, sf_dir), VIEW, 15)
+
+
+@query(
+    f"WITH {_EDGES}, shown AS (SELECT type_rank, id FROM avp GROUP BY ALL HAVING {_MEETS}) SELECT type_rank, id, name, admin_level, area_ord FROM ao JOIN shown USING (type_rank, id)"
+    " WHERE admin_level BETWEEN 0 AND 8 ORDER BY admin_level, area_ord LIMIT 50"
+)
+def viewport_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, corners = derived.areas(spark, sf_dir)
+    return viewport.regions(found, corners, VIEW, 10)
+
+
+SEARCHES = ["RING", "00012", "Blue w", "", "Ärger", "customer#0000000", "the "]
+_VALUES = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEARCHES))
+_FOLD = f"translate({{}}, '{tx.UPPER}', '{tx.LOWER}')"
+
+
+@query(
+    f"""WITH s(line, query) AS (VALUES {_VALUES}), names AS (SELECT 1 AS type_rank, CAST(c_custkey AS BIGINT) AS id, c_name AS name FROM customer UNION ALL SELECT 0, p_partkey, p_name FROM part UNION ALL SELECT 2, doc_id, text FROM documents),
+hits AS (SELECT DISTINCT line, type_rank, id FROM s, names WHERE query <> '' AND contains({_FOLD.format('name')}, {_FOLD.format('query')})),
+joined AS (SELECT line, string_agg({o.TYPED}, ', ' ORDER BY type_rank, id) AS ids FROM hits GROUP BY line)
+SELECT line, query, coalesce(ids, '') AS ids FROM s LEFT JOIN joined USING (line)"""
+)
+def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame(list(enumerate(SEARCHES)), "line int, query string")
+    ways = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("1 type_rank", "cast(c_custkey as bigint) id", "c_name name")
+    nodes = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("0 type_rank", "cast(p_partkey as bigint) id", "p_name name")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("2 type_rank", "cast(doc_id as bigint) id", "text name")
+    return search.name_search(lines, ways, nodes, texts)
+
+
+@query("SELECT coalesce(nullif(o_orderpriority, ''), '<missing>') AS value, count(*) AS cnt FROM orders GROUP BY ALL ORDER BY cnt DESC, value LIMIT 12")
+def inspect_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.top_values(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderpriority")
+
+
+@query("SELECT c_mktsegment, CAST(c_custkey AS BIGINT) AS id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rank FROM customer) WHERE rank <= 3")
+def inspect_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.samples(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_mktsegment", "c_custkey").select("c_mktsegment", F.col("c_custkey").cast("long").alias("id"), "rank")
+
+
+@query(
+    f"""WITH {o.BUILDINGS} SELECT type_rank, id, concat_ws(', ', nullif(concat_ws(' ', street, house_number), ''), nullif(concat_ws(' ', postcode, city), '')) AS shown,
+  street IS NOT NULL OR house_number IS NOT NULL OR postcode IS NOT NULL OR city IS NOT NULL AS addressed, concat_ws(', ', street, house_number, postcode, city) AS full_address,
+  street IS NOT NULL AND house_number IS NOT NULL AND postcode IS NOT NULL AND city IS NOT NULL AS complete FROM b"""
+)
+def address_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.col(c) for c in ("street", "house_number", "postcode", "city")]
+    addressed = F.lit(False)
+    for c in parts:
+        addressed = addressed | tx.filled(c).isNotNull()
+    return derived.buildings(spark, sf_dir).select(
+        "type_rank", "id", tx.display_address(*parts).alias("shown"), addressed.alias("addressed"),
+        tx.full_address(*parts, F.col("state"), F.col("country")).alias("full_address"), tx.address_complete(*parts, F.lit("x")).alias("complete"),
+    )
+
+
+LEVELS = ["8", " 8", "8 ", "+8", "-1", "8;9", "99999", "-32768", "32768", "", "x", None]
+_LEVEL_ROWS = ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(LEVELS))
+
+
+@query(rf"WITH v(i, value) AS (VALUES {_LEVEL_ROWS}) SELECT i, value, coalesce(CASE WHEN regexp_full_match(value, '[ \t\n\x0B\f\r]*[+-]?[0-9]+') THEN try_cast(trim(value) AS SMALLINT) END, -1) AS admin_level FROM v")
+def admin_level_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(LEVELS)), "i int, value string").select("i", "value", tx.admin_level(F.col("value")).cast("int").alias("admin_level"))
