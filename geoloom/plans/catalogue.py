@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import text as tx
-from geoloom.operators import nearest, profile, regions, search, viewport
+from geoloom.operators import describe, extract, nearest, profile, regions, search, viewport
 from geoloom.operators.viewport import Box
 from geoloom.plans import oracle as o
-from geoloom.sources import derived
+from geoloom.sources import derived, textfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -225,3 +225,161 @@ _LEVEL_ROWS = ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in
 @query(rf"WITH v(i, value) AS (VALUES {_LEVEL_ROWS}) SELECT i, value, coalesce(CASE WHEN regexp_full_match(value, '[ \t\n\x0B\f\r]*[+-]?[0-9]+') THEN try_cast(trim(value) AS SMALLINT) END, -1) AS admin_level FROM v")
 def admin_level_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(LEVELS)), "i int, value string").select("i", "value", tx.admin_level(F.col("value")).cast("int").alias("admin_level"))
+
+
+@query(
+    f"""WITH {o.RAW},
+n AS (SELECT count(*) AS nodes, count(*) FILTER (lat_e7 > 900000000) AS invalid_nodes, count(*) FILTER (addressed) AS address_nodes, count(*) FILTER (addressed AND NOT building) AS address_only_nodes,
+  count(*) FILTER (building) AS building_nodes, count(*) FILTER (building AND addressed) AS building_address_nodes FROM rn),
+w AS (SELECT count(*) AS ways, count(*) FILTER (building) AS building_ways, count(*) FILTER (highway) AS street_ways, count(*) FILTER (highway AND named) AS named_streets, count(*) FILTER (highway AND NOT named) AS unnamed_streets,
+  count(*) FILTER (boundary = 'administrative') AS admin_ways, CAST(sum(refs) AS BIGINT) AS way_refs, CAST(coalesce(sum(refs) FILTER (building), 0) AS BIGINT) AS building_refs,
+  CAST(coalesce(sum(refs) FILTER (highway), 0) AS BIGINT) AS street_refs, CAST(coalesce(sum(refs) FILTER (boundary = 'administrative'), 0) AS BIGINT) AS admin_refs FROM rw),
+r AS (SELECT count(*) AS relations, count(*) FILTER (building) AS building_relations, count(*) FILTER (multipolygon) AS multipolygons, count(*) FILTER (boundary = 'administrative') AS admin_relations,
+  count(*) FILTER (boundary = 'administrative' AND NOT named) AS unnamed_admin FROM rr),
+m AS (SELECT count(*) AS members, count(*) FILTER (ref % 3 = 0) AS outer_members, count(*) FILTER (ref % 3 = 1) AS inner_members, count(*) FILTER (ref % 3 = 2) AS other_members FROM mem),
+l AS (SELECT count(*) FILTER (NOT addressed) AS without_address, count(*) FILTER (NOT named) AS without_name FROM (SELECT addressed, named FROM rn WHERE building UNION ALL SELECT false, named FROM rw WHERE building UNION ALL SELECT false, named FROM rr WHERE building))
+SELECT * FROM n, w, r, m, l"""
+)
+def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ways, relations = derived.raw(spark, sf_dir)
+    out = profile.node_counts(nodes)
+    for part in (profile.way_counts(ways), profile.relation_counts(relations), profile.buildings_lacking(nodes, ways, relations)):
+        out = out.join(part, F.lit(True))  # one row each
+    return out
+
+
+@query(f"WITH {o.RAW} SELECT id FROM rn WHERE id IN (SELECT ref FROM refs JOIN needed USING (id))")
+def semi_required_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ways, relations = derived.raw(spark, sf_dir)
+    return extract.required_nodes(nodes, extract.ways_with_geometry(ways, relations)).select("id")
+
+
+@query(f"WITH {o.RAW} SELECT id FROM needed")
+def semi_relation_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ways, relations = derived.raw(spark, sf_dir)
+    return extract.ways_with_geometry(ways, relations).select("id")
+
+
+@query(
+    f"""WITH {o.RAW}, pl AS (SELECT id, pos, lat_e7, lon_e7, coalesce(lat_e7 <= 900000000, false) AS ok FROM refs JOIN needed USING (id) LEFT JOIN (SELECT id AS ref, lat_e7, lon_e7 FROM rn) USING (ref))
+SELECT id, coalesce(string_agg(lat_e7 || ' ' || lon_e7, ', ' ORDER BY pos) FILTER (ok), '') AS points, count(*) FILTER (NOT ok) AS missing FROM pl GROUP BY id"""
+)
+def way_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ways, relations = derived.raw(spark, sf_dir)
+    found = extract.way_geometry(extract.ways_with_geometry(ways, relations), nodes)
+    return found.select("id", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["lat_e7"].cast("string"), p["lon_e7"].cast("string"))), ", ").alias("points"), "missing")
+
+
+@query(
+    f"""WITH {o.RAW}, pt AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS i, count(*) OVER (PARTITION BY id) AS n, lat_e7 AS la, lon_e7 AS lo FROM refs JOIN rw USING (id) JOIN (SELECT id AS ref, lat_e7, lon_e7 FROM rn WHERE lat_e7 <= 900000000) USING (ref) WHERE building),
+rel AS (SELECT *, (lo - first_value(lo) OVER w) / 1e7::DOUBLE AS x, (la - first_value(la) OVER w) / 1e7::DOUBLE AS y, first_value(la) OVER w AS la0, first_value(lo) OVER w AS lo0 FROM pt WINDOW w AS (PARTITION BY id ORDER BY i)),
+st AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM rel WINDOW w AS (PARTITION BY id ORDER BY i)),
+ar AS (SELECT id, any_value(n) AS n, any_value(la0) AS la0, any_value(lo0) AS lo0, arg_max(la, i) = any_value(la0) AND arg_max(lo, i) = any_value(lo0) AS shut, sum(x * y2 - x2 * y) AS w, sum((x + x2) * (x * y2 - x2 * y)) AS cx, sum((y + y2) * (x * y2 - x2 * y)) AS cy,
+  min(la) + max(la) AS la, min(lo) + max(lo) AS lo FROM st GROUP BY id)
+SELECT id, n >= 4 AND shut AND abs(w) >= 1e-12 AS centroid, CASE WHEN n >= 4 AND shut AND abs(w) >= 1e-12 THEN CAST(la0 + round(cy / (3 * w) * 1e7) AS BIGINT) // 10 ELSE la // 2 // 10 END AS lat_e6,
+  CASE WHEN n >= 4 AND shut AND abs(w) >= 1e-12 THEN CAST(lo0 + round(cx / (3 * w) * 1e7) AS BIGINT) // 10 ELSE lo // 2 // 10 END AS lon_e6 FROM ar"""
+)
+def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ways, _ = derived.raw(spark, sf_dir)
+    found = extract.way_geometry(ways.where(tx.has_key("building")), nodes).where(F.size("points") > 0)
+    points = F.col("points")
+    p = extract.representative_point(points)
+    shaped = found.withColumn("centroid", extract.closed(points) & (extract.ring_area(points) >= 1e-12)).withColumn("p", p)
+    return shaped.select("id", "centroid", F.expr("p.lat_e7 div 10").alias("lat_e6"), F.expr("p.lon_e7 div 10").alias("lon_e6"))
+
+
+@query()
+def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(*derived.raw(spark, sf_dir)).stats
+
+
+@query()
+def relation_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ways, relations = derived.raw(spark, sf_dir)
+    needed = extract.ways_with_geometry(ways, relations)
+    return extract.relation_rings(relations, extract.way_geometry(needed, nodes))
+
+
+@query()
+def largest_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(*derived.raw(spark, sf_dir)).buildings.where("type_rank = 2").select("id", "lat_e7", "lon_e7", "has_point")
+
+
+LINES = ["48.732025 9.149272", "48.734109  9.104308", "1 2 3", "91 0", "0 -180.1", "", "nan 1", "  5 6  ", "1e1 -2.5", "x 1", "-90 180", "12"]
+_LINE_ROWS = ", ".join(f"({i}, '{s}')" for i, s in enumerate(LINES))
+
+
+@query(
+    rf"""WITH v(line, value) AS (VALUES {_LINE_ROWS}), p AS (SELECT line, value, regexp_split_to_array(trim(value), '\s+') AS t FROM v),
+d AS (SELECT line, value, len(t) = 2 AS two, CASE WHEN len(t) = 2 AND regexp_full_match(t[1], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(t[1] AS DOUBLE) END AS lat,
+  CASE WHEN len(t) = 2 AND regexp_full_match(t[2], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(t[2] AS DOUBLE) END AS lon FROM p)
+SELECT line, value, coalesce(abs(lat) <= 90 AND abs(lon) <= 180, false) AS ok, CASE WHEN abs(lat) <= 90 AND abs(lon) <= 180 THEN CAST(round(lat * 1e7) AS INT) ELSE 0 END AS lat_e7,
+  CASE WHEN abs(lat) <= 90 AND abs(lon) <= 180 THEN CAST(round(lon * 1e7) AS INT) ELSE 0 END AS lon_e7 FROM d"""
+)
+def parse_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textfiles.parsed_coordinates(spark.createDataFrame(list(enumerate(LINES)), "line int, value string")).select("line", "value", "ok", F.coalesce("lat_e7", F.lit(0)).alias("lat_e7"), F.coalesce("lon_e7", F.lit(0)).alias("lon_e7"))
+
+
+_REVERSE = f"""{o.BUILDINGS}, {o.SITES}, {o.KNN_PARTS}, {o.STREETS}, {o.arc('sg', 'street_id')}, {_EDGES}, {_QP}, {o.covering('qp', 'query_id')},
+near AS (SELECT query_id, 1 AS o, 'building' AS kind, type_rank, id, d FROM kd WHERE rank = 1 UNION ALL SELECT query_id, 2, 'street', 1, street_id, d FROM nearest),
+far AS (SELECT q.query_id, min(d) AS best FROM q LEFT JOIN near USING (query_id) GROUP BY 1 HAVING coalesce(min(d), 1e18) > 1000),
+over AS (SELECT query_id, 0 AS o, 'area' AS kind, area_type AS type_rank, area_id AS id, 0.0 AS d FROM pip JOIN far USING (query_id) JOIN ao ON ao.type_rank = area_type AND ao.id = area_id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY admin_level DESC, area_ord) = 1)"""
+_AREA_ARC = o.arc("e", "area_type, area_id")
+for _name in ("eu", "en", "el", "eh", "f0", "f1", "f2", "f3", "f4", "f5", "nearest"):
+    _AREA_ARC = re.sub(rf"\b{_name}\b", f"{_name}_area", _AREA_ARC)
+
+
+@query(
+    f"""WITH {_REVERSE}, {_AREA_ARC},
+edge AS (SELECT query_id, 0 AS o, 'area' AS kind, area_type AS type_rank, area_id AS id, d FROM nearest_area JOIN far USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM over) AND (best IS NULL OR d < best)),
+every AS (SELECT * FROM near UNION ALL SELECT * FROM over UNION ALL SELECT * FROM edge)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY least(o, 1), d, o) - 1 AS INT) AS place, kind, type_rank, id, round(d, 3) AS distance_m FROM every"""
+)
+def reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest.reverse(derived.supplier_points(spark, sf_dir), derived.tables(spark, sf_dir))
+    return _distance(found).select("query_id", "place", "kind", "type_rank", "id", "distance_m")
+
+
+@query(
+    f"""WITH {o.BUILDINGS}, {o.EVENTS}, {o.KNN_PARTS}, {_EDGES}, hp AS (SELECT query_id, type_rank AS ht, id AS hid, b.street, b.house_number, b.postcode, b.city, {o.plane()} FROM kd JOIN b USING (type_rank, id) WHERE rank = 1),
+{o.covering('hp', 'query_id')}, cx AS (SELECT query_id, area_ord, name, admin_level, postcode FROM pip JOIN ao ON ao.type_rank = area_type AND ao.id = area_id),
+ag AS (SELECT query_id, arg_min(postcode, area_ord) FILTER (postcode IS NOT NULL) AS pc, arg_min(name, area_ord) FILTER (admin_level = 2) AS country, arg_min(name, area_ord) FILTER (admin_level = 4) AS state, arg_min(name, area_ord) FILTER (admin_level = 8) AS town FROM cx GROUP BY 1)
+SELECT query_id, ht AS type_rank, hid AS id, street, house_number, coalesce(postcode, pc) AS postcode, coalesce(city, town) AS city, state, country, concat_ws(', ', street, house_number, coalesce(postcode, pc), coalesce(city, town), state, country) AS full_address,
+  street IS NOT NULL AND house_number IS NOT NULL AND coalesce(postcode, pc) IS NOT NULL AND coalesce(city, town) IS NOT NULL AND country IS NOT NULL AS address_complete FROM hp LEFT JOIN ag USING (query_id)"""
+)
+def reverse_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = derived.tables(spark, sf_dir)
+    hits = nearest.knn_buildings(derived.event_points(spark, sf_dir), tables.buildings, 1).withColumn("kind", F.lit("building")).withColumn("place", F.lit(0))
+    hits = hits.join(tables.buildings.select("type_rank", "id", "lat_e7", "lon_e7"), ["type_rank", "id"])
+    found = describe.hit_addresses(hits.select("query_id", "place", "kind", "type_rank", "id", "lat_e7", "lon_e7"), tables)
+    return found.select("query_id", "type_rank", "id", "street", "house_number", "postcode", "city", "state", "country", "full_address", "address_complete")
+
+
+@query(
+    f"""WITH {o.BUILDINGS}, {_EDGES}, {_BP}, {o.covering('bp', 'obj_type, obj_id')}, m AS (SELECT obj_type, obj_id, area_ord, name || ' (' || admin_level || ')' AS t FROM pip JOIN ao ON ao.type_rank = area_type AND ao.id = area_id)
+SELECT obj_type, obj_id, string_agg(t, ', ' ORDER BY area_ord) AS regions FROM m GROUP BY ALL"""
+)
+def building_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = derived.areas(spark, sf_dir)
+    rows = describe.building_regions(memberships_buildings(spark, sf_dir), found)
+    text = F.transform("regions", lambda r: F.concat(r["name"], F.lit(" ("), r["admin_level"].cast("string"), F.lit(")")))
+    return rows.select("obj_type", "obj_id", F.array_join(text, ", ").alias("regions"))
+
+
+@query()
+def geojson_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = derived.street_vertices(spark, sf_dir)
+    rows = describe.line_geojson(vertices, ["id"]).join(derived.streets(vertices), "id").withColumn("type_rank", F.lit(1))
+    return describe.features(rows, ["name"])
+
+
+@query()
+def geojson_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, corners = derived.areas(spark, sf_dir)
+    return describe.features(describe.area_geojson(corners).join(found, ["type_rank", "id"]), ["name", "admin_level"])
+
+
+@query()
+def simplify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.simplified(derived.street_vertices(spark, sf_dir), ["id"], 12)

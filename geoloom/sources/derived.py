@@ -111,3 +111,29 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     found, corners = areas(spark, sf_dir)
     vertices = street_vertices(spark, sf_dir)
     return Tables(buildings(spark, sf_dir), streets(vertices), vertices, found, corners)
+
+
+def raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw nodes (parts), ways (orders, their lines' parts as refs) and relations (suppliers, their orders as members) with tags."""
+    nodes = _read(spark, sf_dir, "part").selectExpr("cast(p_partkey as bigint) id", "p_name", "p_brand").selectExpr(
+        "id", "case when id % 101 = 0 then 950000000 else 475000000 + (id * 104729) % 22000000 end lat_e7", "75000000 + (id * 1299709) % 30000000 lon_e7",
+        """map_filter(map('building', case when id % 5 = 0 then p_brand end, 'addr:street', case when id % 3 = 0 then concat('Street ', id % 41) end,
+           'addr:housenumber', case when id % 6 = 0 then cast(id % 90 as string) end, 'name', case when id % 7 <> 0 then p_name end), (k, v) -> v is not null) tags""",
+    )
+    lines = _read(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as bigint) id", "cast(l_linenumber as bigint) ln", "cast(l_partkey as bigint) pk", "cast(l_suppkey as bigint) sk")
+    refs = lines.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ln", "pk", "sk"))).alias("l")).selectExpr("id", "transform(l, v -> v.pk) r")
+    ways = refs.selectExpr(
+        "id", "case when id % 2 = 0 then concat(r, array(r[0])) else r end node_refs",
+        """map_filter(map('highway', case when id % 3 = 0 then element_at(array('residential', 'primary', 'service'), cast(id % 7 % 3 as int) + 1) end,
+           'building', case when id % 4 = 0 then 'yes' end, 'name', case when id % 5 <> 0 then concat('Way ', id) end,
+           'boundary', case when id % 11 = 0 then 'administrative' when id % 13 = 0 then 'postal_code' end), (k, v) -> v is not null) tags""",
+    )
+    member = lines.selectExpr("sk", "id", "pk").distinct().where("(id + pk) % 7 = 0").selectExpr("sk", "id").distinct()
+    joined = member.groupBy("sk").agg(F.sort_array(F.collect_list("id")).alias("m"))
+    relations = _read(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) id", "s_name").join(joined, F.col("id") == F.col("sk"), "left").selectExpr(
+        "id", "transform(coalesce(m, array()), v -> struct('way' as type, v as ref, element_at(array('outer', 'inner', ''), cast(v % 3 as int) + 1) as role)) members",
+        """map_filter(map('type', case when id % 2 = 0 then 'multipolygon' else 'boundary' end, 'building', case when id % 3 = 0 then 'yes' end,
+           'boundary', case when id % 5 = 0 then 'administrative' when id % 7 = 0 then 'postal_code' end, 'admin_level', cast(id % 12 as string),
+           'name', case when id % 4 <> 0 then s_name end), (k, v) -> v is not null) tags""",
+    )
+    return nodes, ways, relations

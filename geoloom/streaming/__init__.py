@@ -1 +1 @@
-
+"""Streams of query points against stored tables."""
