@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded_batches, stored
 
 #: Chunks have MIN to MAX bytes (a last one may be shorter) and about MIN + 2 ** BITS on average.
 MIN, MAX, BITS = 256, 8192, 10
@@ -161,6 +161,7 @@ def chunk_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their payload's digest, and repeated rows come back as often as they came. Other columns of docs
     are not read.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

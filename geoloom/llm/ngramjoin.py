@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, stored
+from .shared import bounded_batches, discard, stored
 from .wordstream import SPACED, Words, chunks, shingles
 
 #: Shingles are counted by 32 bits of their hash, in PARTS parts of that space.
@@ -263,6 +263,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     sets of given sizes asks for more than the lesser number) is verified. No list is gathered in
     one row or in memory; nothing is capped.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(prefixes(docs, frequent(docs.select("text"), size), size, percent), "shingle-sets")
     classes = stored(
@@ -271,18 +272,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     )
     # Length classes by the similarity's ratio: documents that link are in one class or in two neighbouring ones.
     length_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9).cast("int")
-    postings = classes.select(F.explode("prefix").alias("token"), "rep", F.col("n").cast("int").alias("n"), "level").repartition("token").sortWithinPartitions("token")
+    # Of two documents in a link the shorter one's shared shingles begin earlier: `early` marks its shorter prefix.
+    early = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + F.col("level")
+    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("n").cast("int").alias("n"), "level")
+    postings = postings.select("token", "rep", "n", "level", early.alias("early")).repartition("token").sortWithinPartitions("token")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int"), "shingle-lists")
+    lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int, early boolean"), "shingle-lists")
     links: DataFrame | None = None
     group: DataFrame | None = None
     verified: DataFrame | None = None
     before = rows = None
     for turn in range(STAR_ROUNDS + 1):
-        open_lists = lists.withColumn("component", F.col("rep")) if group is None else stored(_in_two_components(lists, group), "open-lists")
-        by_component = open_lists.groupBy("token", "component").agg(F.count("*").alias("n"))
-        left = by_component.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-        total = left.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        open_lists = stored(_in_two_components(lists, group), "open-lists")
+        by_component = open_lists.groupBy("token", "component").agg(F.count("*").alias("n"), F.count_if("early").alias("e"))
+        left = by_component.groupBy("token").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum(F.col("n") * F.col("e")).alias("own"))
+        total = left.agg(F.sum(F.col("n") * F.col("e") - F.col("own")).alias("pairs"), F.sum("n").alias("rows")).first()
         if not total["rows"]:
             break
         # Hubs go on while they bring the candidates down; then all that is left is listed.
@@ -293,8 +297,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         pairs = stored(pairs, "shingle-pairs")
         found = stored(_linked(pairs, _set_table(docs, pairs, size), percent), "shingle-links")
         verified = pairs if verified is None else verified.unionByName(pairs)
-        if group is not None:
-            discard(open_lists)
+        discard(open_lists)
         if group is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             group = components(links)
@@ -308,11 +311,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _in_two_components(lists: DataFrame, group: DataFrame) -> DataFrame:
-    """The lists whose documents are not all in one component, with each document's component."""
-    placed = lists.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "component")
+def _in_two_components(lists: DataFrame, group: DataFrame | None) -> DataFrame:
+    """The lists that have an early document and documents of two components, with each document's component."""
+    placed = lists.withColumn("component", F.col("rep")) if group is None else lists.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi and any").select("token")
+    return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "early", "component")
 
 
 def _near(percent: int):
@@ -320,22 +323,22 @@ def _near(percent: int):
 
 
 def _bound(percent: int):
-    """Shingles that the prefixes of two linked documents share, at least.
+    """Shingles that the early prefix of a and the prefix of b share if the two are linked and a is not the longer one, at least.
 
     Of na and nb shingles at least t are common, with t / (na + nb - t) = percent / 100. The k-th
-    common one is among the first k + na - t of the one and k + nb - t of the other, so all k for
-    which both are within the prefixes, of na - required(na) + la and of nb - required(nb) + lb, are shared.
+    common one is among the first k + na - t of the one and k + nb - t of the other, so all k are
+    shared for which both are within the prefixes, of na - ceil(2 percent na / (100 + percent)) + la
+    and of nb - required(nb) + lb. t is at least what is taken from na, as na <= nb, and from nb.
     """
     common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    beyond = [F.col(level) - F.ceil(F.col(n) * percent / 100) for n, level in (("na", "la"), ("nb", "lb"))]
-    return F.greatest(F.lit(1), common + F.least(*beyond))
+    return F.greatest(F.lit(1), common + F.least(F.col("la") - F.ceil(2 * percent * F.col("na") / (100 + percent)), F.col("lb") - F.ceil(F.col("nb") * percent / 100)))
 
 
 def _stars(lists: DataFrame, length_class, turn: int, percent: int) -> DataFrame:
     """Pairs of a document and a hub of its lists, of other components; each document keeps the hub it shares most lists with.
 
     A hub is drawn for each list and each two neighbouring length classes. As hubs differ between
-    lists, half the shared prefix that a link needs is enough here.
+    lists, half the shared shingles that the two ask for are enough here.
     """
     wide = lists.withColumn("window", F.explode(F.array(length_class, length_class + 1)))
     drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("hub_component"))
@@ -343,17 +346,17 @@ def _stars(lists: DataFrame, length_class, turn: int, percent: int) -> DataFrame
     met = wide.select("token", "window", "rep", F.col("n").alias("na"), F.col("level").alias("la"), "component").join(hubs, ["token", "window"])
     met = met.select("token", "rep", "na", "la", "component", "hub.hub", "hub.nb", "hub.lb", "hub.hub_component").where("component <> hub_component").where(_near(percent))
     shared = met.groupBy("rep", "hub", "na", "la", "nb", "lb").agg(F.count("*").alias("lists"))
-    best = shared.where(F.col("lists") >= _bound(percent) / 2).groupBy("rep").agg(F.max(F.struct("lists", "hub")).alias("best"))
+    best = shared.where(F.col("lists") >= F.least("la", "lb") / 2).groupBy("rep").agg(F.max(F.struct("lists", "hub")).alias("best"))
     return best.select(F.least("rep", "best.hub").alias("a"), F.greatest("rep", "best.hub").alias("b")).distinct()
 
 
 def _candidates(lists: DataFrame, by_component: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components whose prefixes share as much as a link needs."""
-    ca, cb = by_component.select("token", F.col("component").alias("ca")), by_component.select("token", F.col("component").alias("cb"))
-    meeting = ca.join(cb, "token").where("ca < cb")
-    left = lists.select("token", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("level").alias("la"))
+    ca, cb = by_component.where("e > 0").select("token", F.col("component").alias("ca")), by_component.select("token", F.col("component").alias("cb"))
+    meeting = ca.join(cb, "token").where("ca <> cb")
+    left = lists.where("early").select("token", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("level").alias("la"))
     right = lists.select("token", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("level").alias("lb"))
-    met = meeting.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where(_near(percent))
+    met = meeting.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ra") < F.col("rb")))).where(_near(percent))
     shared = met.groupBy("ra", "rb", "na", "la", "nb", "lb").agg(F.count("*").alias("shared"))
     return shared.where(F.col("shared") >= _bound(percent)).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import numbered, stored
+from .shared import bounded_batches, numbered, stored
 from .tokencount import byte_letters, pretokens
 
 #: Pretokens whose ids a worker keeps; the memory is emptied when full.
@@ -145,6 +145,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
     rows are packed each. Other columns are not read. The driver sees only how many rests have each
     length (at most window - 1 numbers); rests are numbered within their length in salted parts.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = stored(tokenized(docs, path, window, end_id, id_col, text_col), "pack-tokens").withColumn("full", F.floor(F.col("doc_tokens") / window)).withColumn("rest", F.col("doc_tokens") % window)
     counts = {r["rest"]: r["n"] for r in rows.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded_batches, stored
 from .wordstream import Words, chunks, mix
 
 #: Labelled rows that the target model and the cut are fitted on, at most: those of the smallest hashes.
@@ -147,6 +147,7 @@ class Resampler:
         """docs and labels (doc_id, quality 0 or 1). The number drawn, k, is that of documents whose ratio is at
         least best_cut's; which k those are is drawn by Gumbel top-k of ratio / temperature.
         """
+        bounded_batches(docs.sparkSession)
         spark = docs.sparkSession
         self.temperature, self.seed, self.id_col, self.text_col = temperature, seed, id_col, text_col
         sample = fit_sample(labels, fit_rows)
