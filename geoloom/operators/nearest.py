@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from geoloom.functions import geo
 from geoloom.operators.cells import FINEST, cube, cube_key, projected, segments, sphered
 from geoloom.operators.regions import AREA, area_edges, area_ordinals, regions_at
+from geoloom.plans.settle import settled
 
 #: Slack on bounds, so that rounding never drops a tie.
 SLACK_M = 1e-8
@@ -40,7 +41,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     first = inside.join(leveled, ["level", "cube"]).select("query_id", distance.alias("distance_m"))
     by_distance = Window.partitionBy("query_id").orderBy("distance_m")
     bound = first.withColumn("r", F.row_number().over(by_distance)).where(F.col("r") <= k).groupBy("query_id").agg(F.max("distance_m").alias("bound"))
-    bounded = q.join(bound, "query_id", "left").withColumn("bound", F.col("bound") + SLACK_M)
+    bounded = q.join(settled(bound), "query_id", "left").withColumn("bound", F.col("bound") + SLACK_M)
     return _ranked(_within(bounded, p), k)
 
 
@@ -86,7 +87,7 @@ def nearest_segment(queries: DataFrame, edges: DataFrame, key: list[str]) -> Dat
     """
     ends = edges.select(F.col("alat").alias("lat_e7"), F.col("alon").alias("lon_e7")).unionAll(edges.select("blat", "blon")).distinct()
     ends = ends.withColumn("type_rank", F.lit(0)).withColumn("id", F.col("lat_e7") * F.lit(1 << 32) + F.col("lon_e7"))
-    bound = knn(queries, ends, 1).select("query_id", (F.col("distance_m") + SLACK_M).alias("bound"))
+    bound = settled(knn(queries, ends, 1).select("query_id", (F.col("distance_m") + SLACK_M).alias("bound")))
     q = projected(sphered(queries.select("query_id", "lat_e7", "lon_e7"), "q"), prefix="g").drop("lat_e7", "lon_e7").join(bound, "query_id")
     # The plane stretches by at most 1 / cos^2 of the angle to the centre, here of the disc's far side.
     reach = F.least(F.atan(F.hypot("gx", "gy")) + F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.5707))
@@ -130,14 +131,14 @@ def reverse(queries: DataFrame, tables, far_m: float = 1000.0) -> DataFrame:
     b = b.select("query_id", F.lit(1).alias("order"), F.lit("building").alias("kind"), "type_rank", "id", "distance_m", "lat_e7", "lon_e7")
     s = nearest_street(queries, tables.street_vertices)
     s = s.select("query_id", F.lit(2).alias("order"), F.lit("street").alias("kind"), F.lit(1).alias("type_rank"), F.col("street_id").alias("id"), "distance_m", F.col("plat").alias("lat_e7"), F.col("plon").alias("lon_e7"))
-    near = b.unionByName(s)
+    near = settled(b.unionByName(s))
     best = near.groupBy("query_id").agg(F.min("distance_m").alias("best"))
-    alone = queries.select("query_id", "lat_e7", "lon_e7").join(best, "query_id", "left").where(F.coalesce("best", F.lit(float("inf"))) > far_m)
+    alone = settled(queries.select("query_id", "lat_e7", "lon_e7").join(best, "query_id", "left").where(F.coalesce("best", F.lit(float("inf"))) > far_m))
     ranked = area_ordinals(tables.areas).select(F.col("type_rank").alias("area_type"), F.col("id").alias("area_id"), "admin_level", "area_ord")
     over = regions_at(alone.select("query_id", "lat_e7", "lon_e7"), tables.area_vertices, ["query_id"]).join(ranked, AREA)
-    over = over.groupBy("query_id").agg(F.max(F.struct("admin_level", (-F.col("area_ord")).alias("o"), "area_type", "area_id")).alias("a"))
+    over = settled(over.groupBy("query_id").agg(F.max(F.struct("admin_level", (-F.col("area_ord")).alias("o"), "area_type", "area_id")).alias("a")))
     covered = alone.join(over, "query_id").select("query_id", F.col("a.area_type").alias("type_rank"), F.col("a.area_id").alias("id"), F.lit(0.0).alias("distance_m"), "lat_e7", "lon_e7")
-    rest = alone.join(over, "query_id", "left_anti")
+    rest = settled(alone.join(over, "query_id", "left_anti"))
     edge = nearest_area_edge(rest, tables.area_vertices).join(rest.select("query_id", "best"), "query_id").where("best is null or distance_m < best")
     edge = edge.select("query_id", F.col("area_type").alias("type_rank"), F.col("area_id").alias("id"), "distance_m", F.col("plat").alias("lat_e7"), F.col("plon").alias("lon_e7"))
     area = covered.unionByName(edge).withColumn("order", F.lit(0)).withColumn("kind", F.lit("area"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geo
 from geoloom.operators.cells import CELLS, SLABS, covered, floor_cell, in_cells, projected, segments
+from geoloom.plans.settle import settled
 
 AREA = ["area_type", "area_id"]
 
@@ -20,7 +21,7 @@ def area_ordinals(areas: DataFrame) -> DataFrame:
 def area_edges(area_vertices: DataFrame) -> DataFrame:
     """Edges of all rings in the plane. Ring corners do not repeat the first."""
     edges = segments(area_vertices, ["type_rank", "id", "component", "ring", "is_inner"], closed=True)
-    return edges.withColumnsRenamed({"type_rank": "area_type", "id": "area_id"})
+    return settled(edges.withColumnsRenamed({"type_rank": "area_type", "id": "area_id"}))
 
 
 def _slabs(edges: DataFrame) -> DataFrame:

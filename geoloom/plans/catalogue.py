@@ -90,12 +90,12 @@ def memberships_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.regions_at(points, corners, ["obj_type", "obj_id"])
 
 
-_ENDS = "ends AS (SELECT id AS street_id, pos AS at, gx, gy FROM svp QUALIFY pos = min(pos) OVER (PARTITION BY id) OR pos = max(pos) OVER (PARTITION BY id))"
+_ENDS = "ends AS (SELECT id AS street_id, pos AS spot, gx, gy FROM svp QUALIFY pos = min(pos) OVER (PARTITION BY id) OR pos = max(pos) OVER (PARTITION BY id))"
 _P = "SELECT s.street_id, s.ax AS px, s.ay AS py, s.bx AS qx, s.by AS qy, e.area_type, e.area_id, e.ax, e.ay, e.bx, e.by FROM sg s, e"
 
 
 @query(
-    f"WITH {o.STREETS}, {_EDGES}, {_ENDS}, {o.covering('ends', 'street_id, at')}, pe AS ({_P} WHERE greatest(s.ax, s.bx) >= least(e.ax, e.bx) AND least(s.ax, s.bx) <= greatest(e.ax, e.bx)"
+    f"WITH {o.STREETS}, {_EDGES}, {_ENDS}, {o.covering('ends', 'street_id, spot')}, pe AS ({_P} WHERE greatest(s.ax, s.bx) >= least(e.ax, e.bx) AND least(s.ax, s.bx) <= greatest(e.ax, e.bx)"
     f" AND greatest(s.ay, s.by) >= least(e.ay, e.by) AND least(s.ay, s.by) <= greatest(e.ay, e.by))"
     f" SELECT DISTINCT street_id, area_type, area_id FROM pe WHERE {o.meets('p', 'q', 'a', 'b')} UNION SELECT street_id, area_type, area_id FROM pip"
 )
