@@ -87,10 +87,10 @@ def vector_to_e7(v: Vector) -> tuple[Column, Column]:
 
 
 def gnomonic(lat_e7: Column, lon_e7: Column) -> tuple[Column, Column]:
-    """Plane coordinates; fails for points on or beyond the horizon of the centre."""
+    """Plane coordinates, null without a point; fails for points on or beyond the horizon of the centre."""
     u = unit(lat_e7, lon_e7)
     c = dot(u, constant(CENTRE))
-    c = F.when(c > number(HORIZON), c).otherwise(F.raise_error(F.lit("a point lies outside the hemisphere that is supported")).cast("double"))
+    c = F.when(c.isNull() | (c > number(HORIZON)), c).otherwise(F.raise_error(F.lit("a point lies outside the hemisphere that is supported")).cast("double"))
     return dot(u, constant(EAST)) / c, dot(u, constant(NORTH)) / c
 
 
