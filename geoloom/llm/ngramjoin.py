@@ -166,7 +166,7 @@ def multiplicity(estimate: np.ndarray, n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, filters: list[np.ndarray], size: int, percent: int) -> DataFrame:
-    """Of every row of docs (doc_id, text): n, a digest of its set (null if empty), its multiplicity and its prefix, rarest first."""
+    """Of every row of docs (doc_id, text): n, a digest of its set (null if empty), its multiplicity, how many in a thousand of its shingles no other set seems to have, and its prefix, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -174,13 +174,14 @@ def prefixes(docs: DataFrame, filters: list[np.ndarray], size: int, percent: int
         table = shared.value
         length = np.array([1.0, *CLASSES])  # of lists, by class
         for batch in batches:
-            n, digest, level, prefix = [], [], [], []
+            n, digest, level, rare, prefix = [], [], [], [], []
             for _, _, words in chunks(batch.column(1), SPACED):
                 for s in _sets(words, size):
                     n.append(len(s))
                     if not len(s):
                         digest.append(None)
                         level.append(0)
+                        rare.append(0)
                         prefix.append(s.view(np.int64))
                         continue
                     frequency = frequency_class(s, table)
@@ -188,15 +189,16 @@ def prefixes(docs: DataFrame, filters: list[np.ndarray], size: int, percent: int
                     chosen = multiplicity(length[frequency[order]], len(s), percent)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     level.append(chosen)
+                    rare.append(1000 * int(np.count_nonzero(frequency == 0)) // len(s))
                     prefix.append(s[order[: len(s) - required(len(s), percent) + chosen]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "digest", "level", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["doc_id", "n", "digest", "level", "rare", "prefix"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, digest binary, level int, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, digest binary, level int, rare int, prefix array<long>")
 
 
 def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +269,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = stored(prefixes(docs, frequent(docs.select("text"), size), size, percent), "shingle-sets")
     classes = stored(
-        sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix")),
+        sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")),
         "shingle-classes",
     )
     # Length classes by the similarity's ratio: documents that link are in one class or in two neighbouring ones.
     length_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9).cast("int")
     # Of two documents in a link the shorter one's shared shingles begin earlier: `early` marks its shorter prefix.
     early = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + F.col("level")
-    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("n").cast("int").alias("n"), "level")
-    postings = postings.select("token", "rep", "n", "level", early.alias("early")).repartition("token").sortWithinPartitions("token")
+    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("n").cast("int").alias("n"), "level", "rare")
+    postings = postings.select("token", "rep", "n", "level", "rare", early.alias("early")).repartition("token").sortWithinPartitions("token")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int, early boolean"), "shingle-lists")
+    lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int, rare int, early boolean"), "shingle-lists")
     links: DataFrame | None = None
     group: DataFrame | None = None
     verified: DataFrame | None = None
@@ -315,7 +317,7 @@ def _in_two_components(lists: DataFrame, group: DataFrame | None) -> DataFrame:
     """The lists that have an early document and documents of two components, with each document's component."""
     placed = lists.withColumn("component", F.col("rep")) if group is None else lists.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi and any").select("token")
-    return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "early", "component")
+    return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "rare", "early", "component")
 
 
 def _near(percent: int):
@@ -337,11 +339,13 @@ def _bound(percent: int):
 def _stars(lists: DataFrame, length_class, turn: int, percent: int) -> DataFrame:
     """Pairs of a document and a hub of its lists, of other components; each document keeps the hub it shares most lists with.
 
-    A hub is drawn for each list and each two neighbouring length classes. As hubs differ between
+    Each list and each two neighbouring length classes have a hub: in the first round the document
+    with the least share of shingles of its own, as the source of edited copies has, later one that
+    the round draws. As hubs differ between
     lists, half the shared shingles that the two ask for are enough here.
     """
     wide = lists.withColumn("window", F.explode(F.array(length_class, length_class + 1)))
-    drawn = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("hub_component"))
+    drawn = F.struct((F.lit(0) if turn else F.col("rare")).alias("rare"), F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("hub_component"))
     hubs = wide.groupBy("token", "window").agg(F.min(drawn).alias("hub"))
     met = wide.select("token", "window", "rep", F.col("n").alias("na"), F.col("level").alias("la"), "component").join(hubs, ["token", "window"])
     met = met.select("token", "rep", "na", "la", "component", "hub.hub", "hub.nb", "hub.lb", "hub.hub_component").where("component <> hub_component").where(_near(percent))
