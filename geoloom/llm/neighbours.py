@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import stored
 
-#: Independent codes, each after a rotation of its own.
-CODES = 3
+#: Independent codes, each after a rotation of its own: so many at least, and as many as RECALL takes.
+CODES, MOST_CODES = 3, 256
+#: Of SAMPLED random pairs whose cosine is just the threshold, so many meet in a filter.
+RECALL, SAMPLED = 0.97, 300
 #: Filters of a code that a vector exceeds, about.
 LISTED = 32
 
@@ -38,7 +39,34 @@ def code_size(n: int) -> int:
     return max(8, math.ceil(2 * math.sqrt(n)))
 
 
-def decoded(x: np.ndarray, size: int, codes: int = CODES, listed: float = LISTED) -> Iterator[tuple[int, np.ndarray]]:
+@lru_cache(64)
+def cap_height(dim: int, share: float) -> float:
+    """The height that a random unit vector's product with a fixed one exceeds with probability share (at most a half).
+
+    A filter has length 1, so this holds for product codes as for any. The angle from the equator
+    has density cos(angle) ** (dim - 2), summed here from the pole down.
+    """
+    angle = np.linspace(0.0, math.pi / 2, 200_001)
+    tail = np.cumsum((np.cos(angle) ** (dim - 2))[::-1])[::-1]
+    return math.sin(angle[np.flatnonzero(tail >= 2 * share * tail[0])[-1]])
+
+
+def codes_needed(dim: int, size: int, least: float, listed: float = LISTED) -> int:
+    """The least number of codes, from CODES, by which RECALL of SAMPLED random pairs at cosine `least` share a filter."""
+    rng = np.random.Generator(np.random.PCG64([dim, size]))
+    x, y = unit(rng.normal(size=(SAMPLED, dim))), rng.normal(size=(SAMPLED, dim))
+    y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    y = least * x + math.sqrt(max(0.0, 1 - least**2)) * y
+    met = np.zeros(SAMPLED, dtype=bool)
+    for code in range(MOST_CODES):
+        for (i, f), (_, g) in zip(decoded(x, size, range(code, code + 1), listed), decoded(y, size, range(code, code + 1), listed), strict=True):
+            met[i] |= bool(np.isin(f, g).any())
+        if code + 1 >= CODES and met.mean() >= RECALL:
+            return code + 1
+    raise ValueError(f"{MOST_CODES} codes do not find {RECALL} of the pairs at cosine {least} in {dim} dimensions; say how many codes to take, or list more filters")
+
+
+def decoded(x: np.ndarray, size: int, codes: Iterable[int] = range(CODES), listed: float = LISTED) -> Iterator[tuple[int, np.ndarray]]:
     """For each unit vector (row of x) the numbers of all filters that its product with them exceeds the cap's height.
 
     The height is such that random vectors exceed `listed` of the size * size filters of a code. Of
@@ -46,8 +74,8 @@ def decoded(x: np.ndarray, size: int, codes: int = CODES, listed: float = LISTED
     """
     n, dim = x.shape
     share = min(0.5, listed / size**2)
-    height = NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
-    for code in range(codes):
+    height = cap_height(dim, share)
+    for code in codes:
         rotation, first, second = _code(dim, size, code)
         y = x @ rotation.T
         a, b = y[:, : dim - dim // 2] @ first.T, y[:, dim - dim // 2 :] @ second.T
@@ -70,14 +98,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", codes: int = CODES, listed: float = LISTED) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", codes: int | None = None, listed: float = LISTED) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; rows link when labels are equal and the cosine is at least `least`.
 
     Rows without label, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing; so do vectors of different length. Equal vectors of one label are
-    one class and link with each other; classes are compared by their caps. Of links at 0.93 or
-    more the caps find about 98 in 100 or more (measured in the tests); every link found is verified in
-    double precision, so none below is returned. Repeated rows are rows of their own; rows that
+    one class and link with each other; classes are compared by their caps. Links of fewer than 8
+    dimensions are all found. Of others the caps find about RECALL or more whatever the number of
+    rows: unless codes is given, as many codes are taken as that needs, by a sample of pairs at
+    `least` for each length of vectors. Every link found is verified in double precision, so none
+    below is returned. Repeated rows are rows of their own; rows that
     share an id share links. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -87,6 +117,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     rows = rows.withColumn("usable", usable)
     classes = stored(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     size = code_size(classes.count())
+    lengths = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
+    taken = {d: codes or codes_needed(d, size, least, listed) for d in lengths if d >= 8}
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +129,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 x = unit(_matrix(own.column(1)))
                 for lo in range(0, len(x), 1024):
                     owner, found = [], []
-                    for i, f in decoded(x[lo : lo + 1024], size, codes, listed) if dim >= 8 else ((i, np.zeros(1, dtype=np.int64)) for i in range(len(x[lo : lo + 1024]))):
+                    for i, f in decoded(x[lo : lo + 1024], size, range(taken[dim]), listed) if dim >= 8 else ((i, np.zeros(1, dtype=np.int64)) for i in range(len(x[lo : lo + 1024]))):
                         owner.append(np.full(len(f), lo + i))
                         found.append(f)
                     owners = own.take(pa.array(np.concatenate(owner)))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from geoloom.llm import components, neighbours, ngramjoin
 
@@ -99,3 +100,18 @@ def test_caps_find_links_at_the_threshold(spark):
     assert all(by[i][0].n_links == 0 and by[i][0].kept for i in (*range(9000, 9006), 9009))
     assert [(r.n_links, r.component_id, r.kept) for r in by[9006] + by[9007] + by[9008]] == [(3, 9006, True), (3, 9006, False), (3, 9006, False), (3, 9006, False)]
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000, 1_000_000, 10_000_000, 30_000_000])
+def test_caps_find_links_among_any_number_of_vectors(n):
+    rng, size = np.random.default_rng(n), neighbours.code_size(n)
+    x, y = _unit(rng, 200), _unit(rng, 200)
+    y -= (y * x).sum(1, keepdims=True) * x
+    z = 0.931 * x + np.sqrt(1 - 0.931**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    codes = range(neighbours.codes_needed(64, size, 0.93))
+    listed, met = np.zeros(200), np.zeros(200, dtype=bool)
+    for (i, f), (_, g) in zip(neighbours.decoded(x, size, codes), neighbours.decoded(z, size, codes), strict=True):
+        listed[i] += len(f)
+        met[i] |= bool(np.isin(f, g).any())
+    assert 0.8 < listed.mean() / len(codes) / neighbours.LISTED < 1.2 and listed.min() > 0
+    assert met.mean() >= 0.95
