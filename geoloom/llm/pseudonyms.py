@@ -206,7 +206,8 @@ def secret(key: bytes, found: str) -> str | None:
 
 
 #: Kinds in order: at one place the first that matches and validates holds. Each pattern begins with
-#: a digit, a sign or a letter before which no letter or digit stands.
+#: a digit, a sign or a letter before which no letter or digit stands. That of cards matches whole
+#: runs of groups of digits, of which cards() takes the groups that are cards.
 KINDS: list[tuple[str, str, Callable[[bytes, str], str | None]]] = [
     ("email", r"[^\s@<>()\[\],;:\"'|]+@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,24}", email),
     ("secret", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])", secret),
@@ -214,7 +215,7 @@ KINDS: list[tuple[str, str, Callable[[bytes, str], str | None]]] = [
     ("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", ip),
     ("date", r"(?<![0-9A-Za-z])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z])", date),
     ("social", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", social),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", card),
+    ("card", r"(?<![0-9A-Za-z])[0-9]+(?:[ -][0-9]+)*(?![0-9A-Za-z])", card),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])", phone),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])", phone),
 ]
@@ -226,24 +227,88 @@ def _patterns() -> list[tuple[str, re.Pattern, Callable[[bytes, str], str | None
     return [(name, re.compile(pattern), f) for name, pattern, f in KINDS]
 
 
+_GROUP = re.compile(r"[0-9]+")
+_HEAD = re.compile(r"[0-9A-Za-z]*[^0-9A-Za-z]*")
+#: How the digits of cards are grouped in print. Such a grouping is taken before any other one.
+SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1), (4, 4, 4, 4, 3)}
+
+
+def cards(key: bytes, text: str, lo: int, hi: int, free: Callable[[int, int], bool]) -> list[tuple[int, int, str]]:
+    """The cards of a run of groups of digits: of all groups in a row that make one, first those of a card's usual grouping, then the longest, then the first."""
+    groups = [m.span() for m in _GROUP.finditer(text, lo, hi)]
+    found = []
+    for i, (a, _) in enumerate(groups):
+        digits = ""
+        for j in range(i, len(groups)):
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            b = groups[j][1]
+            if len(digits) >= 13 and luhn_sum(digits) % 10 == 0 and free(a, b):
+                usual = i == j or tuple(y - x for x, y in groups[i : j + 1]) in SHAPES
+                found.append((not usual, -len(digits), a, b))
+    out: list[tuple[int, int, str]] = []
+    taken = bytearray(hi - lo) if found else b""
+    for _, _, a, b in sorted(found):
+        if taken.find(1, a - lo, b - lo) < 0:
+            taken[a - lo : b - lo] = b"\1" * (b - a)
+            out.append((a, b, card(key, text[a:b])))
+    return out
+
+
 _MAYBE = re.compile(r"[0-9]{3}|@|\.[0-9]|[0-9a-fA-F]{32}")
 
 
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
-    """Values found: (start, end, kind, pseudonym), in order and without overlap. Of two that overlap the one whose kind stands first holds."""
+    """Values found: (start, end, kind, pseudonym), in order and without overlap. Of two that overlap the one whose kind stands first holds.
+
+    Where a match does not validate or overlaps what is taken, shorter and later ones in it are tried:
+    the search goes on one group of letters or digits after its start. Numbers grouped as cards that
+    fail the Luhn test stay as they are, so no phone is sought in them.
+    """
     if _MAYBE.search(text) is None:
         return []
     taken: list[tuple[int, int, str, str]] = []
+    covered = bytearray(len(text))
+
+    def free(lo: int, hi: int) -> bool:
+        return covered.find(1, lo, hi) < 0
+
+    def take(lo: int, hi: int, name: str, fresh: str) -> None:
+        taken.append((lo, hi, name, fresh))
+        covered[lo:hi] = b"\1" * (hi - lo)
+
+    barred: list[tuple[int, int]] = []
     for name, pattern, f in _patterns():
         if name == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        if name == "phone":  # numbers grouped as cards that are none
+            for lo, hi in barred:
+                covered[lo:hi] = b"\1" * (hi - lo)
+        at = 0
+        while m := pattern.search(text, at):
             lo, hi = m.span()
-            if any(lo < b and a < hi for a, b, _, _ in taken):
+            at = hi
+            if name == "card":
+                got = cards(key, text, lo, hi, free)
+                for a, b, fresh in got:
+                    take(a, b, name, fresh)
+                if not got and tuple(map(len, _GROUP.findall(m.group(0)))) in SHAPES:
+                    barred.append((lo, hi))
                 continue
-            fresh = f(key, m.group(0))
-            if fresh is not None:
-                taken.append((lo, hi, name, fresh))
+            ends = [hi]
+            if name == "iban":  # words of capitals or numbers may follow it
+                ends += [lo + i for i in range(hi - lo - 1, 14, -1) if text[lo + i] == " "]
+            for end in ends:
+                fresh = f(key, text[lo:end]) if free(lo, end) else None
+                if fresh is not None:
+                    take(lo, end, name, fresh)
+                    at = end
+                    break
+            else:
+                at = max(lo + 1, _HEAD.match(text, lo).end())
+                while at > lo + 1 and text[at - 1] in "+(":  # signs that a phone begins with
+                    at -= 1
     return sorted(taken)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -50,6 +51,23 @@ def test_pseudonyms_of_a_table(spark):
     assert pseudonyms.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, kinds, clear",
+    [
+        ("4111 1111 1111 1111 12/26", "card", "4111"), ("4111111111111111 123", "card", "4111111111111111"), ("order 12 4111-1111-1111-1111", "card", "4111"),
+        ("10.1.2.173 4111111111111111", "ip,card", "4111111111111111"), ("2020-02-29 4111 1111 1111 1111 29.02.2020", "date,card,date", "4111"),
+        ("4111111111111111 5500005555555559", "card,card", "5555555559"), ("3782 822463 10005 1234", "card", "822463"),
+        ("4111 1111 1111 1111 555-123-4567", "card,phone", "123-4567"), ("BE68 5390 0754 7034 PAID", "iban", "0754"), ("2020-02-29 555 123 4567", "date,phone", "123 4567"),
+        ("300.1.1.1 +1 (212) 555-0100", "phone", "555-0100"), ("4111 1111 1111 1112", "", "none"), ("99-01-2024-03-04", "date", "2024"),
+    ],
+)
+def test_values_beside_numbers_are_found(text, kinds, clear):
+    found = pseudonyms.spans(text, KEY)
+    assert ",".join(k for _, _, k, _ in found) == kinds
+    assert all(text[a:b] != fresh for a, b, _, fresh in found)
+    assert clear not in pseudonyms.replaced(text, found)
+
+
 def test_templates():
     def labels(text):
         words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower().encode())
