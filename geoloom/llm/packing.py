@@ -8,9 +8,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -121,53 +122,84 @@ def _plan(windows: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
 
 
 def tokenized(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, doc_tokens (with the end) and the CRC of each cut of window ids, for every row."""
+    """row (a number of its own), doc_id, doc_tokens (with the end), the ids in cuts of window, and the CRC of the last cut, for every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = ids_of(path), array("I", [end_id]).tobytes()
         for batch in batches:
-            sizes, crcs = [], []
-            for text in batch.column(1):
+            datas, sizes, tails, inner, outer, at = [], [], [], [0], [0], 0
+            for text in batch.column(2):
                 data = (ids.of(text.as_py()) if text.is_valid else b"") + end
-                sizes.append(len(data) // 4)
-                crcs.append([zlib.crc32(data[i : i + 4 * window]) for i in range(0, len(data), 4 * window)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+                n = len(data) // 4
+                datas.append(data)
+                sizes.append(n)
+                tails.append(zlib.crc32(data[(n - 1) // window * window * 4 :]))
+                inner.extend(at + i for i in range(window, n, window))
+                at += n
+                inner.append(at)
+                outer.append(len(inner) - 1)
+            values = pa.array(np.frombuffer(b"".join(datas), dtype=np.int32))
+            cuts = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), cuts, pa.array(tails, pa.int64())], names=["row", "doc_id", "doc_tokens", "cuts", "tail"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"doc_id {kind}, doc_tokens long, crcs array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(cut, f"row long, doc_id {kind}, doc_tokens long, cuts array<array<int>>, tail long")
+
+
+def with_checksum(pieces: DataFrame) -> DataFrame:
+    """pieces and, after ids, ids_crc32: the CRC of ids as little-endian 32-bit numbers."""
+    at = pieces.columns.index("ids") + 1
+    columns = [*pieces.columns[:at], "ids_crc32", *pieces.columns[at:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(at - 1)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            crcs = pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], crcs, *batch.columns[at:]], names=columns)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema} | {"ids_crc32": "long"}
+    return pieces.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Packs every row into sequences of at most window tokens; one row per piece.
+    """Packs every row into sequences of at most window tokens; one row per piece, with its ids.
 
     A document's ids, then end_id, are cut into full windows, which are sequences of their own, and
     a rest, which goes where minimum_slack says. A null or empty text is the end alone. Repeated
-    rows are packed each. Other columns are not read. The driver sees only how many rests have each
+    rows are packed each. Other columns are not read. A sequence is the ids of its pieces by offset.
+    ids_crc32 is a piece's checksum, made of ids. The driver sees only how many rests have each
     length (at most window - 1 numbers); rests are numbered within their length in salted parts.
+    Places are found without the ids, which are joined to them once.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = stored(tokenized(docs, path, window, end_id, id_col, text_col), "pack-tokens").withColumn("full", F.floor(F.col("doc_tokens") / window)).withColumn("rest", F.col("doc_tokens") % window)
-    counts = {r["rest"]: r["n"] for r in rows.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
+    light = rows.drop("cuts")
+    counts = {r["rest"]: r["n"] for r in light.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     windows = minimum_slack(counts, window)
     plan = spark.createDataFrame(_plan(windows), "_length long, _lo long, _hi long, _k long, _seq long, _off long")
     shared = sum(times for times, _ in windows)
-    order = ["doc_id", "doc_tokens", F.element_at("crcs", -1)]
-    rests = numbered(rows.where("rest > 0"), ["rest"], order, "rank", ["doc_id"], salts=REST_SALTS)
+    order = ["doc_id", "doc_tokens", "tail"]
+    rests = numbered(light.where("rest > 0"), ["rest"], order, "rank", ["doc_id"], salts=REST_SALTS)
     rests = rests.join(F.broadcast(plan), (F.col("rest") == F.col("_length")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
     at = F.col("rank") - F.col("_lo")
-    rests = rests.select(
-        "doc_id", (F.col("full") * window).alias("start"), F.col("rest").alias("length"), F.element_at("crcs", -1).alias("ids_crc32"), "doc_tokens",
-        (F.col("_seq") + F.floor(at / F.col("_k"))).alias("sequence_id"), (F.col("_off") + at % F.col("_k") * F.col("rest")).alias("offset"),
-    )
-    fulls = numbered(rows.where("full > 0"), [], order, "_before", ["doc_id"], weight="full")
-    fulls = fulls.select("doc_id", "doc_tokens", "_before", F.posexplode(F.slice("crcs", F.lit(1), F.col("full").cast("int"))).alias("_i", "ids_crc32"))
-    fulls = fulls.select(
-        "doc_id", (F.col("_i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens",
-        (F.lit(shared).cast("long") + F.col("_before") + F.col("_i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-    )
-    return rests.unionByName(fulls)
+    rests = rests.select("row", (F.col("_seq") + F.floor(at / F.col("_k"))).alias("_rest_sequence"), (F.col("_off") + at % F.col("_k") * F.col("rest")).alias("_rest_offset"))
+    fulls = numbered(light.where("full > 0"), [], order, "_before", ["doc_id"], weight="full").select("row", "_before")
+    placed = rows.join(rests, "row", "left").join(fulls, "row", "left")
+
+    def piece(ids: Column, i: Column) -> Column:
+        whole = i < F.col("full")
+        return F.struct(
+            (i.cast("long") * window).alias("start"), F.size(ids).cast("long").alias("length"), ids.alias("ids"),
+            F.when(whole, F.lit(shared).cast("long") + F.col("_before") + i).otherwise(F.col("_rest_sequence")).alias("sequence_id"),
+            F.when(whole, F.lit(0).cast("long")).otherwise(F.col("_rest_offset")).alias("offset"),
+        )
+
+    pieces = placed.select("doc_id", "doc_tokens", F.inline(F.transform("cuts", piece)))
+    return with_checksum(pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"))
 
 
 def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

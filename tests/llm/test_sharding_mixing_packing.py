@@ -1,10 +1,12 @@
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from geoloom.llm import mixing, packing, sharding
 
@@ -126,3 +128,17 @@ def test_pack(spark):
     five = [r for r in out if r.doc_id == 5]
     assert len(five) == 2 and five[0].ids_crc32 == five[1].ids_crc32
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_packed_ids_are_the_documents(spark):
+    rows = [(i, f"text {i} with words " * (i % 120)) for i in range(150)] + [(900, None), (901, ""), (5, "text 5 with words " * 5), (None, "no id")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, window=64).collect()
+    tokenizer, found, want = Tokenizer.from_file(PATH), defaultdict(list), Counter()
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want.update((doc_id, len(ids), at, tuple(ids[at : at + 64])) for at in range(0, len(ids), 64))
+    assert Counter((r.doc_id, r.doc_tokens, r.start, tuple(r.ids)) for r in out) == want
+    for r in out:
+        assert len(r.ids) == r.length and zlib.crc32(array("I", r.ids).tobytes()) == r.ids_crc32
+        found[r.sequence_id].append((r.offset, r.length))
+    assert sorted(found) == list(range(len(found))) and all(sum(n for _, n in pieces) <= 64 for pieces in found.values())
