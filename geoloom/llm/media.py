@@ -101,11 +101,10 @@ def feature(samples: bytes) -> str:
 _COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int, n_shared int"
 
 
-def described(n_bytes: int, chunks: list[tuple[bytes, bytes]], n_shared: int) -> tuple:
-    """Builds the stored form, reads it back and describes what was read."""
-    media = container(n_bytes, chunks)
+def described(media: bytes, n_chunks: int, n_shared: int) -> tuple:
+    """Reads a stored form back and describes what was read."""
     n_bytes, data = opened(media)
-    return n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(data), len(chunks), n_shared
+    return n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(data), n_chunks, n_shared
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -118,15 +117,24 @@ def _positions(digest: bytes) -> tuple[int, int]:
     return a % FILTER_BITS, b % FILTER_BITS
 
 
-def chunk_lists(docs: DataFrame) -> DataFrame:
-    """(seq, digest) of every chunk of every row of docs (doc_id, text)."""
+def chunk_lists(rows: DataFrame) -> DataFrame:
+    """The list table: row, doc_id, n_bytes, n_seq, seq and digest of every chunk of every row of rows (row, doc_id, text)."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [d for text in _texts(batch.column(1)) for d, _ in chunked(payload(text))]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary())], names=["digest"])
+            at, sizes, counts, seqs, digests = [], [], [], [], []
+            for i, text in enumerate(_texts(batch.column(2))):
+                own = [d for d, _ in chunked(payload(text))]
+                at += [i] * len(own)
+                sizes += [len(text)] * len(own)
+                counts += [len(own)] * len(own)
+                seqs += range(len(own))
+                digests += own
+            owners = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([owners.column(0), owners.column(1), pa.array(sizes, pa.int64()), pa.array(counts, pa.int32()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary())], names=["row", "doc_id", "n_bytes", "n_seq", "seq", "digest"])
 
-    return docs.mapInArrow(run, "digest binary")
+    return rows.mapInArrow(run, f"row long, doc_id {kinds['doc_id']}, n_bytes long, n_seq int, seq int, digest binary")
 
 
 def shared_filter(digests: DataFrame) -> np.ndarray:
@@ -145,69 +153,63 @@ def shared_filter(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def chunk_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every row's text as deduplicated chunks, rebuilds it from its chunk list and describes it.
-
-    1. Digests of all chunks are counted; those that occur more than once go into a Bloom filter of
-       fixed size.
-    2. A row none of whose chunks passes the filter keeps them as its own: its container is made and
-       read back where the row is. All other rows hand over their chunks, compressed.
-    3. The chunks handed over are stored once for each digest, and joined back to the ordered lists
-       (row, seq, digest) by digest; each row's container is made from what the store returns, in
-       order, and read back, which verifies every digest.
-
-    A false positive of the filter only moves a row from the first way to the second. Null and empty
-    texts are one block of zeros. Equal texts get equal values. Rows of one id are told apart by
-    their payload's digest, and repeated rows come back as often as they came. Other columns of docs
-    are not read.
+def chunk_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two tables that together are the media of docs: ordered lists of chunks, and every chunk once.
+
+    lists: row (a number of each row of docs), doc_id, n_bytes (of the text), n_seq (its chunks),
+    seq, digest. chunks: digest, data (the chunk, compressed by zlib), uses (places in lists).
+    Digests that occur more than once in lists go into a Bloom filter of fixed size; only chunks
+    that pass it are brought together by digest, as the others are there once. A false positive of
+    the filter only moves a chunk.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    bits = spark.sparkContext.broadcast(shared_filter(chunk_lists(rows)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lists = stored(chunk_lists(rows), "media-lists")
+    bits = spark.sparkContext.broadcast(shared_filter(lists.select("digest")))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value.view(np.uint64)
-        schema = pa.schema([("doc_id", batch_type(kind)), ("key", pa.binary()), ("seq", pa.int32()), ("n_seq", pa.int32()), ("size", pa.int64()), ("digest", pa.binary()), ("data", pa.binary()), ("done", _DONE)])
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
-                data = payload(text)
-                chunks = chunked(data)
-                n_shared = sum(all(int(table[p >> 6]) >> (p & 63) & 1 for p in _positions(d)) for d, _ in chunks)
-                if not n_shared:
-                    out.append((doc_id, None, None, None, None, None, None, dict(zip(_NAMES, described(len(text), chunks, 0), strict=True))))
-                    continue
-                key = hashlib.blake2b(data + struct.pack("<Q", len(text)), digest_size=16).digest()
-                out.extend((doc_id, key, i, len(chunks), len(text), d, zlib.compress(b, 1), None) for i, (d, b) in enumerate(chunks))
-                if len(out) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    went = stored(rows.mapInArrow(first, f"doc_id {kind}, key binary, seq int, n_seq int, size long, digest binary, data binary, done struct<{_COLUMNS.replace(' ', ': ').replace(',: ', ', ')}>"), "media-chunks")
-    own = went.where("done is not null").select("doc_id", "done.*")
-    moved = went.where("done is null")
-    store = moved.groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("uses"))
-    lists = moved.groupBy("doc_id", "key", "seq", "digest").agg(F.count("*").alias("times"), F.first("n_seq").alias("n_seq"), F.first("size").alias("size"))
-    fetched = lists.join(store, "digest").groupBy("doc_id", "key").agg(F.first("times").alias("times"), F.first("size").alias("size"), F.first("n_seq").alias("n_seq"), F.sort_array(F.collect_list(F.struct("seq", "digest", "data", "uses"))).alias("chunks"))
+            chunks = [c for text in _texts(batch.column(0)) for c in chunked(payload(text))]
+            met = [all(int(table[p >> 6]) >> (p & 63) & 1 for p in _positions(d)) for d, _ in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chunks], pa.binary()), pa.array([zlib.compress(b, 1) for _, b in chunks], pa.binary()), pa.array(met, pa.bool_())], names=["digest", "data", "met"])
+
+    found = stored(rows.select("text").mapInArrow(pieces, "digest binary, data binary, met boolean"), "media-chunks")
+    once = found.where("not met").select("digest", "data", F.lit(1).cast("long").alias("uses"))
+    return lists, once.unionByName(found.where("met").groupBy("digest").agg(F.first("data").alias("data"), F.count("*").alias("uses")))
+
+
+def rebuilt_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
+    """row, doc_id, what described() says and media, the stored form, of every row of lists, made of what chunks has for its digests, in order, and read back."""
+    kind = lists.schema["doc_id"].dataType.simpleString()
+    fetched = lists.join(chunks, "digest", "left").groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.first("n_seq").alias("n_seq"), F.sort_array(F.collect_list(F.struct("seq", "digest", "data", "uses"))).alias("chunks")
+    )
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for r in batch.to_pylist():
-                if len(r["chunks"]) != r["n_seq"]:
+            found, media = [], []
+            for r in batch.select(["n_bytes", "n_seq", "chunks"]).to_pylist():
+                if len(r["chunks"]) != r["n_seq"] or any(c["data"] is None for c in r["chunks"]):
                     raise ValueError("a chunk is missing")
                 chunks = [(c["digest"], zlib.decompress(c["data"])) for c in r["chunks"]]
-                done = described(r["size"], chunks, sum(c["uses"] > 1 for c in r["chunks"]))
-                ids += [r["doc_id"]] * r["times"]
-                found += [done] * r["times"]
+                media.append(container(r["n_bytes"], chunks))
+                found.append(described(media[-1], len(chunks), sum(c["uses"] > 1 for c in r["chunks"])))
             columns = list(zip(*found, strict=True)) or [[]] * len(_NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("doc_id").type), *[pa.array(c, f.type) for c, f in zip(columns, _DONE, strict=True)]], names=["doc_id", *_NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, f.type) for c, f in zip(columns, _DONE, strict=True)], pa.array(media, pa.binary())], names=["row", "doc_id", *_NAMES, "media"])
+
+    return fetched.mapInArrow(rebuilt, f"row long, doc_id {kind}, {_COLUMNS}, media binary")
 
-    return own.unionByName(fetched.mapInArrow(rebuilt, f"doc_id {kind}, {_COLUMNS}"))
+
+def chunk_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores every row's text as deduplicated chunks, rebuilds its media from its chunk list and describes it.
+
+    The media are in the column media, for opened(); chunk_store() has the tables they are made of.
+    Null and empty texts are one block of zeros. Equal texts get equal values, and repeated rows
+    come back as often as they came. Other columns of docs are not read.
+    """
+    return rebuilt_media(*chunk_store(docs, id_col, text_col)).drop("row")
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -215,9 +217,5 @@ _DONE = pa.struct([(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in
 _NAMES = [f.name for f in _DONE]
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def op9_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return chunk_media(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("media")

@@ -128,6 +128,22 @@ def test_media(spark):
     assert media.chunk_media(docs.limit(0)).count() == 0
 
 
+def test_media_are_stored_and_come_back(spark):
+    long = "some passage of text " * 500
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, "head " + long), (5, "alone ü"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lists, chunks = (t.collect() for t in media.chunk_store(docs))
+    store = {bytes(c.digest): zlib.decompress(c.data) for c in chunks}
+    assert len(store) == len(chunks) and sum(c.uses for c in chunks) == len(lists)
+    texts = {}
+    for r in sorted(lists, key=lambda r: (r.row, r.seq)):
+        texts.setdefault(r.row, [r.doc_id, r.n_bytes, b""])[2] += store[bytes(r.digest)]
+    want = sorted((i or 0, (t or "").encode()) for i, t in rows)
+    assert sorted((i or 0, data[:n]) for i, n, data in texts.values()) == want
+    out = media.chunk_media(docs).collect()
+    assert sorted((r.doc_id or 0, media.opened(r.media)[1][: r.n_bytes]) for r in out) == want
+
+
 def test_kth_largest(spark):
     keys = [5, -3, 2**62, -(2**63), 2**63 - 1, 5, 0]
     df = spark.createDataFrame([(k,) for k in keys], "key long")
