@@ -3,38 +3,40 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, discard, stored
-from .wordstream import SPACED, Words, chunks, shingles
-
-#: Shingles are counted by 32 bits of their hash, in PARTS parts of that space.
-PARTS = 1 << 10
-SPAN = (1 << 32) // PARTS
-#: A shingle's frequency class is the number of these that its count exceeds, beyond the mean count
-#: of its part. Each class has a filter of a fixed number of bits whatever the input: any order of
-#: shingles gives right results, a good one keeps frequent shingles out of prefixes.
-CLASSES = (1, 3, 8, 32, 128, 512, 2048, 8192)
-CLASS_BITS = (1 << 25, 1 << 24, 1 << 23, *[1 << 22] * 5)
+from .shared import bounded_batches, collecting, discard, discard_path, maybe_among, stored
+from .wordstream import SPACED, Words, chunks, mix, shingles
+
+#: A shingle's frequency class is the number of these, from the first on, that its count over all
+#: documents exceeds. Any order of shingles gives right results, a good one keeps frequent shingles out of prefixes.
+CLASSES = (1, 3, 8, 32, 128, 512, 2048, 8192, 1 << 17, 1 << 21, 1 << 25, 1 << 29)
+#: Bits of the filter of each class: a bit for every shingle over these, and at most the second number whatever the input.
+CLASS_SHARE = (1, 4, 8, *[16] * 9)
+CLASS_MOST = (1 << 28, 1 << 26, 1 << 25, *[1 << 22] * 9)
+#: Shingles are counted in cells of their hash, 2 ** CELL_BITS for each that is expected, in parts of about PART shingles.
+CELL_BITS, PART = 8, 1 << 21
 #: Shingles that a task counts before it hands them on.
 FLUSH = 4_000_000
 #: Multiplicity tried for each document: so many shared prefix shingles are asked for, at most.
 MOST = 4
 #: What it costs to verify a candidate, in postings read.
 VERIFY = 16.0
-#: Rounds that link documents to hubs before the remaining candidates are listed, at most.
-STAR_ROUNDS = 6
-#: Rounds end when so many candidate pairs are left for each row that the lists had.
-FEW = 4
-#: Bits of the filter that keeps texts of documents without candidates from being shuffled.
-FILTER_BITS = 1 << 23
+#: Prefix shingles of each document, those of the least hashes, by which it looks for a hub.
+PICKS = 8
+#: Rounds that link documents to hubs before the remaining candidates are listed: at most so many,
+#: and no more once listing meets at most FEW times as many pairs as lists have rows.
+HUB_ROUNDS, FEW = 4, 4
+#: Length buckets of candidate lists for each factor of 100 / percent.
+FINE = 4
 
 
 def _sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -44,36 +46,71 @@ def _sets(words: Words, size: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(h[lo:hi], size))
 
 
-def _short(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(32)).astype(np.uint32)
+class Frequencies:
+    """Filters of the shingles in each frequency class.
 
+    A shingle that the first filter does not have is in one document's set only: filters err on the
+    side of having a shingle. expected: about how many shingles all documents have together; it
+    decides on sizes, not on results.
+    """
+
+    def __init__(self, expected: int):
+        expected = max(1 << 16, expected)
+        self.width = min(60, math.ceil(math.log2(expected)) + CELL_BITS)
+        self.part_bits = min(18, max(6, math.ceil(math.log2(expected / PART))))
+        self.bits = [min(most, -(-expected // share // 64) * 64) for share, most in zip(CLASS_SHARE, CLASS_MOST, strict=True)]
+        self.tables: list[np.ndarray] = []
+
+    def cells(self, s: np.ndarray) -> np.ndarray:
+        return s >> np.uint64(64 - self.width)
 
-def _place(short: np.ndarray, bits: int) -> np.ndarray:
-    return (short.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(bits)
+    def place(self, cells: np.ndarray, kind: int) -> np.ndarray:
+        return mix(cells) % np.uint64(self.bits[kind])
 
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """The frequency class of each shingle: how many filters have it, from the first without a gap."""
+        cells = self.cells(s)
+        out = np.zeros(len(s), dtype=np.int64)
+        alive = np.arange(len(s))
+        for kind, table in enumerate(self.tables):
+            place = self.place(cells[alive], kind)
+            alive = alive[table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+            if not len(alive):
+                break
+            out[alive] += 1
+        return out
 
-def frequent(docs: DataFrame, size: int) -> list[np.ndarray]:
-    """A filter of the frequent shingles of each class, over all documents (text), as bytes of bits.
+
+def frequencies(docs: DataFrame, size: int) -> Frequencies:
+    """Counts the shingles of all documents (text).
 
     Each task sorts the shingles it meets and hands them on as compressed differences by part of the
-    hash space; each part is added up in one array. The driver gets at most sum(CLASS_BITS) / 64 words.
+    hash space; the parts are counted apart, and the driver gets the filters' bits only.
     """
+    expected = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
+    out = Frequencies(expected)
+    starts = np.arange(1 << out.part_bits, dtype=np.uint64) << np.uint64(out.width - out.part_bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint32)
+            every = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint64)
             held.clear()
-            edges = np.searchsorted(every, np.arange(PARTS, dtype=np.uint64) * np.uint64(SPAN))
-            pieces = [(i, np.diff(piece, prepend=np.uint32(i * SPAN))) for i, piece in enumerate(np.split(every, edges[1:])) if len(piece)]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([zlib.compress(d.astype(np.uint32).tobytes(), 1) for _, d in pieces], pa.binary())], names=["part", "steps"])
+            edges = np.append(np.searchsorted(every, starts), len(every))
+            parts = np.flatnonzero(np.diff(edges))
+            steps = np.diff(every, prepend=np.uint64(0))
+            first = edges[parts]
+            steps[first] = every[first] - starts[parts]
+            low, high = (steps & np.uint64(0xFFFF)).astype(np.uint16), (steps >> np.uint64(16)).astype(np.uint64)
+            pieces = [(int(p), low[edges[p] : edges[p + 1]].tobytes(), zlib.compress(high[edges[p] : edges[p + 1]].tobytes(), 1)) for p in parts]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pieces], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "low", "high"])
 
         for batch in batches:
             for _, _, words in chunks(batch.column(0), SPACED):
                 for s in _sets(words, size):
-                    held.append(_short(s))
+                    held.append(out.cells(s))
                     n += len(s)
                 if n >= FLUSH:
                     yield flush()
@@ -82,65 +119,39 @@ def frequent(docs: DataFrame, size: int) -> list[np.ndarray]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: int | None = None
-        dense: np.ndarray | None = None  # counts of one part, once it has many shingles
-        few: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
         def found() -> pa.RecordBatch:
-            if dense is None:
-                values, times = np.unique(np.concatenate(few), return_counts=True)
-                mean = float(times.sum()) / SPAN
-            else:
-                mean = float(dense.mean())
-                values = np.flatnonzero(dense > mean + CLASSES[0])
-                times = dense[values]
-            kinds, words, bits = [], [], []
-            for i, least in enumerate(CLASSES):
-                place = np.unique(_place((values[times > mean + least] + at * SPAN).astype(np.uint32), CLASS_BITS[i]))
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            kinds, words, bits = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for kind, least in enumerate(CLASSES):
+                values, times = values[times > least], times[times > least]
+                place = np.unique(out.place(values + starts[at], kind))
                 word = (place >> np.uint64(6)).astype(np.int32)
-                starts = np.flatnonzero(np.diff(word, prepend=-1))
-                if len(starts):
-                    bits.append(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), starts).view(np.int64))
-                    words.append(word[starts])
-                    kinds.append(np.full(len(starts), i, dtype=np.int32))
-            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-            return pa.RecordBatch.from_arrays([pa.array(cat(kinds, np.int32)), pa.array(cat(words, np.int32)), pa.array(cat(bits, np.int64))], names=["kind", "word", "bits"])
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                if len(first):
+                    bits.append(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first).view(np.int64))
+                    words.append(word[first])
+                    kinds.append(np.full(len(first), kind, dtype=np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, words, bits)], names=["kind", "word", "bits"])
 
         for batch in batches:
-            for part, steps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != at:
                     if at is not None:
                         yield found()
-                    at, dense, few = part, None, []
-                few.append(np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.uint32), dtype=np.int64))
-                if dense is not None or sum(map(len, few)) > SPAN // 16:
-                    dense = np.zeros(SPAN, dtype=np.uint32) if dense is None else dense
-                    for hashes in few:
-                        values, times = np.unique(hashes, return_counts=True)
-                        dense[values] += times.astype(np.uint32)
-                    few = []
+                    at, held = part, []
+                held.append(np.cumsum(np.frombuffer(low, dtype=np.uint16) + (np.frombuffer(zlib.decompress(high), dtype=np.uint64) << np.uint64(16))))
         if at is not None:
             yield found()
 
-    parts = docs.mapInArrow(count, "part int, steps binary").repartition("part").sortWithinPartitions("part")
+    parts = docs.select("text").mapInArrow(count, "part int, low binary, high binary").repartition("part").sortWithinPartitions("part")
     words = parts.mapInArrow(add, "kind int, word int, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     kind, word, bits = (words.column(i).to_numpy() for i in range(3))
-    out = [np.zeros(b // 64, dtype=np.int64) for b in CLASS_BITS]
-    for i, f in enumerate(out):
-        f[word[kind == i]] = bits[kind == i]
-    return [f.view(np.uint8) for f in out]
-
-
-def frequency_class(s: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
-    """How many classes a shingle is in, from the lowest without a gap."""
-    short = _short(s)
-    out = np.zeros(len(s), dtype=np.int64)
-    alive = np.arange(len(s))
-    for f in filters:
-        place = _place(short[alive], len(f) * 8)
-        alive = alive[f[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
-        if not len(alive):
-            break
-        out[alive] += 1
+    for i, n in enumerate(out.bits):
+        table = np.zeros(n // 64, dtype=np.int64)
+        table[word[kind == i]] = bits[kind == i]
+        out.tables.append(table.view(np.uint8))
     return out
 
 
@@ -165,205 +176,238 @@ def multiplicity(estimate: np.ndarray, n: int, percent: int) -> int:
     return chosen
 
 
-def prefixes(docs: DataFrame, filters: list[np.ndarray], size: int, percent: int) -> DataFrame:
-    """Of every row of docs (doc_id, text): n, a digest of its set (null if empty), its multiplicity, how many in a thousand of its shingles no other set seems to have, and its prefix, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+def _digest(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def prefixes(docs: DataFrame, common: Frequencies, size: int, percent: int) -> DataFrame:
+    """Of every row of docs (doc_id, th, text): n, the number k of its set (null if empty), its multiplicity, and what of its prefix, rarest first, other sets may have: shingles, their places, and which are its picks."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        length = np.array([1.0, *CLASSES])  # of lists, by class
+        length = np.array([0.0, 2.0, *CLASSES[1:]])  # of lists, by class
         for batch in batches:
-            n, digest, level, rare, prefix = [], [], [], [], []
-            for _, _, words in chunks(batch.column(1), SPACED):
+            n, k, level, tokens, places, picks = [], [], [], [], [], []
+            for _, _, words in chunks(batch.column(2), SPACED):
                 for s in _sets(words, size):
                     n.append(len(s))
-                    if not len(s):
-                        digest.append(None)
-                        level.append(0)
-                        rare.append(0)
-                        prefix.append(s.view(np.int64))
-                        continue
-                    frequency = frequency_class(s, table)
+                    k.append(_digest(s) if len(s) else None)
+                    frequency = table.of(s)
                     order = np.argsort(frequency, kind="stable")
-                    chosen = multiplicity(length[frequency[order]], len(s), percent)
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    level.append(chosen)
-                    rare.append(1000 * int(np.count_nonzero(frequency == 0)) // len(s))
-                    prefix.append(s[order[: len(s) - required(len(s), percent) + chosen]].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(level, pa.int32()), pa.array(rare, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "digest", "level", "rare", "prefix"],
-            )
-
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, digest binary, level int, rare int, prefix array<long>")
-
-
-def _met_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token another row has too. One row is kept back between batches."""
-    last: pa.RecordBatch | None = None
-    last_met = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        token = batch.column(0).to_numpy()
-        same = token[1:] == token[:-1]
-        first = last is not None and last.column(0)[0].as_py() == int(token[0])
-        met = np.zeros(len(token), dtype=bool)
-        met[1:] |= same
-        met[:-1] |= same
-        met[0] |= first
-        if last is not None and (last_met or first):
-            yield last
-        yield batch.slice(0, len(token) - 1).filter(pa.array(met[:-1]))
-        last, last_met = batch.slice(len(token) - 1), bool(met[-1])
-    if last is not None and last_met:
-        yield last
-
-
-def _set_table(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(rep, tokens) for the documents in pairs (a, b): texts are filtered by bits of fixed size before they are shuffled to the exact join."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 64 as int))")
-    bits = ids.select(F.floor(place / 64).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    maybe = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(bits), F.floor(place / 64) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).select("rep", "text")
+                    level.append(multiplicity(length[frequency[order]], len(s), percent) if len(s) else 0)
+                    order = order[: len(s) - required(len(s), percent) + level[-1]]
+                    place = np.flatnonzero(frequency[order])
+                    token = s[order[place]]
+                    pick = np.zeros(len(token), dtype=bool)
+                    pick[np.argsort(mix(token))[:PICKS]] = True
+                    tokens.append(token.view(np.int64))
+                    places.append(place.astype(np.int32))
+                    picks.append(pick)
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], t)) for x, t in ((tokens, pa.int64()), (places, pa.int32()), (picks, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(level, pa.int32()), *lists], names=["doc_id", "th", "n", "k", "level", "token", "pos", "pick"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, n long, k long, level int, token array<long>, pos array<int>, pick array<boolean>")
+
+
+def _shared_shingles(docs: DataFrame, wanted: DataFrame, common: Frequencies, size: int) -> DataFrame:
+    """(k, tokens): of the texts whose hashes are in wanted (th), and maybe of some others, all shingles that more sets may have. Each text once."""
+    spread = docs.sparkSession.sparkContext.broadcast(common)
+    once = maybe_among(docs.select("th", "text"), F.col("th"), wanted, wanted.count(), "_in").where("_in").groupBy("th").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = spread.value
         for batch in batches:
-            found = [s.view(np.int64) for _, _, words in chunks(batch.column(1), SPACED) for s in _sets(words, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "tokens"])
+            k, tokens = [], []
+            for _, _, words in chunks(batch.column(0), SPACED):
+                for s in _sets(words, size):
+                    k.append(_digest(s))
+                    tokens.append(s[table.of(s) > 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["k", "tokens"])
 
-    return maybe.join(ids, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(run, f"rep {kind}, tokens array<long>")
+    return once.select("text").mapInArrow(run, "k long, tokens array<long>").dropDuplicates(["k"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least percent / 100, counted exactly."""
-    left, right = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
+    """Those of the pairs (a, na, b, nb) whose sets' Jaccard similarity is at least percent / 100, counted exactly, as (a, b)."""
+    left, right = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row.
+def _with_component(rows: DataFrame, group: DataFrame | None, key: str = "k", out: str = "component") -> DataFrame:
+    if group is None:
+        return rows.withColumn(out, F.col(key))
+    return rows.join(group.select(F.col("node").alias(key), F.col("component").alias("_of")), key, "left").withColumn(out, F.coalesce("_of", key)).drop("_of")
 
-    Two documents link when their sets of distinct word shingles (A-Z folded; fewer than `size` words
-    are one shingle) have a Jaccard similarity of percent / 100 or more. A document without words
-    links with nothing. Rows of one set are one class, so copies cost one comparison; rows that
-    share a doc_id are one node. A null doc_id has no component but its own null. Other columns are
-    not read.
-
-    Shingles are ordered by classes of their frequencies over all documents, then by hash. A document asks for
-    as many shared prefix shingles as its estimated candidate cost advises and has a prefix that
-    much longer; documents in a link share at least the lesser number of the two. Since components
-    are asked for, candidates of one component need no verification: documents first link to a hub
-    of each prefix shingle's list, in rounds, by neighbouring length classes, and then every
-    candidate pair that is still in two components and shares enough (see _bound, which for two
-    sets of given sizes asks for more than the lesser number) is verified. No list is gathered in
-    one row or in memory; nothing is capped.
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The lists (token, component, ..) whose documents are of two components or more."""
+    tokens = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return lists.join(tokens, "token", "left_semi")
+
+
+def _can_link(s: str, t: str, percent: int) -> Column:
+    """Whether a shared shingle with rs of ns and rt of nt shingles from it on may be among the first that documents of levels ls and lt share, if they link and ns <= nt.
+
+    They share c >= max(percent (ns + nt) / (100 + percent), percent nt / 100) shingles. The j-th of
+    these has at least c - j + 1 shingles from it on in either document, and for j up to the lesser
+    level it is in both prefixes.
     """
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(prefixes(docs, frequent(docs.select("text"), size), size, percent), "shingle-sets")
-    classes = stored(
-        sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix")),
-        "shingle-classes",
-    )
-    # Length classes by the similarity's ratio: documents that link are in one class or in two neighbouring ones.
-    length_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)) + 1e-9).cast("int")
-    # Of two documents in a link the shorter one's shared shingles begin earlier: `early` marks its shorter prefix.
-    early = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + F.col("level")
-    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "rep", F.col("n").cast("int").alias("n"), "level", "rare")
-    postings = postings.select("token", "rep", "n", "level", "rare", early.alias("early")).repartition("token").sortWithinPartitions("token")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = stored(postings.mapInArrow(_met_before, f"token long, rep {kind}, n int, level int, rare int, early boolean"), "shingle-lists")
-    links: DataFrame | None = None
-    group: DataFrame | None = None
+    both = f"greatest(({percent}L * (n{s} + n{t}) + {99 + percent}L) div {100 + percent}L, ({percent}L * n{t} + 99L) div 100L)"
+    return F.expr(f"100L * n{s} >= {percent}L * n{t} and least(n{s} - p{s}, n{t} - p{t}) + least(l{s}, l{t}) - 1 >= {both}")
+
+
+def _side(rows: DataFrame, s: str) -> list[Column]:
+    return [F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("level").alias(f"l{s}"), F.col("pos").alias(f"p{s}"), F.col("component").alias(f"c{s}")]
+
+
+def _stars(picks: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of a document and a hub in its lists of another component; each document keeps the hub it shares most lists with.
+
+    Each list and each two neighbouring length classes have a hub: in the first round the document
+    with the least share of rarer shingles, as the source of edited copies has, later one that the round draws.
+    """
+    step = float(np.log(100.0 / percent))
+    at = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
+    wide = picks.withColumn("window", F.explode(F.array(at, at + 1)))
+    first = F.xxhash64("k", F.lit(turn)).cast("double") if turn else F.col("pos") / F.col("n")
+    hubs = wide.groupBy("token", "window").agg(F.min(F.struct(first.alias("first"), *_side(wide, "h"))).alias("hub"))
+    met = wide.select("token", "window", *_side(wide, "d")).join(hubs.select("token", "window", "hub.*"), ["token", "window"]).where("cd <> ch")
+    met = met.where(F.when(F.col("nd") <= F.col("nh"), _can_link("d", "h", percent)).otherwise(_can_link("h", "d", percent)))
+    best = met.groupBy("kd", "nd", "kh", "nh").agg(F.count("*").alias("lists")).groupBy("kd", "nd").agg(F.max(F.struct("lists", "kh", "nh")).alias("best"))
+    return best.select(*_ordered("kd", "nd", "best.kh", "best.nh")).distinct()
+
+
+def _ordered(k: str, n: str, other: str, m: str) -> list[Column]:
+    below = F.col(k) < F.col(other)
+    return [F.least(k, other).alias("a"), F.when(below, F.col(n)).otherwise(F.col(m)).alias("na"), F.greatest(k, other).alias("b"), F.when(below, F.col(m)).otherwise(F.col(n)).alias("nb")]
+
+
+class _Listing:
+    """How the pairs of a shorter and a longer document of different components, in mixed lists, are met.
+
+    A longer document goes to the length buckets of all shorter ones that its place in the list lets
+    it link with, a shorter one to its own bucket if its place lets it link with any longer one. In
+    each list's bucket the shorter documents of one component, that with most of them, are kept
+    apart, as the longer ones of that component need none of them.
+    """
+
+    def __init__(self, lists: DataFrame, percent: int):
+        self.percent = percent
+        step = float(np.log(100.0 / percent)) / FINE
+        bucket = lambda x: F.floor(F.log(x.cast("double")) / step).cast("int")
+        reach = F.expr(f"((n - pos + level - 1) * {100 + percent}L) div {percent}L - n")
+        least = F.expr(f"({percent}L * n + 99L) div 100L")
+        rows = lists.withColumn("_reach", reach)
+        short = rows.where("_reach >= n").withColumn("bucket", bucket(F.col("n"))).drop("_reach")
+        self.long = rows.where(F.col("_reach") >= least).withColumn("bucket", F.explode(F.sequence(bucket(least), bucket(F.least("n", "_reach"))))).drop("_reach")
+        counts = short.groupBy("token", "bucket", "component").agg(F.count("*").alias("n"))
+        counts = counts.groupBy("token", "bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+        counts = counts.select("token", "bucket", F.col("most.component").alias("main"), F.col("most.n").alias("in_main"), F.col("n").alias("in_all"))
+        needed = self.long.join(counts, ["token", "bucket"]).withColumn("of_main", F.col("component") == F.col("main")).where("not of_main or in_all > in_main")
+        self.needed = stored(needed.drop("main"), "lists-long")
+        self.short = short.join(counts.select("token", "bucket", "main"), ["token", "bucket"]).withColumn("side", F.col("component") == F.col("main")).drop("main")
+        self.meetings = self.needed.agg(F.coalesce(F.sum(F.when(F.col("of_main"), F.col("in_all") - F.col("in_main")).otherwise(F.col("in_all"))), F.lit(0))).first()[0]
+
+    def pairs(self) -> DataFrame:
+        """Pairs (a, na, b, nb, shared) that share as many prefix shingles as a link needs."""
+        sides = F.when(F.col("of_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        long = self.needed.select("token", "bucket", F.explode(sides).alias("side"), *_side(self.needed, "t"))
+        short = self.short.select("token", "bucket", "side", *_side(self.short, "s"))
+        once = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("ks") < F.col("kt")))
+        met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent))
+        shared = met.groupBy("ks", "ns", "ls", "kt", "nt", "lt").agg(F.count("*").alias("shared")).where("shared >= least(ls, lt)")
+        return shared.select(*_ordered("ks", "ns", "kt", "nt"), "shared")
+
+
+def _verified(open_lists: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
+    """Adds to links those among candidates that make components complete: by hubs first, then by listing what is left."""
+    group = components(links) if links is not None else None
     verified: DataFrame | None = None
-    before = rows = None
-    for turn in range(STAR_ROUNDS + 1):
-        open_lists = stored(_in_two_components(lists, group), "open-lists")
-        by_component = open_lists.groupBy("token", "component").agg(F.count("*").alias("n"), F.count_if("early").alias("e"))
-        left = by_component.groupBy("token").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum(F.col("n") * F.col("e")).alias("own"))
-        total = left.agg(F.sum(F.col("n") * F.col("e") - F.col("own")).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not total["rows"]:
-            break
-        # Hubs go on while they bring the candidates down; then all that is left is listed.
-        exhaustive = turn == STAR_ROUNDS or (before is not None and (total["pairs"] <= FEW * rows or total["pairs"] > 0.7 * before))
-        before, rows = total["pairs"], rows or total["rows"]
-        pairs = _candidates(open_lists, by_component, percent) if exhaustive else _stars(open_lists, length_class, turn, percent)
-        pairs = pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "shingle-pairs")
-        found = stored(_linked(pairs, _set_table(docs, pairs, size), percent), "shingle-links")
+
+    def verify(pairs: DataFrame) -> bool:
+        nonlocal links, group, verified
+        pairs = pairs.select("a", "na", "b", "nb")
+        pairs = stored(pairs if verified is None else pairs.join(verified, ["a", "b"], "left_anti"), "shingle-pairs")
         verified = pairs if verified is None else verified.unionByName(pairs)
-        discard(open_lists)
-        if group is None or not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            group = components(links)
-        if exhaustive:
-            break
-    known = classes.select("digest", "rep")
-    if group is not None:
-        known = known.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    else:
-        known = known.select("digest", F.col("rep").alias("component"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(known, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _in_two_components(lists: DataFrame, group: DataFrame | None) -> DataFrame:
-    """The lists that have an early document and documents of two components, with each document's component."""
-    placed = lists.withColumn("component", F.col("rep")) if group is None else lists.join(group.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("early").alias("any")).where("lo <> hi and any").select("token")
-    return placed.join(mixed, "token", "left_semi").select("token", "rep", "n", "level", "rare", "early", "component")
-
-
-def _near(percent: int):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-
-def _bound(percent: int):
-    """Shingles that the early prefix of a and the prefix of b share if the two are linked and a is not the longer one, at least.
-
-    Of na and nb shingles at least t are common, with t / (na + nb - t) = percent / 100. The k-th
-    common one is among the first k + na - t of the one and k + nb - t of the other, so all k are
-    shared for which both are within the prefixes, of na - ceil(2 percent na / (100 + percent)) + la
-    and of nb - required(nb) + lb. t is at least what is taken from na, as na <= nb, and from nb.
-    """
-    common = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return F.greatest(F.lit(1), common + F.least(F.col("la") - F.ceil(2 * percent * F.col("na") / (100 + percent)), F.col("lb") - F.ceil(F.col("nb") * percent / 100)))
+        found = stored(_linked(pairs, sets, percent), "shingle-links")
+        if found.isEmpty():
+            return False
+        links = found if links is None else links.unionByName(found)
+        group = components(links)
+        return True
+
+    before = None
+    for turn in range(HUB_ROUNDS + 1):
+        lists = stored(_mixed(_with_component(open_lists, group)), "open-lists")
+        rows = lists.count()
+        if not rows:
+            discard(lists)
+            return links
+        if turn:
+            listing = _Listing(lists, percent)
+            if turn == HUB_ROUNDS or listing.meetings <= FEW * rows or (before is not None and listing.meetings > 0.7 * before):
+                break
+            before = listing.meetings
+            discard(listing.needed)
+        verify(_stars(lists.where("pick"), turn, percent))
+        discard(lists)
+    pairs = stored(listing.pairs(), "shingle-candidates")
+    discard(lists)
+    discard(listing.needed)
+    if pairs.count() > rows:  # first of a document's candidates in each other component the likeliest
+        of_b = _with_component(pairs, group, "b", "cb")
+        verify(of_b.groupBy("a", "na", "cb").agg(F.max(F.struct("shared", "b", "nb")).alias("best")).select("a", "na", "best.b", "best.nb"))
+    verify(_with_component(_with_component(pairs, group, "a", "ca"), group, "b", "cb").where("ca <> cb"))
+    return links
 
 
-def _stars(lists: DataFrame, length_class, turn: int, percent: int) -> DataFrame:
-    """Pairs of a document and a hub of its lists, of other components; each document keeps the hub it shares most lists with.
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and k (the number of the component, null without words) of every row.
 
-    Each list and each two neighbouring length classes have a hub: in the first round the document
-    with the least share of shingles of its own, as the source of edited copies has, later one that
-    the round draws. As hubs differ between
-    lists, half the shared shingles that the two ask for are enough here.
+    Two documents link when their sets of distinct word shingles (A-Z folded; fewer than `size` words
+    are one shingle) have a Jaccard similarity of percent / 100 or more. A document without words
+    links with nothing. Rows of one set are one class, told by 64 bits of a digest, so copies cost
+    one comparison; rows with words that share a doc_id are one node, with the links of all. A null
+    doc_id counts as larger than any: a component has a null component_id if all of its ids are
+    null. Other columns are not read.
+
+    Shingles are ordered by classes of their frequencies over all documents, then by hash. A document
+    asks for as many shared prefix shingles as its estimated candidate cost advises and has a prefix
+    that much longer; documents in a link share at least the lesser number of the two, at places
+    that leave enough of either for the rest (_can_link). Shingles of one document only are proven
+    so by a filter and enter no list. Since components are asked for, candidates of one component
+    need no verification: documents first link to a hub of their lists, and then every candidate
+    pair that is still in two components is verified. No list is gathered in one row or in memory;
+    nothing is capped. docs is evaluated four times.
     """
-    wide = lists.withColumn("window", F.explode(F.array(length_class, length_class + 1)))
-    drawn = F.struct((F.lit(0) if turn else F.col("rare")).alias("rare"), F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("component").alias("hub_component"))
-    hubs = wide.groupBy("token", "window").agg(F.min(drawn).alias("hub"))
-    met = wide.select("token", "window", "rep", F.col("n").alias("na"), F.col("level").alias("la"), "component").join(hubs, ["token", "window"])
-    met = met.select("token", "rep", "na", "la", "component", "hub.hub", "hub.nb", "hub.lb", "hub.hub_component").where("component <> hub_component").where(_near(percent))
-    shared = met.groupBy("rep", "hub", "na", "la", "nb", "lb").agg(F.count("*").alias("lists"))
-    best = shared.where(F.col("lists") >= F.least("la", "lb") / 2).groupBy("rep").agg(F.max(F.struct("lists", "hub")).alias("best"))
-    return best.select(F.least("rep", "best.hub").alias("a"), F.greatest("rep", "best.hub").alias("b")).distinct()
-
-
-def _candidates(lists: DataFrame, by_component: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components whose prefixes share as much as a link needs."""
-    ca, cb = by_component.where("e > 0").select("token", F.col("component").alias("ca")), by_component.select("token", F.col("component").alias("cb"))
-    meeting = ca.join(cb, "token").where("ca <> cb")
-    left = lists.where("early").select("token", F.col("component").alias("ca"), F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("level").alias("la"))
-    right = lists.select("token", F.col("component").alias("cb"), F.col("rep").alias("rb"), F.col("n").alias("nb"), F.col("level").alias("lb"))
-    met = meeting.join(left, ["token", "ca"]).join(right, ["token", "cb"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ra") < F.col("rb")))).where(_near(percent))
-    shared = met.groupBy("ra", "rb", "na", "la", "nb", "lb").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") >= _bound(percent)).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    with collecting() as paths:
+        common = frequencies(docs, size)
+        rows = stored(prefixes(docs, common, size, percent), "shingle-rows")
+        result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k")
+        classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick")]), "shingle-classes")
+        lists = classes.select(F.inline(F.arrays_zip("token", "pos", "pick")), "k", "n", F.col("level").cast("long").alias("level"), "th").withColumn("pos", F.col("pos").cast("long"))
+        open_lists = stored(_mixed(lists.withColumn("component", F.col("k"))).drop("component"), "shingle-lists")
+        sets = stored(_shared_shingles(docs, open_lists.select("th").distinct(), common, size), "shingle-sets")
+        repeated = rows.where("doc_id is not null and k is not null").groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+        links = None
+        if not repeated.isEmpty():
+            links = stored(rows.where("k is not null").join(repeated, "doc_id").where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")), "shingle-links")
+        links = _verified(open_lists.drop("th"), sets, links, percent)
+        placed = result if links is None else _with_component(result, components(links), "k", "component").drop("k").withColumnRenamed("component", "k")
+        placed = stored(placed, "shingle-components")
+        for path in paths[:-1]:
+            discard_path(docs.sparkSession, path)
+    least = placed.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("component_id"))
+    placed = placed.join(least, "k", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
 
 
 def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document with the size of its shingle set and its component."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k")

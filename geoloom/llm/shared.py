@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,12 +38,29 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Lists of paths that stored() writes to while a collecting() block is open, innermost last.
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Gathers the paths of all tables stored inside the block, so that their owner can discard them with the last reader done."""
+    paths: list[str] = []
+    _collected.append(paths)
+    try:
+        yield paths
+    finally:
+        _collected.remove(paths)
+
+
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geoloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(discard_path, spark, path)
+    if _collected:
+        _collected[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._geoloom_path = path  # noqa: SLF001
     return out
@@ -61,6 +80,25 @@ def discard(df: DataFrame) -> None:
     discard_path(df.sparkSession, df._geoloom_path)  # noqa: SLF001
 
 
+#: Bits of a filter of keys: so many for each key, and at most so many whatever the input.
+BITS_PER_KEY, MOST_BITS = 16, 1 << 25
+
+
+def maybe_among(rows: DataFrame, key: Column, keys: DataFrame, expected: int, out: str) -> DataFrame:
+    """Adds a boolean `out`: false where key (a hash of 64 bits) is not in keys (one column of such), true where it is and at few other rows.
+
+    The filter that is broadcast has at most MOST_BITS bits, as MOST_BITS / 64 rows; with more keys
+    than that holds well, more rows come out true, so true rows go on to an exact join.
+    """
+    bits = min(MOST_BITS, max(1 << 10, 1 << (expected * BITS_PER_KEY).bit_length()))
+    own = keys.select(F.col(keys.columns[0]).alias("_key"))
+    place = lambda c: F.pmod(c, F.lit(bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(c, F.lit(bits)) % 64).cast("int"))
+    words = own.select(F.floor(place(F.col("_key")) / 64).alias("_word"), bit(F.col("_key")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.join(F.broadcast(words), F.floor(place(key) / 64) == F.col("_word"), "left")
+    return met.withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def numbered(rows: DataFrame, group: list[str], order: list[str], out: str, salt_on: list[str], weight: str | None = None, salts: int = SALTS) -> DataFrame:
     """Adds a gapless number from 0 within each group (with weight: the sum of the weights before the row).
 
