@@ -13,15 +13,16 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .shared import bounded_batches, numbered, stored
+from .shared import bounded_batches, stored
 from .tokencount import byte_letters, pretokens
 
-#: Pretokens whose ids a worker keeps; the memory is emptied when full.
-KEPT = 600_000
-#: Parts in which the rests of a length are numbered; the table of their first numbers has at most window times so many rows.
-REST_SALTS = 64
+#: Pretokens whose ids a worker keeps, of at most KEPT_LENGTH characters each; the memory is emptied when full.
+KEPT, KEPT_LENGTH = 600_000, 32
+#: A table of sums over tasks with at most so many rows is broadcast.
+SMALL = 400_000
 
 
 class Ids(dict):
@@ -39,7 +40,9 @@ class Ids(dict):
         if len(self) >= KEPT:
             self.clear()
         letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        self[piece] = found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = found
         return found
 
     def of(self, text: str) -> bytes:
@@ -122,29 +125,39 @@ def _plan(windows: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
 
 
 def tokenized(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """row (a number of its own), doc_id, doc_tokens (with the end), the ids in cuts of window, and the CRC of the last cut, for every row."""
+    """For every row: part (the task's number), doc_id, doc_tokens (with the end), full (whole windows), rest, the ids in cuts of window, and how many whole windows and how many rests of this length the task has had before it.
+
+    What a task counts is only right together with the rows of the same attempt, so store the result before use.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = ids_of(path), array("I", [end_id]).tobytes()
+        fulls, rests = 0, [0] * window
         for batch in batches:
-            datas, sizes, tails, inner, outer, at = [], [], [], [0], [0], 0
+            datas, sizes, inner, outer, at = [], [], [0], [0], 0
+            before, ranks = [], []
             for text in batch.column(2):
                 data = (ids.of(text.as_py()) if text.is_valid else b"") + end
                 n = len(data) // 4
                 datas.append(data)
                 sizes.append(n)
-                tails.append(zlib.crc32(data[(n - 1) // window * window * 4 :]))
                 inner.extend(at + i for i in range(window, n, window))
                 at += n
                 inner.append(at)
                 outer.append(len(inner) - 1)
+                before.append(fulls)
+                ranks.append(rests[n % window])
+                fulls += n // window
+                rests[n % window] += 1
             values = pa.array(np.frombuffer(b"".join(datas), dtype=np.int32))
             cuts = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), cuts, pa.array(tails, pa.int64())], names=["row", "doc_id", "doc_tokens", "cuts", "tail"])
+            size = np.array(sizes, dtype=np.int64)
+            columns = [size, size // window, size % window, np.array(before, dtype=np.int64), np.array(ranks, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), cuts], names=["part", "doc_id", "doc_tokens", "full", "rest", "before", "rank", "cuts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"row long, doc_id {kind}, doc_tokens long, cuts array<array<int>>, tail long")
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(cut, f"part int, doc_id {kind}, doc_tokens long, full long, rest long, before long, rank long, cuts array<array<int>>")
 
 
 def with_checksum(pieces: DataFrame) -> DataFrame:
@@ -163,37 +176,43 @@ def with_checksum(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has at most SMALL rows; beyond, Spark joins it as it sees fit."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every row into sequences of at most window tokens; one row per piece, with its ids.
 
     A document's ids, then end_id, are cut into full windows, which are sequences of their own, and
     a rest, which goes where minimum_slack says. A null or empty text is the end alone. Repeated
     rows are packed each. Other columns are not read. A sequence is the ids of its pieces by offset.
-    ids_crc32 is a piece's checksum, made of ids. The driver sees only how many rests have each
-    length (at most window - 1 numbers); rests are numbered within their length in salted parts.
-    Places are found without the ids, which are joined to them once.
+    ids_crc32 is a piece's checksum, made of ids. Which pieces share a sequence depends on how docs
+    is dealt to tasks. The driver sees only how many rests have each length (at most window - 1
+    numbers). A piece's place follows from what its task counted and from the sums over the tasks
+    before, of a row for each task and length; ids stay where they were written.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = stored(tokenized(docs, path, window, end_id, id_col, text_col), "pack-tokens").withColumn("full", F.floor(F.col("doc_tokens") / window)).withColumn("rest", F.col("doc_tokens") % window)
-    light = rows.drop("cuts")
-    counts = {r["rest"]: r["n"] for r in light.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
+    rows = stored(tokenized(docs, path, window, end_id, id_col, text_col), "pack-tokens", "zstd")
+    by_part = stored(rows.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")), "pack-counts")
+    counts = {r["rest"]: r["n"] for r in by_part.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     windows = minimum_slack(counts, window)
     plan = spark.createDataFrame(_plan(windows), "_length long, _lo long, _hi long, _k long, _seq long, _off long")
     shared = sum(times for times, _ in windows)
-    order = ["doc_id", "doc_tokens", "tail"]
-    rests = numbered(light.where("rest > 0"), ["rest"], order, "rank", ["doc_id"], salts=REST_SALTS)
-    rests = rests.join(F.broadcast(plan), (F.col("rest") == F.col("_length")) & (F.col("rank") >= F.col("_lo")) & (F.col("rank") < F.col("_hi")))
-    at = F.col("rank") - F.col("_lo")
-    rests = rests.select("row", (F.col("_seq") + F.floor(at / F.col("_k"))).alias("_rest_sequence"), (F.col("_off") + at % F.col("_k") * F.col("rest")).alias("_rest_offset"))
-    fulls = numbered(light.where("full > 0"), [], order, "_before", ["doc_id"], weight="full").select("row", "_before")
-    placed = rows.join(rests, "row", "left").join(fulls, "row", "left")
+    earlier = lambda w: w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_rest = by_part.select("part", "rest", F.coalesce(F.sum("n").over(earlier(Window.partitionBy("rest"))), F.lit(0)).alias("_rests"))
+    of_full = by_part.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(earlier(Window.partitionBy(F.lit(0)))), F.lit(0)).alias("_fulls"))
+    placed = rows.join(_small(of_rest), ["part", "rest"]).join(_small(of_full), "part").withColumn("_rank", F.col("rank") + F.col("_rests"))
+    placed = placed.join(F.broadcast(plan), (F.col("rest") == F.col("_length")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")), "left")
+    at = F.col("_rank") - F.col("_lo")
+    placed = placed.withColumn("_rest_sequence", F.col("_seq") + F.floor(at / F.col("_k"))).withColumn("_rest_offset", F.col("_off") + at % F.col("_k") * F.col("rest"))
 
     def piece(ids: Column, i: Column) -> Column:
         whole = i < F.col("full")
         return F.struct(
             (i.cast("long") * window).alias("start"), F.size(ids).cast("long").alias("length"), ids.alias("ids"),
-            F.when(whole, F.lit(shared).cast("long") + F.col("_before") + i).otherwise(F.col("_rest_sequence")).alias("sequence_id"),
+            F.when(whole, F.lit(shared).cast("long") + F.col("_fulls") + F.col("before") + i).otherwise(F.col("_rest_sequence")).alias("sequence_id"),
             F.when(whole, F.lit(0).cast("long")).otherwise(F.col("_rest_offset")).alias("offset"),
         )
 
@@ -202,4 +221,5 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
 
 
 def op10_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, by checksum, and their places."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
