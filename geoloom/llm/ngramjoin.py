@@ -366,7 +366,7 @@ def _verified(open_lists: DataFrame, sets: DataFrame, links: DataFrame | None, p
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and k (the number of the component, null without words) of every row.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), component (its number, null without words) and text_hash (xxhash64) of every row.
 
     Two documents link when their sets of distinct word shingles (A-Z folded; fewer than `size` words
     are one shingle) have a Jaccard similarity of percent / 100 or more. A document without words
@@ -389,7 +389,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     with collecting() as paths:
         common = frequencies(docs, size)
         rows = stored(prefixes(docs, common, size, percent), "shingle-rows")
-        result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k")
+        result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k", "th")
         classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick")]), "shingle-classes")
         lists = classes.select(F.inline(F.arrays_zip("token", "pos", "pick")), "k", "n", F.col("level").cast("long").alias("level"), "th").withColumn("pos", F.col("pos").cast("long"))
         open_lists = stored(_mixed(lists.withColumn("component", F.col("k"))).drop("component"), "shingle-lists")
@@ -405,9 +405,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
             discard_path(docs.sparkSession, path)
     least = placed.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(least, "k", "left")
-    return placed.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "k")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("k").alias("component"), F.col("th").alias("text_hash"))
 
 
 def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the size of its shingle set and its component."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("k")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component", "text_hash")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Counts of pretokens that a worker keeps; the memory is emptied when full.
-KEPT = 600_000
+#: Counts of pretokens that a worker keeps, of at most KEPT_LENGTH characters each; the memory is emptied when full.
+KEPT, KEPT_LENGTH = 600_000, 32
 _SHIFT = 20
 
 
@@ -123,7 +123,9 @@ class Counter(dict):
         data = piece.encode("utf-8", "surrogatepass")
         if len(self) >= KEPT:
             self.clear()
-        self[piece] = n = len(data) - (self.merges.merged(data) if len(data) > 1 else 0)
+        n = len(data) - (self.merges.merged(data) if len(data) > 1 else 0)
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = n
         return n
 
     def plain(self, text: str) -> int:
@@ -169,4 +171,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
 
 def op8_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
