@@ -35,6 +35,8 @@ PICKS = 8
 #: Rounds that link documents to hubs before the remaining candidates are listed: at most so many,
 #: and no more once listing meets at most FEW times as many pairs as lists have rows.
 HUB_ROUNDS, FEW = 4, 4
+#: Hubs of each list in all rounds but the first.
+SLOTS = 16
 #: Length buckets of candidate lists for each factor of 100 / percent.
 FINE = 4
 
@@ -56,16 +58,17 @@ class Frequencies:
 
     def __init__(self, expected: int):
         expected = max(1 << 16, expected)
-        self.width = min(60, math.ceil(math.log2(expected)) + CELL_BITS)
+        self.width = max(32, min(60, math.ceil(math.log2(expected)) + CELL_BITS))
         self.part_bits = min(18, max(6, math.ceil(math.log2(expected / PART))))
-        self.bits = [min(most, -(-expected // share // 64) * 64) for share, most in zip(CLASS_SHARE, CLASS_MOST, strict=True)]
+        least = 64 << self.part_bits  # a part's bits are whole words of their own
+        self.bits = [max(least, min(most, expected // share) // least * least) for share, most in zip(CLASS_SHARE, CLASS_MOST, strict=True)]
         self.tables: list[np.ndarray] = []
 
     def cells(self, s: np.ndarray) -> np.ndarray:
         return s >> np.uint64(64 - self.width)
 
     def place(self, cells: np.ndarray, kind: int) -> np.ndarray:
-        return mix(cells) % np.uint64(self.bits[kind])
+        return (cells >> np.uint64(self.width - 32)) * np.uint64(self.bits[kind]) >> np.uint64(32)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         """The frequency class of each shingle: how many filters have it, from the first without a gap."""
@@ -85,7 +88,8 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
     """Counts the shingles of all documents (text).
 
     Each task sorts the shingles it meets and hands them on as compressed differences by part of the
-    hash space; the parts are counted apart, and the driver gets the filters' bits only.
+    hash space; the parts are counted apart, each has a range of the filters' bits of its own, and
+    the driver gets these bits only.
     """
     expected = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     out = Frequencies(expected)
@@ -123,17 +127,17 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
 
         def found() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            kinds, words, bits = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            kinds, blocks = [], []
             for kind, least in enumerate(CLASSES):
                 values, times = values[times > least], times[times > least]
-                place = np.unique(out.place(values + starts[at], kind))
-                word = (place >> np.uint64(6)).astype(np.int32)
-                first = np.flatnonzero(np.diff(word, prepend=-1))
-                if len(first):
-                    bits.append(np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first).view(np.int64))
-                    words.append(word[first])
-                    kinds.append(np.full(len(first), kind, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, words, bits)], names=["kind", "word", "bits"])
+                if not len(values):
+                    break
+                size = out.bits[kind] >> out.part_bits
+                place = np.zeros(size, dtype=np.uint8)
+                place[(out.place(values + starts[at], kind) - np.uint64(at * size)).astype(np.int64)] = 1
+                kinds.append(kind)
+                blocks.append(zlib.compress(np.packbits(place, bitorder="little").tobytes(), 1))
+            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([at] * len(kinds), pa.int32()), pa.array(blocks, pa.binary())], names=["kind", "part", "bits"])
 
         for batch in batches:
             for part, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -146,12 +150,10 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
             yield found()
 
     parts = docs.select("text").mapInArrow(count, "part int, low binary, high binary").repartition("part").sortWithinPartitions("part")
-    words = parts.mapInArrow(add, "kind int, word int, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    kind, word, bits = (words.column(i).to_numpy() for i in range(3))
-    for i, n in enumerate(out.bits):
-        table = np.zeros(n // 64, dtype=np.int64)
-        table[word[kind == i]] = bits[kind == i]
-        out.tables.append(table.view(np.uint8))
+    out.tables = [np.zeros(n // 8, dtype=np.uint8) for n in out.bits]
+    for row in parts.mapInArrow(add, "kind int, part int, bits binary").toArrow().to_pylist():
+        size = out.bits[row["kind"]] >> out.part_bits + 3
+        out.tables[row["kind"]][row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)
     return out
 
 
@@ -250,34 +252,37 @@ def _mixed(lists: DataFrame) -> DataFrame:
 
 
 def _can_link(s: str, t: str, percent: int) -> Column:
-    """Whether a shared shingle with rs of ns and rt of nt shingles from it on may be among the first that documents of levels ls and lt share, if they link and ns <= nt.
+    """Whether a shared shingle with n - p of n shingles from it on, in each document, may be the first that documents share that link, if ns <= nt.
 
-    They share c >= max(percent (ns + nt) / (100 + percent), percent nt / 100) shingles. The j-th of
-    these has at least c - j + 1 shingles from it on in either document, and for j up to the lesser
-    level it is in both prefixes.
+    They share at least max(percent (ns + nt) / (100 + percent), percent nt / 100) shingles, the first
+    of which has as many from it on in either document; so it is in both prefixes, however short.
     """
     both = f"greatest(({percent}L * (n{s} + n{t}) + {99 + percent}L) div {100 + percent}L, ({percent}L * n{t} + 99L) div 100L)"
-    return F.expr(f"100L * n{s} >= {percent}L * n{t} and least(n{s} - p{s}, n{t} - p{t}) + least(l{s}, l{t}) - 1 >= {both}")
+    return F.expr(f"100L * n{s} >= {percent}L * n{t} and least(n{s} - p{s}, n{t} - p{t}) >= {both}")
 
 
 def _side(rows: DataFrame, s: str) -> list[Column]:
-    return [F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("level").alias(f"l{s}"), F.col("pos").alias(f"p{s}"), F.col("component").alias(f"c{s}")]
+    return [F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("component").alias(f"c{s}")]
 
 
 def _stars(picks: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of a document and a hub in its lists of another component; each document keeps the hub it shares most lists with.
+    """Pairs (a, na, b, nb) of a document and hubs in its lists of another component; of the hubs of a slot each document keeps that which it shares most lists with.
 
     Each list and each two neighbouring length classes have a hub: in the first round the document
-    with the least share of rarer shingles, as the source of edited copies has, later one that the round draws.
+    with the least share of rarer shingles, as the source of edited copies has, later one in each of
+    SLOTS slots that the round draws among those with few of them.
     """
     step = float(np.log(100.0 / percent))
     at = F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("int")
     wide = picks.withColumn("window", F.explode(F.array(at, at + 1)))
-    first = F.xxhash64("k", F.lit(turn)).cast("double") if turn else F.col("pos") / F.col("n")
-    hubs = wide.groupBy("token", "window").agg(F.min(F.struct(first.alias("first"), *_side(wide, "h"))).alias("hub"))
-    met = wide.select("token", "window", *_side(wide, "d")).join(hubs.select("token", "window", "hub.*"), ["token", "window"]).where("cd <> ch")
+    rarer = F.col("pos") / F.col("n")
+    drawn = F.xxhash64("k", F.lit(turn))
+    first = F.struct(F.floor(20 * rarer).alias("rarer"), drawn.alias("drawn")) if turn else F.struct(rarer.alias("rarer"))
+    slot = F.pmod(F.shiftright(drawn, 8), F.lit(SLOTS)).cast("int") if turn else F.lit(0)
+    hubs = wide.groupBy("token", "window", slot.alias("slot")).agg(F.min(F.struct(first.alias("first"), *_side(wide, "h"))).alias("hub"))
+    met = wide.select("token", "window", *_side(wide, "d")).join(hubs.select("token", "window", "slot", "hub.*"), ["token", "window"]).where("cd <> ch")
     met = met.where(F.when(F.col("nd") <= F.col("nh"), _can_link("d", "h", percent)).otherwise(_can_link("h", "d", percent)))
-    best = met.groupBy("kd", "nd", "kh", "nh").agg(F.count("*").alias("lists")).groupBy("kd", "nd").agg(F.max(F.struct("lists", "kh", "nh")).alias("best"))
+    best = met.groupBy("kd", "nd", "kh", "nh", "slot").agg(F.count("*").alias("lists")).groupBy("kd", "nd", "slot").agg(F.max(F.struct("lists", "kh", "nh")).alias("best"))
     return best.select(*_ordered("kd", "nd", "best.kh", "best.nh")).distinct()
 
 
@@ -299,7 +304,7 @@ class _Listing:
         self.percent = percent
         step = float(np.log(100.0 / percent)) / FINE
         bucket = lambda x: F.floor(F.log(x.cast("double")) / step).cast("int")
-        reach = F.expr(f"((n - pos + level - 1) * {100 + percent}L) div {percent}L - n")
+        reach = F.expr(f"((n - pos) * {100 + percent}L) div {percent}L - n")
         least = F.expr(f"({percent}L * n + 99L) div 100L")
         rows = lists.withColumn("_reach", reach)
         short = rows.where("_reach >= n").withColumn("bucket", bucket(F.col("n"))).drop("_reach")
@@ -312,18 +317,21 @@ class _Listing:
         self.short = short.join(counts.select("token", "bucket", "main"), ["token", "bucket"]).withColumn("side", F.col("component") == F.col("main")).drop("main")
         self.meetings = self.needed.agg(F.coalesce(F.sum(F.when(F.col("of_main"), F.col("in_all") - F.col("in_main")).otherwise(F.col("in_all"))), F.lit(0))).first()[0]
 
-    def pairs(self) -> DataFrame:
-        """Pairs (a, na, b, nb, shared) that share as many prefix shingles as a link needs."""
+    def pairs(self, prefix: DataFrame) -> DataFrame:
+        """Pairs (a, na, b, nb, shared) whose prefixes (k, level, token) share as many shingles as the lesser level asks for."""
         sides = F.when(F.col("of_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         long = self.needed.select("token", "bucket", F.explode(sides).alias("side"), *_side(self.needed, "t"))
         short = self.short.select("token", "bucket", "side", *_side(self.short, "s"))
         once = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("ks") < F.col("kt")))
         met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent))
-        shared = met.groupBy("ks", "ns", "ls", "kt", "nt", "lt").agg(F.count("*").alias("shared")).where("shared >= least(ls, lt)")
+        both = met.select("ks", "ns", "kt", "nt").distinct()
+        for s in "st":
+            both = both.join(prefix.select(F.col("k").alias(f"k{s}"), F.col("level").alias(f"l{s}"), F.col("token").alias(f"x{s}")), f"k{s}")
+        shared = both.withColumn("shared", F.size(F.array_intersect("xs", "xt"))).where("shared >= least(ls, lt)")
         return shared.select(*_ordered("ks", "ns", "kt", "nt"), "shared")
 
 
-def _verified(open_lists: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
+def _verified(open_lists: DataFrame, prefix: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
     """Adds to links those among candidates that make components complete: by hubs first, then by listing what is left."""
     group = components(links) if links is not None else None
     verified: DataFrame | None = None
@@ -349,19 +357,19 @@ def _verified(open_lists: DataFrame, sets: DataFrame, links: DataFrame | None, p
             return links
         if turn:
             listing = _Listing(lists, percent)
-            if turn == HUB_ROUNDS or listing.meetings <= FEW * rows or (before is not None and listing.meetings > 0.7 * before):
+            if turn == HUB_ROUNDS or listing.meetings <= FEW * rows or (before is not None and listing.meetings > 0.8 * before):
                 break
             before = listing.meetings
             discard(listing.needed)
         verify(_stars(lists.where("pick"), turn, percent))
         discard(lists)
-    pairs = stored(listing.pairs(), "shingle-candidates")
+    pairs = stored(listing.pairs(prefix), "shingle-candidates")
     discard(lists)
     discard(listing.needed)
-    if pairs.count() > rows:  # first of a document's candidates in each other component the likeliest
-        of_b = _with_component(pairs, group, "b", "cb")
-        verify(of_b.groupBy("a", "na", "cb").agg(F.max(F.struct("shared", "b", "nb")).alias("best")).select("a", "na", "best.b", "best.nb"))
-    verify(_with_component(_with_component(pairs, group, "a", "ca"), group, "b", "cb").where("ca <> cb"))
+    apart = lambda: _with_component(_with_component(pairs, group, "a", "ca"), group, "b", "cb").where("ca <> cb")
+    if pairs.count() > rows:  # first the likeliest pair of each two components
+        verify(apart().groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.max(F.struct("shared", "a", "na", "b", "nb")).alias("best")).select("best.*"))
+    verify(apart())
     return links
 
 
@@ -377,8 +385,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     Shingles are ordered by classes of their frequencies over all documents, then by hash. A document
     asks for as many shared prefix shingles as its estimated candidate cost advises and has a prefix
-    that much longer; documents in a link share at least the lesser number of the two, at places
-    that leave enough of either for the rest (_can_link). Shingles of one document only are proven
+    that much longer; documents in a link share at least the lesser number of the two, the first at a
+    place that leaves enough of either for the rest (_can_link). Shingles of one document only are proven
     so by a filter and enter no list. Since components are asked for, candidates of one component
     need no verification: documents first link to a hub of their lists, and then every candidate
     pair that is still in two components is verified. No list is gathered in one row or in memory;
@@ -391,14 +399,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         rows = stored(prefixes(docs, common, size, percent), "shingle-rows")
         result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k", "th")
         classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick")]), "shingle-classes")
-        lists = classes.select(F.inline(F.arrays_zip("token", "pos", "pick")), "k", "n", F.col("level").cast("long").alias("level"), "th").withColumn("pos", F.col("pos").cast("long"))
+        lists = classes.select(F.inline(F.arrays_zip("token", "pos", "pick")), "k", "n", "th").withColumn("pos", F.col("pos").cast("long"))
+        lists = lists.where(F.expr(f"n - pos >= ({percent}L * n + 99L) div 100L"))  # the first shared shingle is one of these
         open_lists = stored(_mixed(lists.withColumn("component", F.col("k"))).drop("component"), "shingle-lists")
         sets = stored(_shared_shingles(docs, open_lists.select("th").distinct(), common, size), "shingle-sets")
         repeated = rows.where("doc_id is not null and k is not null").groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id", "lo")
         links = None
         if not repeated.isEmpty():
             links = stored(rows.where("k is not null").join(repeated, "doc_id").where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")), "shingle-links")
-        links = _verified(open_lists.drop("th"), sets, links, percent)
+        links = _verified(open_lists.drop("th"), classes, sets, links, percent)
         placed = result if links is None else _with_component(result, components(links), "k", "component").drop("k").withColumnRenamed("component", "k")
         placed = stored(placed, "shingle-components")
         for path in paths[:-1]:
