@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geo
 
-#: Cells of the plane for each unit of it: about 25 km near the centre.
-CELLS = 256
+#: Cells of the plane that areas are covered by, for each unit of it: about 6 km near the centre.
+CELLS = 1024
+#: Cells in which edges meet edges are as large as the median edge, within these bounds: about 25 km and 100 m.
+COARSEST_MEETING, FINEST_MEETING = 256.0, 65536.0
 #: Slabs of the plane for each unit of it: about 3 km.
 SLABS = 2048
 #: Cubes on the sphere have edges of 2**-level; the finest is about 100 m.
@@ -58,8 +60,30 @@ def segments(vertices: DataFrame, keys: list[str], closed: bool) -> DataFrame:
     )
 
 
+def extent(a: str = "a", b: str = "b") -> Column:
+    """The longer side of an edge's box in the plane."""
+    return F.greatest(F.abs(F.col(f"{b}x") - F.col(f"{a}x")), F.abs(F.col(f"{b}y") - F.col(f"{a}y")))
+
+
 def in_cells(edges: DataFrame, per_unit: float = CELLS) -> DataFrame:
-    """A row for each cell that an edge's box meets."""
-    xs = covered(F.least("ax", "bx"), F.greatest("ax", "bx"), per_unit)
-    ys = covered(F.least("ay", "by"), F.greatest("ay", "by"), per_unit)
-    return edges.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
+    """A row for each cell that the boxes of an edge's pieces meet; pieces are at most as long as a cell, so a long edge has cells along its line only."""
+    n = F.greatest(F.lit(1), F.ceil(extent() * geo.number(per_unit))).cast("int")
+    out = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+    def span(c: str, at: Column) -> tuple[Column, Column]:
+        ends = [F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * i / F.col("_n") for i in (at, at + 1)]
+        return floor_cell(F.least(*ends) - geo.number(geo.EPS), per_unit), floor_cell(F.greatest(*ends) + geo.number(geo.EPS), per_unit)
+
+    for c in "xy":
+        (lo, hi), (lo_before, hi_before) = span(c, F.col("_i")), span(c, F.col("_i") - 1)
+        out = out.withColumns({f"_lo{c}": lo, f"_hi{c}": hi, f"_was_lo{c}": lo_before, f"_was_hi{c}": hi_before})
+    out = out.withColumn("cx", F.explode(F.sequence("_lox", "_hix"))).withColumn("cy", F.explode(F.sequence("_loy", "_hiy")))
+    # A cell that the piece before has, too, has been given.
+    given = (F.col("_i") > 0) & F.col("cx").between(F.col("_was_lox"), F.col("_was_hix")) & F.col("cy").between(F.col("_was_loy"), F.col("_was_hiy"))
+    return out.where(~given).drop("_n", "_i", *[f"{n}{c}" for n in ("_lo", "_hi", "_was_lo", "_was_hi") for c in "xy"])
+
+
+def meeting_cells(edges: DataFrame) -> float:
+    """Cells for each unit of the plane that suit these edges."""
+    median = edges.agg(F.percentile_approx(extent(), 0.5, 1000)).first()[0]
+    return min(FINEST_MEETING, max(COARSEST_MEETING, 1.0 / median if median else FINEST_MEETING))

@@ -7,60 +7,69 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import geo
-from geoloom.operators.cells import FINEST, cube, cube_key, projected, segments, sphered
+from geoloom.operators.cells import FINEST, cube, cube_key, extent, projected, segments, sphered
 from geoloom.operators.regions import AREA, area_edges, area_ordinals, regions_at
 from geoloom.plans.settle import settled
 
 #: Slack on bounds, so that rounding never drops a tie.
 SLACK_M = 1e-8
+#: Points that go to the queries, in their cubes of all levels, at most.
+SMALL = 50_000
 
 
 def _levels() -> Column:
     return F.sequence(F.lit(0), F.lit(FINEST))
 
 
+def _few(points: DataFrame) -> bool:
+    return points.limit(SMALL + 1).count() <= SMALL
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, type_rank, id, distance_m) of the k points nearest each query, by distance, type and id.
 
     queries: (query_id, lat_e7, lon_e7); points: (type_rank, id, lat_e7, lon_e7). Each query takes
     the finest cube around it that holds k points; the k-th distance within it bounds the search,
     which then reads the 27 cubes of the finest level whose edge is at least that bound. A query
-    with fewer than k points in its cubes of all levels searches the coarsest level, which is everything.
+    with fewer than k points in its cubes of all levels searches the coarsest level, which is
+    everything. Where points are few by count, they go to the queries; else both are shuffled by cube.
     """
     if k <= 0:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, type_rank int, id long, distance_m double")
     q = sphered(queries.select("query_id", "lat_e7", "lon_e7"), "q").drop("lat_e7", "lon_e7")
-    p = sphered(points.select("type_rank", "id", "lat_e7", "lon_e7"), "p").drop("lat_e7", "lon_e7")
-    full = _count_cubes(p).where(F.col("n") >= k).drop("n")
+    p = settled(sphered(points.select("type_rank", "id", "lat_e7", "lon_e7"), "p").drop("lat_e7", "lon_e7"))
+    sent = F.broadcast if _few(p) else lambda df: df
+    full = sent(_count_cubes(p).where(F.col("n") >= k).drop("n"))
     own = q.withColumn("level", F.explode(_levels())).withColumn("cube", cube(*geo.fields("q"), F.col("level")))
     start = own.join(full, ["level", "cube"]).groupBy("query_id").agg(F.max("level").alias("level"))
     started = q.join(start, "query_id", "left")
     inside = started.where("level is not null").withColumn("cube", cube(*geo.fields("q"), F.col("level")))
-    leveled = p.withColumn("level", F.explode(_levels())).withColumn("cube", cube(*geo.fields("p"), F.col("level")))
+    leveled = sent(p.withColumn("level", F.explode(_levels())).withColumn("cube", cube(*geo.fields("p"), F.col("level"))))
     distance = geo.metres(geo.fields("q"), geo.fields("p"))
     first = inside.join(leveled, ["level", "cube"]).select("query_id", distance.alias("distance_m"))
     by_distance = Window.partitionBy("query_id").orderBy("distance_m")
     bound = first.withColumn("r", F.row_number().over(by_distance)).where(F.col("r") <= k).groupBy("query_id").agg(F.max("distance_m").alias("bound"))
     bounded = q.join(settled(bound), "query_id", "left").withColumn("bound", F.col("bound") + SLACK_M)
-    return _ranked(_within(bounded, p), k)
+    return _ranked(_within(bounded, leveled), k)
 
 
 def _count_cubes(points: DataFrame) -> DataFrame:
     return points.withColumn("level", F.explode(_levels())).groupBy("level", cube(*geo.fields("p"), F.col("level")).alias("cube")).agg(F.count("*").alias("n"))
 
 
-def _within(bounded: DataFrame, points: DataFrame) -> DataFrame:
-    """Points no farther than each query's bound (null: all), by the cubes around it."""
+def _within(bounded: DataFrame, leveled: DataFrame) -> DataFrame:
+    """Points no farther than each query's bound (null: all), by the cubes around it. leveled: points in their cubes of all levels."""
     chord = 2 * F.sin(F.least(F.col("bound") / (2 * geo.EARTH_RADIUS_M), F.lit(1.5707963))) + F.lit(1e-9)
     level = F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(-F.log2(chord)))).cast("int")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    placed = bounded.withColumn("level", F.coalesce(level, F.lit(0)))
-    at = {c: F.floor((F.col(f"q{c}") + 1) * F.pow(F.lit(2.0), F.col("level"))).cast("long") for c in "xyz"}
-    for c in "xyz":
-        placed = placed.withColumn(f"_{c}", at[c]).withColumn(f"_d{c}", F.explode(around)).withColumn(f"_{c}", F.col(f"_{c}") + F.col(f"_d{c}")).drop(f"_d{c}")
-    placed = placed.where("_x >= 0 and _y >= 0 and _z >= 0").withColumn("cube", cube_key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
-    leveled = points.withColumn("level", F.explode(_levels())).withColumn("cube", cube(*geo.fields("p"), F.col("level")))
-    met = placed.join(leveled, ["level", "cube"]).withColumn("distance_m", geo.metres(geo.fields("q"), geo.fields("p")))
+    placed = bounded.withColumn("_chord", chord).withColumn("level", F.coalesce(level, F.lit(0)))
+    for c in "xyz":  # of the three cubes on each axis those that the ball of the bound meets
+        at = lambda by, c=c: F.floor((F.col(f"q{c}") + 1 + by) * F.pow(F.lit(2.0), F.col("level"))).cast("long")
+        placed = placed.withColumn(f"_{c}", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), at(-F.coalesce("_chord", F.lit(2.0)))), at(F.coalesce("_chord", F.lit(2.0))))))
+    placed = placed.withColumn("cube", cube_key(F.col("_x"), F.col("_y"), F.col("_z"))).drop("_x", "_y", "_z")
+    met = placed.join(leveled, ["level", "cube"])
+    # Rounding of the squared chord is far below its pad.
+    near = sum(((F.col(f"q{c}") - F.col(f"p{c}")) * (F.col(f"q{c}") - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0)) <= F.col("_chord") * F.col("_chord") + F.lit(1e-15)
+    met = met.where(F.col("bound").isNull() | near).withColumn("distance_m", geo.metres(geo.fields("q"), geo.fields("p")))
     return met.where("bound is null or distance_m <= bound")
 
 
@@ -78,37 +87,70 @@ def knn_buildings(queries: DataFrame, buildings: DataFrame, k: int = 10) -> Data
     return knn(queries, queryable(buildings), k)
 
 
+def _even(level: Column) -> Column:
+    """The next coarser of every second level, from -12 to FINEST."""
+    return (F.floor(F.greatest(F.lit(-12), F.least(F.lit(FINEST), level)) / 2) * 2).cast("int")
+
+
+def _spans(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, prefix: str) -> DataFrame:
+    """A row for each cell (cx, cy) of its level that the box meets, and the box's least cell (prefix x, prefix y)."""
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    at = lambda v: F.floor(v * scale).cast("long")
+    df = df.withColumns({f"{prefix}x": at(x0), f"{prefix}y": at(y0), "_hx": at(x1), "_hy": at(y1)})
+    return df.withColumn("cx", F.explode(F.sequence(f"{prefix}x", "_hx"))).withColumn("cy", F.explode(F.sequence(f"{prefix}y", "_hy"))).drop("_hx", "_hy")
+
+
 def nearest_segment(queries: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """The nearest edge of each query: (query_id, key, distance_m, plat, plon), ties by key.
 
-    edges: key, alat, alon, blat, blon, ax, ay, bx, by. The nearest end of any edge bounds the
-    distance; the disc of that radius, padded for the plane's stretch, is covered by at most 3 x 3
-    cells of the finest level that is as large, and edges are met in the cells of their boxes.
+    edges: key, alat, alon, blat, blon, ax, ay, bx, by. Each edge is in the at most four cells of the
+    plane that its box meets on the level of its own size. The nearest edge in a query's own cells
+    bounds the distance (the nearest end of any edge, where there is none); the disc of that radius,
+    padded for the plane's stretch, then meets edges in few cells: of the levels of edges that are
+    no finer than the disc, and, for all finer edges at once, of the disc's own level.
     """
-    ends = edges.select(F.col("alat").alias("lat_e7"), F.col("alon").alias("lon_e7")).unionAll(edges.select("blat", "blon")).distinct()
-    ends = ends.withColumn("type_rank", F.lit(0)).withColumn("id", F.col("lat_e7") * F.lit(1 << 32) + F.col("lon_e7"))
-    bound = settled(knn(queries, ends, 1).select("query_id", (F.col("distance_m") + SLACK_M).alias("bound")))
-    q = projected(sphered(queries.select("query_id", "lat_e7", "lon_e7"), "q"), prefix="g").drop("lat_e7", "lon_e7").join(bound, "query_id")
+    e = sphered(sphered(edges, "u", "alat", "alon"), "v", "blat", "blon").withColumn("own", _even(F.floor(-F.log2(F.greatest(extent(), F.lit(1e-12))))))
+    e = settled(e.select(*key, "alat", "alon", "blat", "blon", "own", "ax", "ay", "bx", "by", *[f"{p}{c}" for p in "uv" for c in "xyz"]))
+    eps = F.lit(geo.EPS)
+    box = (F.least("ax", "bx") - eps, F.greatest("ax", "bx") + eps, F.least("ay", "by") - eps, F.greatest("ay", "by") + eps)
+    ends = [f"{p}{c}" for p in "uv" for c in "xyz"]
+    used = sorted(r["own"] for r in e.select("own").distinct().collect())  # at most 15 levels
+    q = settled(projected(sphered(queries.select("query_id", "lat_e7", "lon_e7"), "q"), prefix="g").drop("lat_e7", "lon_e7"))
+    in_own = _spans(e.withColumn("level", F.col("own")), *box, "e")
+    levels = F.array(*[F.lit(v) for v in used]).cast("array<int>")
+
+    at_q = q.withColumn("level", F.explode(levels))
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    at_q = at_q.withColumn("cx", F.floor(F.col("gx") * scale)).withColumn("cy", F.floor(F.col("gy") * scale))
+    met = at_q.join(in_own.select("level", "cx", "cy", *ends), ["level", "cx", "cy"])
+    bound = settled(geo.with_nearest_on_arc(met).groupBy("query_id").agg((F.min("distance_m") + SLACK_M).alias("bound")))
+    rest = queries.join(bound, "query_id", "left_anti").select("query_id", "lat_e7", "lon_e7")
+    if not rest.isEmpty():
+        points = edges.select(F.col("alat").alias("lat_e7"), F.col("alon").alias("lon_e7")).unionAll(edges.select("blat", "blon")).distinct()
+        points = points.withColumn("type_rank", F.lit(0)).withColumn("id", F.col("lat_e7") * F.lit(1 << 32) + F.col("lon_e7"))
+        bound = settled(bound.unionByName(knn(rest, points, 1).select("query_id", (F.col("distance_m") + SLACK_M).alias("bound"))))
+
+    q = q.join(bound, "query_id")
     # The plane stretches by at most 1 / cos^2 of the angle to the centre, here of the disc's far side.
     reach = F.least(F.atan(F.hypot("gx", "gy")) + F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.5707))
     pad = F.tan(F.least(F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.57))) / F.pow(F.cos(reach), 2) + F.lit(1e-9)
-    q = q.withColumn("level", F.greatest(F.lit(-12), F.least(F.lit(FINEST), F.floor(-F.log2(pad)))).cast("int"))
-    used = q.select("level").distinct()
-    scale = F.pow(F.lit(2.0), F.col("level"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    q = q.withColumn("cx", F.floor(F.col("gx") * scale)).withColumn("cy", F.floor(F.col("gy") * scale))
-    q = q.withColumn("_d", F.explode(around)).withColumn("cx", F.col("cx") + F.col("_d")).withColumn("_d", F.explode(around)).withColumn("cy", F.col("cy") + F.col("_d")).drop("_d")
-    # One row of at most FINEST + 13 levels, whatever the input.
-    e = edges.join(F.broadcast(used.agg(F.collect_list("level").alias("levels"))), F.lit(True)).withColumn("level", F.explode("levels")).drop("levels")
-    e = e.withColumn("cx", F.explode(F.sequence(F.floor(F.least("ax", "bx") * scale), F.floor(F.greatest("ax", "bx") * scale))))
-    e = e.withColumn("cy", F.explode(F.sequence(F.floor(F.least("ay", "by") * scale), F.floor(F.greatest("ay", "by") * scale))))
-    met = q.join(e.select(*key, "level", "cx", "cy", "alat", "alon", "blat", "blon"), ["level", "cx", "cy"]).drop("level", "cx", "cy", "gx", "gy", "bound").distinct()
-    met = sphered(sphered(met, "u", "alat", "alon"), "v", "blat", "blon")
-    met = geo.with_nearest_on_arc(met)
+    q = settled(q.withColumn("_pad", pad).withColumn("_own", _even(F.floor(-F.log2(pad)))))
+    discs = sorted(r["_own"] for r in q.select("_own").distinct().collect())  # at most 15 levels
+    x0, x1, y0, y1 = e.agg(F.min(box[0]), F.max(box[1]), F.min(box[2]), F.max(box[3])).first()  # discs end where edges do
+    number = lambda v: F.lit(float(v or 0.0))
+    whole = (F.greatest(F.col("gx") - F.col("_pad"), number(x0)), F.least(F.col("gx") + F.col("_pad"), number(x1)), F.greatest(F.col("gy") - F.col("_pad"), number(y0)), F.least(F.col("gy") + F.col("_pad"), number(y1)))
+    plain = q.withColumn("level", F.explode(F.filter(levels, lambda v: v <= F.col("_own")))).withColumn("fine", F.lit(False))
+    asked = _spans(plain.unionByName(q.withColumn("level", F.col("_own")).withColumn("fine", F.lit(True))), *whole, "d")
+    coarser = F.filter(F.array(*[F.lit(v) for v in discs]).cast("array<int>"), lambda v: v < F.col("own"))
+    finer = _spans(e.withColumn("level", F.explode(coarser)), *box, "e").withColumn("fine", F.lit(True))
+    given = in_own.withColumn("fine", F.lit(False)).unionByName(finer)
+    met = asked.join(given.drop("ax", "ay", "bx", "by"), ["level", "fine", "cx", "cy"])
+    met = met.where((F.col("cx") == F.greatest("dx", "ex")) & (F.col("cy") == F.greatest("dy", "ey")))  # each pair in its first cell only
+    met = geo.with_nearest_on_arc(met.select("query_id", *key, *[f"q{c}" for c in "xyz"], *ends))
+    best = met.groupBy("query_id").agg(F.min(F.struct("distance_m", *key, "nx", "ny", "nz")).alias("b"))
+    best = best.select("query_id", *[F.col(f"b.{c}").alias(c) for c in (*key, "distance_m", "nx", "ny", "nz")])
     lat, lon = geo.vector_to_e7(geo.fields("n"))
-    met = met.withColumn("plat", lat).withColumn("plon", lon)
-    best = met.groupBy("query_id").agg(F.min(F.struct("distance_m", *key, "plat", "plon")).alias("b"))
-    return best.select("query_id", *[F.col(f"b.{c}").alias(c) for c in (*key, "distance_m", "plat", "plon")])
+    return best.withColumn("plat", lat).withColumn("plon", lon).select("query_id", *key, "distance_m", "plat", "plon")
 
 
 def nearest_street(queries: DataFrame, street_vertices: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import geo
-from geoloom.operators.cells import CELLS, SLABS, covered, floor_cell, in_cells, projected, segments
+from geoloom.operators.cells import CELLS, SLABS, covered, floor_cell, in_cells, meeting_cells, projected, segments
 from geoloom.plans.settle import settled
 
 AREA = ["area_type", "area_id"]
@@ -67,10 +67,13 @@ def covers(pairs: DataFrame, area_vertices: DataFrame, key: list[str]) -> DataFr
 
 
 def _meeting(paths: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Paths' segments (key, a, b) that meet area edges."""
-    left = in_cells(paths).select(*key, "cx", "cy", *[F.col(c).alias(f"p{c}") for c in ("ax", "ay", "bx", "by")])
-    met = left.join(in_cells(edges).select(*AREA, "cx", "cy", "ax", "ay", "bx", "by"), ["cx", "cy"])
+    """Paths' segments (key, a, b) that meet area edges, by cells as large as the median area edge; boxes are compared first."""
+    per_unit = meeting_cells(edges)
     c = F.col
+    left = in_cells(paths, per_unit).select(*key, "cx", "cy", *[c(v).alias(f"p{v}") for v in ("ax", "ay", "bx", "by")])
+    met = left.join(in_cells(edges, per_unit).select(*AREA, "cx", "cy", "ax", "ay", "bx", "by"), ["cx", "cy"])
+    for v in "xy":
+        met = met.where((F.greatest(f"pa{v}", f"pb{v}") >= F.least(f"a{v}", f"b{v}")) & (F.least(f"pa{v}", f"pb{v}") <= F.greatest(f"a{v}", f"b{v}")))
     hit = geo.segments_meet((c("pax"), c("pay")), (c("pbx"), c("pby")), (c("ax"), c("ay")), (c("bx"), c("by")))
     return met.where(hit).select(*key, *AREA).distinct()
 

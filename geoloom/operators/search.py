@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.text import name_contains, typed_id
+from geoloom.functions.text import ascii_fold, typed_id
 
 
 def name_search(queries: DataFrame, *sources: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def name_search(queries: DataFrame, *sources: DataFrame) -> DataFrame:
         part = s.select("type_rank", "id", "name").where("name is not null")
         names = part if names is None else names.unionByName(part)
     few = queries.limit(100_001).count() <= 100_000
-    q = queries.where("query <> ''")
-    hits = names.join(F.broadcast(q) if few else q, name_contains(F.col("name"), F.col("query"))).select("line", "type_rank", "id").distinct()
+    q = queries.where("query <> ''").select("line", ascii_fold(F.col("query")).alias("_query"))
+    names = names.select("type_rank", "id", ascii_fold(F.col("name")).alias("_name"))  # once for each name, not for each pair
+    hits = names.join(F.broadcast(q) if few else q, F.contains(F.col("_name"), F.col("_query"))).select("line", "type_rank", "id").distinct()
     joined = hits.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("type_rank", "id"))).alias("hits"))
     text = F.array_join(F.transform("hits", lambda h: typed_id(h["type_rank"], h["id"])), ", ")
     return queries.join(joined, "line", "left").select("line", "query", F.coalesce(text, F.lit("")).alias("ids"))

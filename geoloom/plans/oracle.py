@@ -134,11 +134,11 @@ def arc(edges: str, key: str) -> str:
     return f"""eu AS (SELECT {key}, {u}, {v} FROM {edges}),
 en AS (SELECT *, uy * vz - uz * vy AS mx, uz * vx - ux * vz AS my, ux * vy - uy * vx AS mz FROM eu),
 el AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS ml FROM en),
-eh AS (SELECT * EXCLUDE (mx, my, mz), mx / nullif(ml, 0) AS nx, my / nullif(ml, 0) AS ny, mz / nullif(ml, 0) AS nz FROM el),
+eh AS (SELECT * EXCLUDE (mx, my, mz), mx * (1 / nullif(ml, 0)) AS nx, my * (1 / nullif(ml, 0)) AS ny, mz * (1 / nullif(ml, 0)) AS nz FROM el),
 f0 AS (SELECT *, qx * nx + qy * ny + qz * nz AS h FROM qu, eh),
 f1 AS (SELECT *, qx - nx * h AS fx0, qy - ny * h AS fy0, qz - nz * h AS fz0 FROM f0),
 f2 AS (SELECT *, sqrt(fx0 * fx0 + fy0 * fy0 + fz0 * fz0) AS fl FROM f1),
-f3 AS (SELECT *, fx0 / nullif(fl, 0) AS fx, fy0 / nullif(fl, 0) AS fy, fz0 / nullif(fl, 0) AS fz FROM f2),
+f3 AS (SELECT *, fx0 * (1 / nullif(fl, 0)) AS fx, fy0 * (1 / nullif(fl, 0)) AS fy, fz0 * (1 / nullif(fl, 0)) AS fz FROM f2),
 f4 AS (SELECT query_id, {key}, least({angle("q", "u")}, {angle("q", "v")}) AS ends, {angle("q", "f")} AS foot,
   ml > 1e-15 AND fl > 1e-15 AND (uy * fz - uz * fy) * nx + (uz * fx - ux * fz) * ny + (ux * fy - uy * fx) * nz >= -1e-14
     AND (fy * vz - fz * vy) * nx + (fz * vx - fx * vz) * ny + (fx * vy - fy * vx) * nz >= -1e-14 AS between FROM f3),

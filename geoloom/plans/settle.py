@@ -1,15 +1,38 @@
-"""Cutting a plan where one result feeds several others."""
+"""Intermediate results that are written: later plans read columns of them, and lost executors do not lose them."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. A local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, worked out once and kept in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="geoloom-"))
-    return df.checkpoint()
+    """Writes df as Parquet to the shared folder and reads it back. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/geoloom/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_discard, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+    except Exception:  # noqa: BLE001  the session has ended; the folder is temporary
+        pass
