@@ -22,7 +22,11 @@ class Extraction:
     buildings: DataFrame
     streets: DataFrame
     areas: DataFrame
-    stats: DataFrame
+    report: tuple[DataFrame, ...]
+
+    @property
+    def stats(self) -> DataFrame:
+        return extraction_stats(self.buildings, self.streets, self.areas, self.report)
 
 
 def valid(lat: Column, lon: Column) -> Column:
@@ -192,16 +196,38 @@ def extract(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> Extracti
     own = F.array(F.struct(F.lit(0).alias("ring"), F.lit(1).alias("component"), F.lit(False).alias("is_inner"), "points"))
     of_ways = shaped.where(is_area & closed(F.col("points")) & (F.col("missing") == 0)).select(F.lit(1).alias("type_rank"), "id", *area_fields, F.lit(True).alias("has_geometry"), F.lit(1).cast("long").alias("outer_ring_count"), F.lit(0).cast("long").alias("inner_ring_count"), own.alias("rings"))
     areas = of_relations.unionByName(of_ways)
-    return Extraction(buildings, streets, areas, extraction_stats(buildings, streets, areas))
+    report = (processed(nodes, ways, relations), relation_faults(relations.where(is_area), geometry), geometry.agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("invalid_way_nodes")))
+    return Extraction(buildings, streets, areas, report)
+
 
+def processed(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row: how many raw nodes, ways and relations there are."""
+    n, w, r = (df.agg(F.count("*").alias(f"processed_{name}")) for name, df in (("nodes", nodes), ("ways", ways), ("relations", relations)))
+    return n.join(w, F.lit(True)).join(r, F.lit(True))
 
-def extraction_stats(buildings: DataFrame, streets: DataFrame, areas: DataFrame) -> DataFrame:
-    """One row: how many buildings (without name, without point), streets and areas (without geometry)."""
+
+def relation_faults(relations: DataFrame, geometry: DataFrame) -> DataFrame:
+    """One row: of relations whose type makes rings, how many lack a member way (or a point of one), and how many line ends of complete ones meet no other."""
+    typed = relations.where(F.coalesce(tx.tag("type").isin("multipolygon", "boundary"), F.lit(False)))
+    members = typed.select(F.col("id").alias("relation"), F.explode("members").alias("m")).where("m.type = 'way'").select("relation", F.col("m.ref").alias("id"))
+    placed = members.join(geometry.where("missing = 0"), "id", "left")
+    whole = placed.groupBy("relation").agg(F.count_if(F.col("points").isNull()).alias("lacking"))
+    ends = placed.where(F.size("points") > 1).select("relation", F.explode(F.array(F.element_at("points", 1), F.element_at("points", -1))).alias("end"))
+    odd = ends.groupBy("relation", "end").agg(F.count("*").alias("n")).where("n % 2 = 1").join(whole.where("lacking = 0"), "relation", "left_semi")
+    incomplete = whole.agg(F.coalesce(F.count_if(F.col("lacking") > 0), F.lit(0)).alias("incomplete_relations"))
+    return incomplete.join(odd.agg(F.floor(F.count("*") / 2).alias("open_rings")), F.lit(True))
+
+
+def extraction_stats(buildings: DataFrame, streets: DataFrame, areas: DataFrame, report: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """One row: buildings (without name, without point), streets, areas (their rings, how many have none), and the rows of report."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    b = buildings.agg(F.count("*").alias("buildings"), zero(F.count_if(F.col("name").isNull())).alias("buildings_without_name"), zero(F.count_if(~F.col("has_point"))).alias("buildings_without_point"))
-    s = streets.agg(F.count("*").alias("streets"))
-    a = areas.agg(F.count("*").alias("areas"), zero(F.count_if(~F.col("has_geometry"))).alias("areas_without_geometry"))
-    return b.join(s, F.lit(True)).join(a, F.lit(True))
+    out = buildings.agg(F.count("*").alias("buildings"), zero(F.count_if(F.col("name").isNull())).alias("buildings_without_name"), zero(F.count_if(~F.col("has_point"))).alias("buildings_without_point"))
+    out = out.join(streets.agg(F.count("*").alias("streets")), F.lit(True))
+    rings = [zero(F.sum(f"{kind}_ring_count")).alias(f"{kind}_rings") for kind in ("outer", "inner")]
+    out = out.join(areas.agg(F.count("*").alias("areas"), zero(F.count_if(~F.col("has_geometry"))).alias("areas_without_geometry"), *rings), F.lit(True))
+    for part in report:
+        out = out.join(part, F.lit(True))  # one row each
+    return out
 
 
 def area_vertices(areas: DataFrame) -> DataFrame:

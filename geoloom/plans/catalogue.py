@@ -288,21 +288,53 @@ def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.select("id", "centroid", F.expr("p.lat_e7 div 10").alias("lat_e6"), F.expr("p.lon_e7 div 10").alias("lon_e6"))
 
 
-@query()
+@query(
+    f"""WITH {o.RAW}, {o.SHAPES}, pl AS (SELECT refs.id, coalesce(lat_e7 <= 900000000, false) AS ok FROM refs JOIN needed USING (id) LEFT JOIN (SELECT id AS ref, lat_e7 FROM rn) USING (ref)),
+g AS (SELECT id, count(*) FILTER (ok) AS points, count(*) FILTER (NOT ok) AS missing FROM pl GROUP BY id), w AS (SELECT rw.*, points, missing FROM rw JOIN g USING (id)),
+rl AS (SELECT rr.*, count(ref) FILTER (missing = 0) AS good, count(ref) AS members, coalesce(sum(points), 0) AS points FROM rr LEFT JOIN mem ON relation = id LEFT JOIN g ON g.id = ref GROUP BY ALL),
+b AS (SELECT named, true AS placed FROM rn WHERE (building OR addressed) AND lat_e7 <= 900000000 UNION ALL SELECT named, points > 0 FROM w WHERE building UNION ALL SELECT named, points > 0 FROM rl WHERE building
+  UNION ALL SELECT k % 3 <> 0, true FROM k),
+cw AS (SELECT w.id FROM w JOIN (SELECT id, arg_min(ref, pos) = arg_max(ref, pos) AS shut, count(*) AS n FROM refs GROUP BY id) USING (id) WHERE boundary IS NOT NULL AND missing = 0 AND shut AND n >= 4),
+ends AS (SELECT relation, unnest([f, t]) AS ref FROM mem JOIN (SELECT id, arg_min(ref, pos) AS f, arg_max(ref, pos) AS t FROM refs GROUP BY id) e ON e.id = mem.ref JOIN rl ON rl.id = relation WHERE rl.boundary IS NOT NULL AND good = members),
+odd AS (SELECT relation, ref FROM ends GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT (SELECT count(*) FROM b) AS buildings, (SELECT count(*) FROM b WHERE NOT named) AS buildings_without_name, (SELECT count(*) FROM b WHERE NOT placed) AS buildings_without_point,
+  (SELECT count(*) FROM w WHERE highway AND points >= 2) AS streets, (SELECT count(*) FROM rr WHERE boundary IS NOT NULL) + (SELECT count(*) FROM cw) + (SELECT count(*) FROM k WHERE k % 4 <> 3) AS areas,
+  (SELECT count(*) FROM rr WHERE boundary IS NOT NULL) + (SELECT count(*) FROM k WHERE k % 4 <> 3) - (SELECT count(*) FROM whole) AS areas_without_geometry,
+  (SELECT count(*) FROM cw) + (SELECT CAST(coalesce(sum(CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END), 0) AS BIGINT) FROM whole) AS outer_rings, (SELECT count(*) FROM whole) AS inner_rings,
+  (SELECT count(*) FROM rn) + 12 * (SELECT count(*) FROM k) AS processed_nodes, (SELECT count(*) FROM rw) + 4 * (SELECT count(*) FROM k) AS processed_ways, (SELECT count(*) FROM rr) + (SELECT count(*) FROM k) AS processed_relations,
+  (SELECT count(*) FROM rl WHERE boundary IS NOT NULL AND good < members) + (SELECT count(*) FROM k WHERE k % 4 <> 3 AND k % 7 = 0) AS incomplete_relations,
+  (SELECT count(*) // 2 FROM odd) + (SELECT count(*) FROM k WHERE k % 4 <> 3 AND k % 7 <> 0 AND k % 11 = 0) AS open_rings, (SELECT CAST(sum(missing) AS BIGINT) FROM g) AS invalid_way_nodes"""
+)
 def extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(*derived.raw(spark, sf_dir)).stats
+    nodes, ways, relations = derived.raw(spark, sf_dir)
+    more = derived.shapes(spark, sf_dir)
+    apart = 1 << 40  # the shapes' ids
+    moved = lambda c: (F.col(c) + apart).alias(c)
+    nodes = nodes.unionByName(more[0].select(moved("id"), "lat_e7", "lon_e7", "tags"))
+    ways = ways.unionByName(more[1].select(moved("id"), F.transform("node_refs", lambda r: r + apart).alias("node_refs"), "tags"))
+    member = lambda m: F.struct(m["type"].alias("type"), (m["ref"] + apart).alias("ref"), m["role"].alias("role"))
+    relations = relations.unionByName(more[2].select(moved("id"), F.transform("members", member).alias("members"), "tags"))
+    return extract.extract(nodes, ways, relations).stats
 
 
-@query()
+_RING = "SELECT 2 AS type_rank, k AS id, {} AS component, {} AS ring, {} AS is_inner, {} AS points FROM whole"
+
+
+@query(
+    f"WITH {o.SHAPES} {_RING.format(1, 0, 'false', o.ring(o.OUTER))} UNION ALL {_RING.format(1, 1, 'true', o.ring(o.INNER))} UNION ALL {_RING.format(2, 2, 'false', o.ring(o.FAR))} WHERE k % 5 = 0"
+)
 def relation_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, ways, relations = derived.raw(spark, sf_dir)
-    needed = extract.ways_with_geometry(ways, relations)
-    return extract.relation_rings(relations, extract.way_geometry(needed, nodes))
+    nodes, ways, relations = derived.shapes(spark, sf_dir)
+    rings = extract.relation_rings(relations, extract.way_geometry(extract.ways_with_geometry(ways, relations), nodes))
+    return rings.withColumn("points", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["lat_e7"].cast("string"), p["lon_e7"].cast("string"))), ", "))
 
 
-@query()
+@query(
+    # The middle of the outline, and of the closed way in it; where only the far way is closed beside it, the larger one's.
+    f"WITH {o.SHAPES} SELECT k AS id, lat0 + 2000 AS lat_e7, lon0 + 2000 AS lon_e7, true AS has_point FROM k"
+)
 def largest_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(*derived.raw(spark, sf_dir)).buildings.where("type_rank = 2").select("id", "lat_e7", "lon_e7", "has_point")
+    return extract.extract(*derived.shapes(spark, sf_dir)).buildings.where("type_rank = 2").select("id", "lat_e7", "lon_e7", "has_point")
 
 
 LINES = ["48.732025 9.149272", "48.734109  9.104308", "1 2 3", "91 0", "0 -180.1", "", "nan 1", "  5 6  ", "1e1 -2.5", "x 1", "-90 180", "12"]
@@ -367,14 +399,26 @@ def building_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("obj_type", "obj_id", F.array_join(text, ", ").alias("regions"))
 
 
-@query()
+_PAIR = "'[' || printf('%.7f', lon_e7 / 1e7::DOUBLE) || ',' || printf('%.7f', lat_e7 / 1e7::DOUBLE) || ']'"
+
+
+@query(
+    f"""WITH {o.STREETS}, line AS (SELECT id, string_agg({_PAIR}, ',' ORDER BY pos) AS c FROM sv GROUP BY id)
+SELECT 1 AS type_rank, id, '{{"type":"Feature","properties":{{"id":"way/' || id || '","name":"Road ' || (id % 997) || '"}},"geometry":{{"type":"LineString","coordinates":[' || c || ']}}}}' AS feature FROM line"""
+)
 def geojson_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     vertices = derived.street_vertices(spark, sf_dir)
     rows = describe.line_geojson(vertices, ["id"]).join(derived.streets(vertices), "id").withColumn("type_rank", F.lit(1))
     return describe.features(rows, ["name"])
 
 
-@query()
+@query(
+    f"""WITH {o.AREAS}, pt AS (SELECT *, {_PAIR} AS p FROM av),
+rings AS (SELECT type_rank, id, component, ring, is_inner, '[' || string_agg(p, ',' ORDER BY pos) || ',' || arg_min(p, pos) || ']' AS r FROM pt GROUP BY ALL),
+polygons AS (SELECT type_rank, id, component, '[' || string_agg(r, ',' ORDER BY is_inner, ring) || ']' AS r FROM rings GROUP BY ALL),
+shapes AS (SELECT type_rank, id, string_agg(r, ',' ORDER BY component) AS r FROM polygons GROUP BY ALL)
+SELECT type_rank, id, '{{"type":"Feature","properties":{{"id":"' || {o.TYPED} || '","name":"' || name || '","admin_level":' || admin_level || '}},"geometry":{{"type":"MultiPolygon","coordinates":[' || r || ']}}}}' AS feature FROM shapes JOIN a USING (type_rank, id)"""
+)
 def geojson_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, corners = derived.areas(spark, sf_dir)
     return describe.features(describe.area_geojson(corners).join(found, ["type_rank", "id"]), ["name", "admin_level"])

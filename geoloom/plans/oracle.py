@@ -154,3 +154,13 @@ rw AS (SELECT id, id % 3 = 0 AS highway, id % 4 = 0 AS building, id % 5 <> 0 AS
 mem AS (SELECT DISTINCT sk AS relation, id AS ref FROM ln WHERE (id + pk) % 7 = 0),
 rr AS (SELECT id, id % 2 = 0 AS multipolygon, id % 3 = 0 AS building, CASE WHEN id % 5 = 0 THEN 'administrative' WHEN id % 7 = 0 THEN 'postal_code' END AS boundary, id % 4 <> 0 AS named FROM (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier)),
 needed AS (SELECT id FROM rw WHERE highway OR building OR boundary IS NOT NULL OR id IN (SELECT ref FROM mem))"""
+
+SHAPES = """k AS (SELECT CAST(s_suppkey AS BIGINT) AS k, 480000000 + (CAST(s_suppkey AS BIGINT) % 100) * 20000 AS lat0, 90000000 + (CAST(s_suppkey AS BIGINT) // 100) * 20000 AS lon0, s_name FROM supplier),
+whole AS (SELECT * FROM k WHERE k % 4 <> 3 AND k % 7 <> 0 AND k % 11 <> 0)"""
+
+
+def ring(corners: list[tuple[int, int]]) -> str:
+    return " || ', ' || ".join(f"(lat0 + {y}) || ' ' || (lon0 + {x})" for y, x in [*corners, corners[0]])
+
+
+OUTER, INNER, FAR = [(0, 0), (4000, 0), (4000, 4000), (0, 4000)], [(1000, 1000), (3000, 1000), (3000, 3000), (1000, 3000)], [(8000, 0), (9000, 0), (9000, 1000), (8000, 1000)]

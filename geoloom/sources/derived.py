@@ -137,3 +137,31 @@ def raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
            'name', case when id % 4 <> 0 then s_name end), (k, v) -> v is not null) tags""",
     )
     return nodes, ways, relations
+
+
+#: Sides of the shapes' squares, and how far apart the shapes stand.
+SHAPE, SHAPE_STEP = 4000, 20000
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw nodes, ways and relations, one relation for each supplier k, whose rings are known.
+
+    A square's outline is in two ways (100 k + 1 and, written backwards, 100 k + 2), a smaller one in it
+    is way 100 k + 3, one far off 100 k + 4. Relations are areas and buildings with both outlines and,
+    where k % 5 = 0, the far one; where k % 7 = 0 a member is not in the file, where k % 11 = 0 the
+    outline stays open. Where k % 4 = 3 the relation is a building of no type that makes rings.
+    """
+    k = _read(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) k", "s_name")
+    at = k.selectExpr("*", f"480000000 + (k % 100) * {SHAPE_STEP} lat0", f"90000000 + (k div 100) * {SHAPE_STEP} lon0")
+    a, b = SHAPE, SHAPE // 4
+    corners = [(0, 0), (a, 0), (a, a), (0, a), (b, b), (3 * b, b), (3 * b, 3 * b), (b, 3 * b), (2 * a, 0), (2 * a + b, 0), (2 * a + b, b), (2 * a, b)]
+    points = ", ".join(f"struct({i} as i, {y} as y, {x} as x)" for i, (y, x) in enumerate(corners))
+    nodes = at.selectExpr("k", "lat0", "lon0", f"inline(array({points}))").selectExpr("100 * k + i id", "lat0 + y lat_e7", "lon0 + x lon_e7", "cast(map() as map<string, string>) tags")
+    lines = ", ".join(f"struct({w} as w, array({', '.join(map(str, refs))}) as refs)" for w, refs in ((1, (0, 1, 2)), (2, (0, 3, 2)), (3, (4, 5, 6, 7, 4)), (4, (8, 9, 10, 11, 8))))
+    ways = k.selectExpr("k", f"inline(array({lines}))").selectExpr("100 * k + w id", "transform(refs, r -> 100 * k + r) node_refs", "cast(map() as map<string, string>) tags")
+    members = "filter(array(1, if(k % 11 = 0, null, 2), 3, if(k % 5 = 0, 4, null), if(k % 7 = 0, 9, null)), w -> w is not null)"
+    relations = k.selectExpr(
+        "k id", f"transform({members}, w -> struct('way' as type, 100 * k + w as ref, '' as role)) members",
+        "map_filter(map('type', if(k % 4 = 3, 'site', 'multipolygon'), 'building', 'yes', 'boundary', if(k % 4 = 3, null, 'administrative'), 'name', if(k % 3 = 0, null, s_name)), (x, v) -> v is not null) tags",
+    )
+    return nodes, ways, relations
