@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,9 @@ CLASSES = (1, 3, 8, 32, 128, 512, 2048, 8192, 1 << 17, 1 << 21, 1 << 25, 1 << 29
 CLASS_SHARE = (1, 4, 8, *[16] * 9)
 CLASS_MOST = (1 << 28, 1 << 26, 1 << 25, *[1 << 22] * 9)
 #: Shingles are counted in cells of their hash, 2 ** CELL_BITS for each that is expected, in parts of about PART shingles.
-CELL_BITS, PART = 8, 1 << 21
+CELL_BITS, PART = 8, 1 << 20
 #: Shingles that a task counts before it hands them on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Multiplicity tried for each document: so many shared prefix shingles are asked for, at most.
 MOST = 4
 #: What it costs to verify a candidate, in postings read.
@@ -60,6 +61,7 @@ class Frequencies:
         expected = max(1 << 16, expected)
         self.width = max(32, min(60, math.ceil(math.log2(expected)) + CELL_BITS))
         self.part_bits = min(18, max(6, math.ceil(math.log2(expected / PART))))
+        self.high = np.uint32 if self.width <= 48 else np.uint64  # of what is above 16 bits
         least = 64 << self.part_bits  # a part's bits are whole words of their own
         self.bits = [max(least, min(most, expected // share) // least * least) for share, most in zip(CLASS_SHARE, CLASS_MOST, strict=True)]
         self.tables: list[np.ndarray] = []
@@ -100,14 +102,14 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
         n = 0
 
         def flush() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held)) if held else np.zeros(0, dtype=np.uint64)
+            every = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
             held.clear()
+            every.sort()
             edges = np.append(np.searchsorted(every, starts), len(every))
             parts = np.flatnonzero(np.diff(edges))
             steps = np.diff(every, prepend=np.uint64(0))
-            first = edges[parts]
-            steps[first] = every[first] - starts[parts]
-            low, high = (steps & np.uint64(0xFFFF)).astype(np.uint16), (steps >> np.uint64(16)).astype(np.uint64)
+            steps[edges[parts]] = every[edges[parts]] - starts[parts]
+            low, high = steps.astype(np.uint16), (steps >> np.uint64(16)).astype(out.high)
             pieces = [(int(p), low[edges[p] : edges[p + 1]].tobytes(), zlib.compress(high[edges[p] : edges[p + 1]].tobytes(), 1)) for p in parts]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pieces], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "low", "high"])
 
@@ -145,7 +147,7 @@ def frequencies(docs: DataFrame, size: int) -> Frequencies:
                     if at is not None:
                         yield found()
                     at, held = part, []
-                held.append(np.cumsum(np.frombuffer(low, dtype=np.uint16) + (np.frombuffer(zlib.decompress(high), dtype=np.uint64) << np.uint64(16))))
+                held.append(np.cumsum(np.frombuffer(low, dtype=np.uint16) + (np.frombuffer(zlib.decompress(high), dtype=out.high).astype(np.uint64) << np.uint64(16))))
         if at is not None:
             yield found()
 
@@ -182,9 +184,8 @@ def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def prefixes(docs: DataFrame, common: Frequencies, size: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> DataFrame:
     """Of every row of docs (doc_id, th, text): n, the number k of its set (null if empty), its multiplicity, and what of its prefix, rarest first, other sets may have: shingles, their places, and which are its picks."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +215,12 @@ def prefixes(docs: DataFrame, common: Frequencies, size: int, percent: int) -> D
     return docs.mapInArrow(run, f"doc_id {kind}, th long, n long, k long, level int, token array<long>, pos array<int>, pick array<boolean>")
 
 
-def _shared_shingles(docs: DataFrame, wanted: DataFrame, common: Frequencies, size: int) -> DataFrame:
+def _shared_shingles(docs: DataFrame, wanted: DataFrame, shared: Broadcast, size: int) -> DataFrame:
     """(k, tokens): of the texts whose hashes are in wanted (th), and maybe of some others, all shingles that more sets may have. Each text once."""
-    spread = docs.sparkSession.sparkContext.broadcast(common)
     once = maybe_among(docs.select("th", "text"), F.col("th"), wanted, wanted.count(), "_in").where("_in").groupBy("th").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spread.value
+        table = shared.value
         for batch in batches:
             k, tokens = [], []
             for _, _, words in chunks(batch.column(0), SPACED):
@@ -395,7 +395,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     with collecting() as paths:
-        common = frequencies(docs, size)
+        common = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
         rows = stored(prefixes(docs, common, size, percent), "shingle-rows")
         result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k", "th")
         classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick")]), "shingle-classes")
@@ -403,6 +403,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         lists = lists.where(F.expr(f"n - pos >= ({percent}L * n + 99L) div 100L"))  # the first shared shingle is one of these
         open_lists = stored(_mixed(lists.withColumn("component", F.col("k"))).drop("component"), "shingle-lists")
         sets = stored(_shared_shingles(docs, open_lists.select("th").distinct(), common, size), "shingle-sets")
+        common.unpersist()
         repeated = rows.where("doc_id is not null and k is not null").groupBy("doc_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("doc_id", "lo")
         links = None
         if not repeated.isEmpty():

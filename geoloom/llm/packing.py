@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 from .shared import bounded_batches, stored
 from .tokencount import byte_letters, pretokens
 
-#: Pretokens whose ids a worker keeps, of at most KEPT_LENGTH characters each; the memory is emptied when full.
-KEPT, KEPT_LENGTH = 600_000, 32
+#: Pretokens whose ids a worker keeps, of at most KEPT_LENGTH characters each: twice so many, those used last.
+KEPT, KEPT_LENGTH = 150_000, 32
 #: A table of sums over tasks with at most so many rows is broadcast.
 SMALL = 400_000
 
@@ -35,13 +35,17 @@ class Ids(dict):
         self.specials = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         strings = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        found = self.older.get(piece)
+        if found is None:
+            letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
         if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
             self[piece] = found
         return found
 

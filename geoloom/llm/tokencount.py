@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Counts of pretokens that a worker keeps, of at most KEPT_LENGTH characters each; the memory is emptied when full.
-KEPT, KEPT_LENGTH = 600_000, 32
+#: Pretokens whose counts a worker keeps, of at most KEPT_LENGTH characters each: twice so many, those used last.
+KEPT, KEPT_LENGTH = 150_000, 32
 _SHIFT = 20
 
 
@@ -118,13 +118,17 @@ class Counter(dict):
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.older: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(self) >= KEPT:
-            self.clear()
-        n = len(data) - (self.merges.merged(data) if len(data) > 1 else 0)
+        n = self.older.get(piece)
+        if n is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            n = len(data) - (self.merges.merged(data) if len(data) > 1 else 0)
         if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
             self[piece] = n
         return n
 
