@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .wordstream import chunks, separators
 
 #: Words are runs of ASCII letters and digits and of all bytes beyond ASCII, once A-Z are a-z.
@@ -25,19 +26,39 @@ BASE = {
     "cc-by-nc": "cc by nc",
 }
 
-#: Templates of license notices and texts. [a | b] is optional, {n} stands for up to n words of any
-#: kind (names, years), the rest is mandatory. Wording follows the licenses' published texts.
+# License texts and notices in the words that their publishers give them, without
+# signs and in lower case, as templates. [a | b] is optional, {n} stands for up to n words of any kind
+# (names, years), the rest is mandatory.
+_AS_IS = "is provided [by {12}] as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted [subject to the limitations in the disclaimer below] provided that the following conditions are met"
+_BSD_TERMS = "[1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GNU = "this [program | library | file | {3}] is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
 TEMPLATES = {
     "mit": [
-        "mit license [copyright [c] {12} [all rights reserved]] permission is hereby granted free of charge to any person obtaining a copy of this software",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software [and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software]",
+        "mit license [copyright [c] {12} [all rights reserved]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
         "[released | licensed | distributed | available] under the [terms of the] mit [open source] license",
     ],
-    "apache-2": ["apache [software] license [v | version] 2 [0]", "licensed under the apache license version 2 0 [the license]"],
+    "apache-2": [
+        "apache [software] license [v | version] 2 [0]",
+        "licensed under the apache license version 2 0 [the license]",
+        "licensed under the apache license version 2 0 the license you may not use this {2} except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
     "cc-by-nc": ["[licensed under] [a] [creative commons] cc by nc [4 | 3 | 2] [0 | 5] [international | unported]", "creative commons attribution noncommercial [{2} license]"],
-    "gpl-3": ["gnu general public license [as published by the free software foundation] [either] [v | version] 3 [of the license] [or at your option any later version]"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted [subject to the limitations in the disclaimer below] provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "cc-by": ["this work is licensed under [a | the] creative commons attribution {2} [international | unported] license"],
+    "gpl-3": [
+        "gnu general public license [as published by the free software foundation] [either] [v | version] 3 [of the license] [or at your option any later version]",
+        f"{_GNU} either version 3 of the license or at your option any later version [this {{3}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details]",
+    ],
+    "gpl-2": [f"{_GNU} [either] version 2 [of the license] [or at your option any later version]"],
+    "lgpl": ["gnu [lesser | library] general public license [as published by the free software foundation] [either] [v | version] 2 1 [of the license] [or at your option any later version]"],
+    "bsd": [_BSD],
+    "bsd-2": [f"{_BSD} {_BSD_TERMS} this software {_AS_IS}"],
+    "bsd-3": [f"{_BSD} {_BSD_TERMS} [3] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission [this software {_AS_IS}]"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted [provided that the above copyright notice and this permission notice appear in all copies]",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
 }
 
 
@@ -73,6 +94,7 @@ class Automaton:
 
 
 _NONE: frozenset[int] = frozenset()
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
 
 def compiled(label: str, template: str) -> Automaton:
@@ -171,7 +193,7 @@ def scan(words: list[bytes], base: list[Automaton], own: list[Automaton]) -> dic
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labels and places of license wording in every row's whole text.
+    """Labels and places of license wording in every row's whole text; spans has every match (start, end, label), by words.
 
     n_base counts every place where a phrase of BASE stands, first_word and last_word are the least
     and greatest of these (null without any), labels also has what the templates accept, and score
@@ -181,6 +203,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mandatory word of some template.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, own = _automata()
         anchor_text = b" ".join(sorted({a.anchor for a in [*base, *own]})).decode()
@@ -191,6 +215,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             first: list[int | None] = [None] * n
             last: list[int | None] = [None] * n
             base_labels, labels = [""] * n, [""] * n
+            spans: list[list[dict]] = [[] for _ in range(n)]
             for lo, hi, words in chunks(batch.column(1), WORDS):
                 n_words[lo:hi] = np.diff(words.first)
                 hit = np.flatnonzero(np.isin(words.hashes(), anchors))
@@ -200,16 +225,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     n_base[i], score[i] = len(places), found["score"]
                     if places:
                         first[i], last[i] = places[0], places[-1]
+                    spans[i] = [{"start": a, "end": b, "label": label} for a, b, label in found["spans"]]
                     base_labels[i], labels[i] = ",".join(sorted(found["base_labels"])), ",".join(sorted(found["labels"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(labels), pa.array(score)],
-                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                [batch.column(0), pa.array(n_words), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(labels), pa.array(score), pa.array(spans, _SPANS)],
+                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start: int, end: int, label: string>>")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """What the scan says of every document, without the spans."""
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.llm import components, neighbours, ngramjoin
 
@@ -68,6 +69,18 @@ def test_jaccard_components_are_brute_forces(spark):
     assert ngramjoin.jaccard_components(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_share_an_id_are_one_node(spark, turned):
+    rnd = random.Random(8)
+    a, b = (" ".join(f"{c}{rnd.randrange(300)}" for _ in range(120)) for c in "ab")
+    rows = [(1, a), (1, b), (2, f"{b} word"), (5, a), (6, b), (6, None), (7, ""), (None, f"{a} other"), (None, "quite alone is this text here"), (9, "nothing like it at all")]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+    found = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(docs).collect()), key=str)
+    n, m = len(_shingles(a)), len(_shingles(b))
+    want = [(1, n, 1), (1, m, 1), (2, len(_shingles(f"{b} word")), 1), (5, n, 1), (6, m, 1), (6, 0, 6), (7, 0, 7), (0, len(_shingles(f"{a} other")), 1), (0, 2, None), (9, 1, 9)]
+    assert found == sorted(want, key=str)
+
+
 def test_prefix_bounds_hold():
     rng = np.random.default_rng(0)
     for n in range(1, 60):
@@ -75,6 +88,36 @@ def test_prefix_bounds_hold():
         assert 1 <= level and n - ngramjoin.required(n, 80) + level <= n
 
 
+def test_candidates_have_room_for_a_link():
+    """The first shared shingle of two sets that link passes the bound on places, whatever the order."""
+    rnd = random.Random(2)
+    for _ in range(300):
+        n = rnd.randrange(1, 60)
+        x = set(rnd.sample(range(1000), n))
+        y = set(rnd.sample(sorted(x), rnd.randrange(max(1, n - 8), n + 1))) | set(rnd.sample(range(1000, 2000), rnd.randrange(0, 6)))
+        if 100 * len(x & y) < 80 * len(x | y):
+            continue
+        x, y = sorted((x, y), key=len)
+        order = rnd.sample(range(2000), 2000)
+        px, py = (sorted(s, key=order.__getitem__) for s in (x, y))
+        first = min(x & y, key=order.__getitem__)
+        both = max(-(-80 * (len(x) + len(y)) // 180), -(-80 * len(y) // 100))
+        assert 100 * len(x) >= 80 * len(y) and min(len(x) - px.index(first), len(y) - py.index(first)) >= both
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    base = _unit(rng, 60)
+    vectors = np.concatenate([base, *[base + rng.normal(size=base.shape) * s / 8 for s in (0.2, 0.3, 0.4, 0.45)]])
+    labels = rng.integers(0, 2, len(vectors))
+    docs = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(link, False)
+    found = {r.vec_id: r.n_links for r in neighbours.near_vectors(docs.withColumn("cap", F.lit(1))).collect()}
+    assert all(found[i] <= link[i].sum() for i in found) and sum(found.values()) >= 0.95 * link.sum() > 100
+
+
 def _unit(rng, n):
     x = rng.normal(size=(n, 64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)

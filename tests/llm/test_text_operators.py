@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -51,6 +53,15 @@ def test_pseudonyms_of_a_table(spark):
     assert pseudonyms.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
+def test_long_texts_without_blanks_take_linear_time():
+    began = time.process_time()
+    for text in ("a" * 500_000 + "@", "a@" + "b" * 500_000, "a.b@" * 100_000, "1" * 500_000 + "a@", "1 " * 200_000 + "@", "+1-" * 150_000, "AB12" * 100_000):
+        pseudonyms.replaced(text, pseudonyms.spans(text, KEY))
+    assert time.process_time() - began < 60
+    found = pseudonyms.spans("x" * 200 + "@mail.example.org", KEY)
+    assert [k for _, _, k, _ in found] == ["email"]
+
+
 @pytest.mark.parametrize(
     "text, kinds, clear",
     [
@@ -81,6 +92,49 @@ def test_templates():
     assert labels("under the other MIT license") == set()
 
 
+def test_whole_licenses():
+    def labels(text):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower().encode())
+        return licenses.scan(words, *licenses._automata())["labels"]
+
+    isc = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+    and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+    PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    whole = licenses.compiled("isc", licenses.TEMPLATES["isc"][1])
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", isc.lower().encode())
+    assert labels(isc) == {"isc"} and whole.longest(words, 0) == len(words)
+    words[words.index(b"negligence")] = b"carelessness"
+    assert whole.longest(words, 0) == -1
+    apache = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."
+    assert labels(apache) == {"apache-2"}
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"
+    assert labels(lgpl) == {"lgpl"}
+
+
+def _as_regex(template):
+    """A template as a regular expression over words that blanks follow."""
+    out = []
+    for token in re.findall(r"\[|\]|\||\{\d+\}|[^\s\[\]|{}]+", template):
+        out.append({"[": "(?:", "]": ")?", "|": "|"}.get(token) or (rf"(?:\S+ ){{0,{token[1:-1]}}}" if token[0] == "{" else re.escape(token) + " "))
+    return re.compile("(?<!\\S)" + "".join(out))
+
+
+def test_automata_are_the_regular_expressions():
+    rnd = random.Random(5)
+    short = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 260]
+    vocabulary = sorted({w for t in short for w in re.findall(r"[a-z0-9]+", t)})
+    for template in short:
+        automaton, pattern = licenses.compiled("x", template), _as_regex(template)
+        plain = re.findall(r"[a-z0-9]+", re.sub(r"\{\d+\}", "some body", template))
+        for _ in range(60):
+            words = [w for w in plain if rnd.random() < 0.97]
+            words = [rnd.choice(vocabulary) if rnd.random() < 0.02 else w for w in words]
+            text = "".join(w + " " for w in words)
+            matched = automaton.longest([w.encode() for w in words], 0)
+            assert (matched >= 0) == (pattern.match(text) is not None), (template, text)
+
+
 def test_license_scan(spark):
     docs = spark.createDataFrame([(1, "CC BY NC under the MIT License, under the mit license"), (2, None), (3, ""), (4, "Apache License, Version 2.0"), (4, "Apache License, Version 2.0"), (5, "mit " * 20_000)], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
