@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.mixing import pivotal_mix, word_count
 from geoloom.llm.ngramjoin import jaccard_components
 from geoloom.llm.packing import pack
-from geoloom.llm.pseudonyms import pseudonymise
+from geoloom.llm.pseudonyms import pseudonymise, session_key
 from geoloom.llm.quality import Resampler
 from geoloom.llm.shared import collecting, discard_path, maybe_among, stored
 
@@ -72,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal numbers, dates and addresses. Null and empty texts and other columns stay as they are."""
-    return pseudonymise(docs)
+    return pseudonymise(docs, session_key(spark))
 
 
 @_stage
