@@ -25,3 +25,19 @@ links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON
 both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 {_COMPONENTS}, degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id"""
+
+#: CRC-32 of texts as crcs (doc_id, text, crc): the table by eight steps of the polynomial, then byte by byte.
+_CRC = r"""crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+bytes AS (SELECT row_number() OVER () AS row, doc_id, text, CASE WHEN text = '' THEN []::BIGINT[] ELSE list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT) END AS v FROM documents),
+crcs AS (SELECT row, doc_id, text, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, v), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) END AS crc FROM bytes, crc_table)"""
+
+#: Longest processing time, one unit a step: the loads of the shards are a list, the least of them takes the next unit.
+LPT = f"""WITH RECURSIVE {_CRC},
+sized AS (SELECT row, doc_id, crc, coalesce(strlen(text), 0) + 16 AS size, sha256(text) AS g FROM crcs),
+groups AS (SELECT g, sum(size) AS size, coalesce(('0x' || g[1:4])::BIGINT, 0) AS bundle FROM sized GROUP BY g),
+kinds AS (SELECT *, size >= greatest(1, (SELECT sum(size) FROM sized) // (40 * 1024)) AS alone FROM groups),
+units AS (SELECT row_number() OVER (ORDER BY size DESC, kind, name, bundle) AS i, * FROM (SELECT CASE WHEN alone THEN 0 ELSE 1 END AS kind, CASE WHEN alone THEN coalesce(g, '') ELSE '' END AS name, CASE WHEN alone THEN 0 ELSE bundle END AS bundle, CAST(sum(size) AS BIGINT) AS size FROM kinds GROUP BY ALL)),
+steps AS (SELECT 0::BIGINT AS i, list_transform(range(40), lambda x: 0::BIGINT) AS loads, 0::INT AS shard
+  UNION ALL SELECT u.i, list_concat(list_concat(loads[1:p - 1], [loads[p] + size]), loads[p + 1:]), (p - 1)::INT FROM (SELECT *, list_position(loads, list_min(loads)) AS p FROM steps) s JOIN units u ON u.i = s.i + 1),
+placed AS (SELECT sized.*, shard FROM sized JOIN kinds k ON sized.g IS NOT DISTINCT FROM k.g JOIN units u ON u.kind = CASE WHEN alone THEN 0 ELSE 1 END AND u.name = CASE WHEN alone THEN coalesce(k.g, '') ELSE '' END AND u.bundle = CASE WHEN alone THEN 0 ELSE k.bundle END JOIN steps USING (i))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(doc_id::VARCHAR)[1:4])::INT % 256, doc_id, crc, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed"""

@@ -12,8 +12,9 @@ from .shared import numbered, stored
 
 #: A group of at least a shard's mean size divided by this is placed alone. There are at most shards x ALONE of them.
 ALONE = 1024
-#: Smaller groups are gathered into so many bundles by a hash of their key; a bundle is placed as one.
-BUNDLES = 1 << 16
+#: Smaller groups are gathered into 2 ** 16 bundles by the first bits of their digest; a bundle is placed
+#: as one. A bundle is not larger than a 1024th of a shard by much, unless all small groups together
+#: are more than 64 shards, so loads differ by about the largest group or bundle at most.
 
 
 def longest_first(units: Iterable[tuple[int, object]], shards: int) -> dict[object, int]:
@@ -35,7 +36,7 @@ def lpt_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     their own with slots of their own. A group that is larger than a mean shard makes its shard
     larger than the others, as it may not be cut. Columns of docs other than the two are not read.
 
-    The driver places at most shards x ALONE + BUNDLES units, whatever the input: groups that
+    The driver places at most shards x ALONE + 65,536 units, whatever the input: groups that
     matter for balance go alone, the others in bundles that are each a small part of a shard.
     Texts are not shuffled; only digests, sizes and ids are.
     """
@@ -48,7 +49,7 @@ def lpt_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
         F.unhex(F.sha2(text, 256)).alias("_group"),
     )
     rows = stored(rows, "shard-rows")
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(BUNDLES)).cast("int")
+    bundle = F.coalesce(F.conv(F.substring(F.hex("_group"), 1, 4), 16, 10).cast("int"), F.lit(0))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     least = max(1, total // (shards * ALONE))
     groups = rows.groupBy("_group").agg(F.sum("size").alias("size"))
@@ -66,4 +67,5 @@ def lpt_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
 
 
 def op3_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard, of 40, and its slot there."""
     return lpt_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

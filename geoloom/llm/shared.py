@@ -18,10 +18,12 @@ SALTS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. A local session without one gets a folder of its own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -107,7 +109,8 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str, salt
     numbers the rows of each part. rows is evaluated twice, so pass a stored table.
     """
     value = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(salts)).cast("int"))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in salt_on]).cast("binary"))
+    salted = rows.withColumn("_salt", (F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % salts).cast("int"))
     totals = salted.groupBy(*group, "_salt").agg(F.sum(value).alias("_part"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_start", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")
