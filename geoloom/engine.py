@@ -12,6 +12,7 @@ from geoloom.functions import geo
 from geoloom.functions import text as tx
 from geoloom.operators import describe, extract, nearest, regions, search, viewport
 from geoloom.operators.viewport import Box
+from geoloom.plans.settle import settled
 from geoloom.sources import osmpbf
 from geoloom.sources.derived import Tables
 
@@ -25,12 +26,16 @@ class Engine:
 
     @classmethod
     def load(cls, spark: SparkSession, pbf: str) -> Engine:
-        """Extracts a PBF file and assigns regions; the tables are cached."""
+        """Extracts a PBF file and assigns regions; the tables are written, so a lost executor costs no second extraction."""
         found = extract.extract(*osmpbf.read(spark, pbf))
-        buildings, streets, areas = found.buildings.cache(), found.streets.cache(), found.areas.cache()
+        buildings, streets, areas = settled(found.buildings), settled(found.streets), settled(found.areas)
         tables = Tables(buildings, streets.select("id", "name", "highway_class"), extract.street_vertices(streets), areas.drop("rings"), extract.area_vertices(areas))
-        members = regions.memberships(tables.buildings, tables.street_vertices, tables.area_vertices).cache()
-        return cls(spark, tables, extract.extraction_stats(buildings, streets, areas), members)
+        members = regions.memberships(tables.buildings, tables.street_vertices, tables.area_vertices)
+        return cls(spark, tables, settled(extract.extraction_stats(buildings, streets, areas, found.report)), settled(members))
+
+    def membership_count(self) -> int:
+        """Assignments of objects to areas."""
+        return self.memberships.count()
 
     def point(self, lat: float, lon: float) -> DataFrame:
         return self.spark.createDataFrame([(0, lat, lon)], "query_id long, lat double, lon double").select("query_id", geo.degrees_to_e7(F.col("lat")).cast("long").alias("lat_e7"), geo.degrees_to_e7(F.col("lon")).cast("long").alias("lon_e7"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geoloom.functions.text import best_name, has_address, has_key, printable, tag
+from geoloom.functions.text import best_name, has_address, has_key, printable, tag, typed_id
 
 
 def _count(condition) -> F.Column:
@@ -56,6 +56,16 @@ def top_values(df: DataFrame, value: str, n: int = 12) -> DataFrame:
     return df.groupBy(printable(F.col(value)).alias("value")).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "value").limit(n)
 
 
+def distinct_values(df: DataFrame, value: str) -> DataFrame:
+    """One row: how many values top_values would tell apart."""
+    return df.agg(F.count_distinct(printable(F.col(value))).alias("n"))
+
+
+def first_objects(objects: DataFrame, kind: int, condition: F.Column, description: F.Column, n: int = 3) -> DataFrame:
+    """(typed_id, description) of the first n objects by id that meet a condition."""
+    return objects.where(condition).select("id", typed_id(F.lit(kind), F.col("id")).alias("typed_id"), description.alias("description")).orderBy("id").limit(n).drop("id")
+
+
 def samples(df: DataFrame, group: str, key: str, n: int = 3) -> DataFrame:
     """The first n rows of each group by key."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(key))

@@ -5,12 +5,18 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import unquote_plus, urlsplit
 
+from geoloom.functions import geo
 from geoloom.operators.viewport import MIN_STREET_ZOOM, Box
 
 
+#: Bytes of a request's head, and requests that wait, at most.
+HEAD, BACKLOG = 8192, 16
+
+
 class BadRequest(ValueError):
     """Answered with 400 and its text."""
 
@@ -59,6 +65,13 @@ def box(found: dict[str, str]) -> Box:
     return Box(e7(y0), e7(x0), e7(y1), e7(x1))
 
 
+def in_hemisphere(lat: float, lon: float) -> bool:
+    """Whether the gnomonic plane has the point."""
+    a, b = lat * geo.RAD, lon * geo.RAD
+    u = (math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a))
+    return sum(x * y for x, y in zip(u, geo.CENTRE, strict=True)) > geo.HORIZON
+
+
 def answer(engine, method: str, target: str) -> tuple[int, dict]:
     """Status and body of a request."""
     if method != "GET":
@@ -72,16 +85,17 @@ def answer(engine, method: str, target: str) -> tuple[int, dict]:
             lat, lon = finite(found.get("lat")), finite(found.get("lon"))
             if lat is None or lon is None or abs(lat) > 90 or abs(lon) > 180:
                 raise BadRequest("lat and lon must be numbers in range")
-            try:
-                return 200, engine.reverse_json(lat, lon)
-            except Exception as e:  # noqa: BLE001  a point that the engine refuses
-                raise BadRequest(str(e)[:200]) from e
+            if not in_hemisphere(lat, lon):
+                raise BadRequest("the point lies outside the hemisphere that is supported")
+            return 200, engine.reverse_json(lat, lon)
         if url.path not in ("/houses", "/streets", "/regions"):
             return 404, {"error": "not found"}
         view = box(found)
         zoom, limit, stride = whole(found, "zoom", 19, 19), whole(found, "limit", 10_000, 10_000), whole(found, "stride", 1, 100)
         if url.path == "/houses":
-            return 200, engine.houses_json(view, zoom, limit, stride)
+            began = time.perf_counter()
+            body = engine.houses_json(view, zoom, limit, stride)
+            return 200, {**body, "scan_ms": round((time.perf_counter() - began) * 1000, 3)}
         if url.path == "/streets" and zoom < MIN_STREET_ZOOM:
             return 200, {"type": "FeatureCollection", "features": []}
         return 200, engine.geometry_json(view, url.path[1:], zoom)
@@ -95,6 +109,15 @@ def serve(engine, port: int, max_requests: int | None = None) -> None:
     class Handler(BaseHTTPRequestHandler):
         timeout = 5
 
+        def parse_request(self) -> bool:
+            """Requests whose head is over HEAD bytes are refused."""
+            if len(self.raw_requestline) > HEAD or not super().parse_request():
+                return False
+            if len(self.raw_requestline) + sum(len(k) + len(v) + 4 for k, v in self.headers.items()) > HEAD:
+                self.send_error(400)
+                return False
+            return True
+
         def _any(self) -> None:
             try:
                 status, body = answer(engine, self.command, self.path)
@@ -112,7 +135,10 @@ def serve(engine, port: int, max_requests: int | None = None) -> None:
         def log_message(self, *args) -> None:
             pass
 
-    with HTTPServer(("127.0.0.1", port), Handler) as server:
+    class Server(HTTPServer):
+        request_queue_size = BACKLOG
+
+    with Server(("127.0.0.1", port), Handler) as server:
         served = 0
         while max_requests is None or served < max_requests:
             server.handle_request()

@@ -97,6 +97,9 @@ def test_extraction(engine):
     assert not areas[201].has_geometry and (areas[201].admin_level, areas[201].postcode) == (-1, "70000")
     stats = engine.stats.first().asDict()
     assert stats["buildings"] == 7 and stats["buildings_without_point"] == 1 and stats["areas_without_geometry"] == 1
+    assert (stats["processed_nodes"], stats["processed_ways"], stats["processed_relations"]) == (16, 9, 3)
+    assert (stats["outer_rings"], stats["inner_rings"], stats["incomplete_relations"], stats["open_rings"], stats["invalid_way_nodes"]) == (1, 1, 1, 0, 3)
+    assert engine.membership_count() == engine.memberships.count() > 0
     assert ("building", 0, 1, 200) in {(r.kind, r.obj_type, r.obj_id, r.area_id) for r in engine.memberships.collect()}
 
 
@@ -105,7 +108,7 @@ def test_reverse_and_views(engine):
     assert found["nearest"]["id"] == "node/1" and found["nearest"]["state"] == "Land" and found["nearest"]["regions"][0]["id"] == "relation/200"
     assert [b["id"] for b in found["buildings"]][0] == "node/1" and found["regions"][0]["name"] == "Land"
     status, body = server.answer(engine, "GET", "/houses?bbox=9,48,10,49&zoom=17")
-    assert status == 200 and body["returned"] == 6 and body["matched_exact"] and any(h["name"] is None for h in body["houses"])
+    assert status == 200 and body["returned"] == 6 and body["scan_ms"] > 0 and body["matched_exact"] and any(h["name"] is None for h in body["houses"])
     status, body = server.answer(engine, "GET", "/regions?bbox=9,48,10,49&zoom=12")
     assert status == 200 and body["features"][0]["geometry"]["type"] == "MultiPolygon" and len(body["features"][0]["geometry"]["coordinates"][0]) == 2
     status, body = server.answer(engine, "GET", "/streets?bbox=9,48,10,49&zoom=15")
@@ -122,7 +125,28 @@ def test_statuses(method, target, status):
     assert server.answer(None, method, target)[0] == status
 
 
-def test_batch_modes(spark, pbf, tmp_path, monkeypatch):
+def test_kinds_and_packed_numbers(spark, pbf):
+    whole = {r.id for df in osmpbf.read(spark, pbf) for r in df.collect()}
+    apart = {r.id for kind in ("node", "way", "relation") for r in osmpbf.read_kind(spark, pbf, kind).collect()}
+    assert whole == apart and len(whole) == 28
+    values = [0, 1, 127, 128, 300, 2**31, 2**63, 2**64 - 1] * 60
+    data = b"".join(varint(v) for v in values)
+    assert osmpbf.packed(data) == values and osmpbf.unpacked_numbers(data[:6]).tolist() == [0, 1, 127, 128, 300][:5][: len(osmpbf.unpacked_numbers(data[:6]))]
+    sums = [5, -3, 10**12, -(10**12), 0]
+    assert osmpbf.running_numbers(steps(sums)).tolist() == sums
+
+
+def test_a_failing_engine_is_not_a_bad_request(monkeypatch):
+    class Broken:
+        def reverse_json(self, lat, lon):
+            raise RuntimeError("spark is gone")
+
+    with pytest.raises(RuntimeError):
+        server.answer(Broken(), "GET", "/reverse?lat=48&lon=9")
+    assert server.answer(Broken(), "GET", "/reverse?lat=-51&lon=-170")[0] == 400
+
+
+def test_batch_modes(spark, pbf, tmp_path, capsys):
     names, points, out = tmp_path / "names", tmp_path / "points", tmp_path / "out"
     names.write_bytes(b"HAUS\r\n\r\nroad\nLand\n")
     assert cli.main(["--pbf", pbf, "--search", str(names), str(out)]) == 0
@@ -133,7 +157,9 @@ def test_batch_modes(spark, pbf, tmp_path, monkeypatch):
     points.write_text("48.5 9.5\n91 0\n")
     assert cli.main(["--pbf", pbf, "--reverse", str(points), str(out)]) == 1
     assert cli.main(["--pbf", pbf, "--reverse", str(points), str(points)]) == 1
-    assert cli.main(["--pbf", pbf, "--inspect"]) == 0
+    assert cli.main(["--pbf", pbf, "--inspect", "--samples", "1"]) == 0
+    told = capsys.readouterr().out
+    assert "node/1: Haus" in told and "way/102: A, building=house" in told and "relation/200: Land, admin_level=4" in told and "node/2" not in told
     assert cli.main(["--pbf", pbf, "--serve", "--search", "a", "b"]) == 1
 
 
