@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,6 @@ FAN = 64
 #: Up to so many sources, their targets are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
-_MASK = (1 << 64) - 1
 
 
 def word_count(text: Column) -> Column:
@@ -46,11 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], epochs: float,
 
 
 def _uniform(a: int, b: int) -> float:
-    """A number from 0 to 1 that the two rows' hashes decide."""
-    x = (a * 0x9E3779B97F4A7C15 + b) & _MASK
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _MASK
-    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _MASK
-    return ((x ^ x >> 31) >> 11) / (1 << 53)
+    """A number from 0 to 1 that the two rows' hashes decide: 52 bits of a digest of both."""
+    return int(hashlib.md5(f"{a}/{b}".encode()).hexdigest()[:13], 16) / (1 << 52)
 
 
 def duel(p: float, s: float, q: float, t: float, u: float) -> tuple[float, float]:
@@ -81,17 +78,17 @@ def _round_within(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.
         for i in range(len(p)):
             if open_at is not None and key[i] != key[open_at]:
                 if last:
-                    p[open_at] = 1.0 if _uniform(h[open_at] & _MASK, 1) < p[open_at] else 0.0
+                    p[open_at] = 1.0 if _uniform(h[open_at], 1) < p[open_at] else 0.0
                 open_at = None
             if not 0.0 < p[i] < 1.0:
                 continue
             if open_at is None:
                 open_at = i
                 continue
-            p[open_at], p[i] = duel(p[open_at], size[open_at], p[i], size[i], _uniform(h[open_at] & _MASK, h[i] & _MASK))
+            p[open_at], p[i] = duel(p[open_at], size[open_at], p[i], size[i], _uniform(h[open_at], h[i]))
             open_at = i if 0.0 < p[i] < 1.0 else open_at if 0.0 < p[open_at] < 1.0 else None
         if batch is None and open_at is not None and last:
-            p[open_at] = 1.0 if _uniform(h[open_at] & _MASK, 1) < p[open_at] else 0.0
+            p[open_at] = 1.0 if _uniform(h[open_at], 1) < p[open_at] else 0.0
         table = table.set_column(table.column_names.index("_p"), "_p", pa.array(p, pa.float64()))
         if batch is not None and open_at is not None:
             carry = table.slice(open_at, 1)
@@ -121,8 +118,9 @@ def pivotal_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: f
     not on partitions. Columns of docs stay, but size, source_size, target, copies and taken are
     written anew if they are there, and names with a leading underscore are the operator's.
     """
-    text_hash = F.xxhash64(F.col(id_col), *([F.col("text")] if "text" in docs.columns else []), F.lit(seed))
-    rows = docs.withColumn("size", word_count(F.col("text")) if size is None else size).withColumn("_hash", text_hash)
+    told = [F.col(id_col).cast("string"), *([F.xxhash64("text").cast("string")] if "text" in docs.columns else []), F.lit(str(seed))]
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", *told).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = docs.withColumn("size", word_count(F.col("text")) if size is None else size).withColumn("_hash", own)
     sizes = rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, epochs, float(most)).select(F.col("source").alias("_source"), "source_size", "target")
     targets = stored(targets, "mix-targets")
@@ -130,7 +128,7 @@ def pivotal_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: f
         targets = F.broadcast(targets)
     rows = rows.drop("source_size", "target").join(targets, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
     mean = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_base", F.floor(mean)).withColumn("_p", mean - F.floor(mean)).withColumn("_part", F.pmod(F.xxhash64("_hash"), F.lit(FAN * FAN)).cast("int"))
+    rows = rows.withColumn("_base", F.floor(mean)).withColumn("_p", mean - F.floor(mean)).withColumn("_part", (F.col("_hash") % (FAN * FAN)).cast("int"))
     name = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
     fractional = (F.col("_p") > 0) & (F.col("_p") < 1)
     first = _level(rows, F.concat_ws("/", F.col("_part").cast("string"), name), False)
@@ -142,5 +140,6 @@ def pivotal_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: f
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's size and target and the words that the mix takes of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return pivotal_mix(docs, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -41,3 +41,41 @@ steps AS (SELECT 0::BIGINT AS i, list_transform(range(40), lambda x: 0::BIGINT)
   UNION ALL SELECT u.i, list_concat(list_concat(loads[1:p - 1], [loads[p] + size]), loads[p + 1:]), (p - 1)::INT FROM (SELECT *, list_position(loads, list_min(loads)) AS p FROM steps) s JOIN units u ON u.i = s.i + 1),
 placed AS (SELECT sized.*, shard FROM sized JOIN kinds k ON sized.g IS NOT DISTINCT FROM k.g JOIN units u ON u.kind = CASE WHEN alone THEN 0 ELSE 1 END AND u.name = CASE WHEN alone THEN coalesce(k.g, '') ELSE '' END AND u.bundle = CASE WHEN alone THEN 0 ELSE k.bundle END JOIN steps USING (i))
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || md5(doc_id::VARCHAR)[1:4])::INT % 256, doc_id, crc, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM placed"""
+
+
+def _rounded(level: int, rows: str, key: str) -> str:
+    """One level of the reduction tree over rows (doc_id, p, size, h, part, source), a row a step in each key: `settled` has what is decided, left{level} what stays fractional."""
+    return f"""
+in{level} AS (SELECT *, {key} AS k, row_number() OVER (PARTITION BY {key} ORDER BY h, size, doc_id) AS rn FROM {rows}),
+step{level} AS (SELECT k, rn, doc_id AS a, p, size::DOUBLE AS s, h, []::STRUCT(id BIGINT, p DOUBLE)[] AS done FROM in{level} WHERE rn = 1
+  UNION ALL SELECT k, rn, CASE WHEN a IS NULL OR open_b THEN b WHEN open_a THEN a END, CASE WHEN a IS NULL OR open_b THEN q2 WHEN open_a THEN p2 END, CASE WHEN a IS NULL OR open_b THEN t WHEN open_a THEN s END, CASE WHEN a IS NULL OR open_b THEN g WHEN open_a THEN h END,
+    CASE WHEN a IS NULL THEN [] ELSE list_filter([{{id: a, p: p2}}, {{id: b, p: q2}}], lambda x: x.p <= 0 OR x.p >= 1) END
+  FROM (SELECT *, p2 > 0 AND p2 < 1 AS open_a, q2 > 0 AND q2 < 1 AS open_b FROM
+    (SELECT *, CASE WHEN to_first THEN CASE WHEN (1 - p) * s <= q * t THEN 1.0 ELSE p + up / s END ELSE CASE WHEN p * s <= (1 - q) * t THEN 0.0 ELSE p - down / s END END::DOUBLE AS p2,
+      CASE WHEN a IS NULL THEN q WHEN to_first THEN CASE WHEN (1 - p) * s <= q * t THEN q - up / t ELSE 0.0 END ELSE CASE WHEN p * s <= (1 - q) * t THEN q + down / t ELSE 1.0 END END::DOUBLE AS q2 FROM
+      (SELECT *, u * (up + down) < down AS to_first FROM
+        (SELECT n.k, n.rn, a, z.p, s, z.h, n.doc_id AS b, n.p AS q, n.size::DOUBLE AS t, n.h AS g, least((1 - z.p) * s, n.p * n.size) AS up, least(z.p * s, (1 - n.p) * n.size) AS down, {_uniform("z.h || '/' || n.h")} AS u
+          FROM step{level} z JOIN in{level} n ON n.k = z.k AND n.rn = z.rn + 1))))),
+left{level} AS (SELECT doc_id, z.p, size, h, part, source FROM (SELECT a, p FROM step{level} QUALIFY rn = max(rn) OVER (PARTITION BY k)) z JOIN frac ON doc_id = a)"""
+
+
+def _uniform(pair: str) -> str:
+    return f"('0x' || md5({pair})[1:13])::BIGINT / 4503599627370496::DOUBLE"
+
+
+_NAME = "coalesce('s' || source, 'n')"
+MIX = rf"""WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM sources),
+ranked AS (SELECT *, row_number() OVER o AS rank, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share
+  FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+targets AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(share, rank) FROM ranked WHERE share <= cap / w), 'inf'::DOUBLE) * w) AS target FROM ranked),
+means AS (SELECT d.*, source_size, target, CASE WHEN size > 0 THEN target / source_size ELSE 0 END AS mean, ('0x' || md5(doc_id || '|0')[1:15])::BIGINT AS h FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+drawn AS (SELECT *, floor(mean) AS base, mean - floor(mean) AS p, h % 4096 AS part FROM means),
+frac AS (SELECT doc_id, p, size, h, part, source FROM drawn WHERE p > 0 AND p < 1),
+{_rounded(1, "frac", f"part || '/' || {_NAME}")},
+{_rounded(2, "left1", f"(part % 64) || '/' || {_NAME}")},
+{_rounded(3, "left2", _NAME)},
+settled AS (SELECT unnest(done, recursive := true) FROM (SELECT done FROM step1 UNION ALL SELECT done FROM step2 UNION ALL SELECT done FROM step3) UNION ALL SELECT doc_id, CASE WHEN {_uniform("h || '/1'")} < p THEN 1.0 ELSE 0.0 END FROM left3),
+copied AS (SELECT drawn.*, CAST(base + coalesce(settled.p, drawn.p) AS INT) AS copies FROM drawn LEFT JOIN settled ON id = doc_id)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, copies FROM copied"""
