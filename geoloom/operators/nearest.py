@@ -100,12 +100,47 @@ def _spans(df: DataFrame, x0: Column, x1: Column, y0: Column, y1: Column, prefix
     return df.withColumn("cx", F.explode(F.sequence(f"{prefix}x", "_hx"))).withColumn("cy", F.explode(F.sequence(f"{prefix}y", "_hy"))).drop("_hx", "_hy")
 
 
+def _with_pad(q: DataFrame) -> DataFrame:
+    """Adds _pad, a radius in the plane that holds the disc of `bound` metres: the plane stretches by at most 1 / cos^2 of the angle to the centre, here of the disc's far side."""
+    reach = F.least(F.atan(F.hypot("gx", "gy")) + F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.5707))
+    return q.withColumn("_pad", F.tan(F.least(F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.57))) / F.pow(F.cos(reach), 2) + F.lit(1e-9))
+
+
+def _disc(extents: tuple) -> tuple[Column, Column, Column, Column]:
+    """The box of the disc in the plane, as far as there are edges (extents: their least and greatest x, then y)."""
+    x0, x1, y0, y1 = (F.lit(float(v or 0.0)) for v in extents)
+    return F.greatest(F.col("gx") - F.col("_pad"), x0), F.least(F.col("gx") + F.col("_pad"), x1), F.greatest(F.col("gy") - F.col("_pad"), y0), F.least(F.col("gy") + F.col("_pad"), y1)
+
+
+def _far_bounds(q: DataFrame, in_own: DataFrame, finest: int, extents: tuple) -> DataFrame:
+    """(query_id, bound) for queries that have no edge in their own cells, but for those that have none in the coarsest cells either.
+
+    Each cell of every second level stands for one end of an edge in it. The finest cell of a query
+    that has one bounds the distance; then the cells a 16th as large within that bound, of which
+    there are at most some thousands, bound it again.
+    """
+    cells = in_own.groupBy("level", "cx", "cy").agg(F.min(F.struct("ux", "uy", "uz")).alias("end"))
+    to = F.explode(F.sequence(F.lit(-12), F.col("level"), F.lit(2)))
+    up = cells.withColumn("to", to)
+    shrink = F.pow(F.lit(2.0), F.col("level") - F.col("to"))
+    up = up.select(F.col("to").alias("level"), F.floor(F.col("cx") / shrink).alias("cx"), F.floor(F.col("cy") / shrink).alias("cy"), "end")
+    ends = settled(up.groupBy("level", "cx", "cy").agg(F.min("end").alias("end")))
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    metres = geo.metres(geo.fields("q"), (F.col("end.ux"), F.col("end.uy"), F.col("end.uz"))) + SLACK_M
+    at = q.withColumn("level", F.explode(F.sequence(F.lit(-12), F.lit(finest), F.lit(2)))).withColumn("cx", F.floor(F.col("gx") * scale)).withColumn("cy", F.floor(F.col("gy") * scale))
+    first = at.join(ends, ["level", "cx", "cy"]).groupBy("query_id").agg(F.max(F.struct("level", metres.alias("bound"))).alias("best"))
+    first = settled(first.select("query_id", F.col("best.level").alias("level"), F.col("best.bound").alias("bound")))
+    near = _with_pad(q.join(first, "query_id")).withColumn("level", F.least(F.col("level") + 4, F.lit(finest)).cast("int"))
+    near = _spans(near, *_disc(extents), "d").join(ends, ["level", "cx", "cy"]).groupBy("query_id").agg(F.min(metres).alias("nearer"))
+    return first.join(near, "query_id", "left").select("query_id", F.least("bound", F.coalesce("nearer", "bound")).alias("bound"))
+
+
 def nearest_segment(queries: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """The nearest edge of each query: (query_id, key, distance_m, plat, plon), ties by key.
 
     edges: key, alat, alon, blat, blon, ax, ay, bx, by. Each edge is in the at most four cells of the
     plane that its box meets on the level of its own size. The nearest edge in a query's own cells
-    bounds the distance (the nearest end of any edge, where there is none); the disc of that radius,
+    bounds the distance (the end of an edge near by, where there is none); the disc of that radius,
     padded for the plane's stretch, then meets edges in few cells: of the levels of edges that are
     no finer than the disc, and, for all finer edges at once, of the disc's own level.
     """
@@ -124,21 +159,20 @@ def nearest_segment(queries: DataFrame, edges: DataFrame, key: list[str]) -> Dat
     at_q = at_q.withColumn("cx", F.floor(F.col("gx") * scale)).withColumn("cy", F.floor(F.col("gy") * scale))
     met = at_q.join(in_own.select("level", "cx", "cy", *ends), ["level", "cx", "cy"])
     bound = settled(geo.with_nearest_on_arc(met).groupBy("query_id").agg((F.min("distance_m") + SLACK_M).alias("bound")))
+    extents = e.agg(F.min(box[0]), F.max(box[1]), F.min(box[2]), F.max(box[3])).first()
+    rest = q.join(bound, "query_id", "left_anti")
+    if used and not rest.isEmpty():
+        bound = settled(bound.unionByName(_far_bounds(rest, in_own, used[-1], extents)))
     rest = queries.join(bound, "query_id", "left_anti").select("query_id", "lat_e7", "lon_e7")
-    if not rest.isEmpty():
+    if not rest.isEmpty():  # nearer the horizon than any cell is large
         points = edges.select(F.col("alat").alias("lat_e7"), F.col("alon").alias("lon_e7")).unionAll(edges.select("blat", "blon")).distinct()
         points = points.withColumn("type_rank", F.lit(0)).withColumn("id", F.col("lat_e7") * F.lit(1 << 32) + F.col("lon_e7"))
         bound = settled(bound.unionByName(knn(rest, points, 1).select("query_id", (F.col("distance_m") + SLACK_M).alias("bound"))))
 
-    q = q.join(bound, "query_id")
-    # The plane stretches by at most 1 / cos^2 of the angle to the centre, here of the disc's far side.
-    reach = F.least(F.atan(F.hypot("gx", "gy")) + F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.5707))
-    pad = F.tan(F.least(F.col("bound") / geo.EARTH_RADIUS_M, F.lit(1.57))) / F.pow(F.cos(reach), 2) + F.lit(1e-9)
-    q = settled(q.withColumn("_pad", pad).withColumn("_own", _even(F.floor(-F.log2(pad)))))
+    q = _with_pad(q.join(bound, "query_id"))
+    q = settled(q.withColumn("_own", _even(F.floor(-F.log2("_pad")))))
     discs = sorted(r["_own"] for r in q.select("_own").distinct().collect())  # at most 15 levels
-    x0, x1, y0, y1 = e.agg(F.min(box[0]), F.max(box[1]), F.min(box[2]), F.max(box[3])).first()  # discs end where edges do
-    number = lambda v: F.lit(float(v or 0.0))
-    whole = (F.greatest(F.col("gx") - F.col("_pad"), number(x0)), F.least(F.col("gx") + F.col("_pad"), number(x1)), F.greatest(F.col("gy") - F.col("_pad"), number(y0)), F.least(F.col("gy") + F.col("_pad"), number(y1)))
+    whole = _disc(extents)
     plain = q.withColumn("level", F.explode(F.filter(levels, lambda v: v <= F.col("_own")))).withColumn("fine", F.lit(False))
     asked = _spans(plain.unionByName(q.withColumn("level", F.col("_own")).withColumn("fine", F.lit(True))), *whole, "d")
     coarser = F.filter(F.array(*[F.lit(v) for v in discs]).cast("array<int>"), lambda v: v < F.col("own"))
