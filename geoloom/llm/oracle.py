@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from .licenses import BASE, TEMPLATES, compiled
+
 #: Components of links (a, b) both ways, as component (node, component): the least node reachable.
 _COMPONENTS = """reached(node, other) AS (SELECT a, b FROM both_ways UNION SELECT r.node, l.b FROM reached r JOIN both_ways l ON r.other = l.a),
 component AS (SELECT node, least(node, min(other)) AS component FROM reached GROUP BY node)"""
@@ -64,7 +68,8 @@ def _uniform(pair: str) -> str:
 
 
 _NAME = "coalesce('s' || source, 'n')"
-MIX = rf"""WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS size FROM documents),
+MIX = rf"""WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM sources),
 ranked AS (SELECT *, row_number() OVER o AS rank, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS share
@@ -79,3 +84,25 @@ frac AS (SELECT doc_id, p, size, h, part, source FROM drawn WHERE p > 0 AND p <
 settled AS (SELECT unnest(done, recursive := true) FROM (SELECT done FROM step1 UNION ALL SELECT done FROM step2 UNION ALL SELECT done FROM step3) UNION ALL SELECT doc_id, CASE WHEN {_uniform("h || '/1'")} < p THEN 1.0 ELSE 0.0 END FROM left3),
 copied AS (SELECT drawn.*, CAST(base + coalesce(settled.p, drawn.p) AS INT) AS copies FROM drawn LEFT JOIN settled ON id = doc_id)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, copies FROM copied"""
+
+
+def _as_regex(template: str) -> str:
+    """A template as a regular expression over words that a blank follows each."""
+    out = []
+    for token in re.findall(r"\[|\]|\||\{\d+\}|[^\s\[\]|{}]+", template):
+        out.append({"[": "(?:", "]": ")?", "|": "|"}.get(token) or (f"(?:[^ ]+ ){{0,{token[1:-1]}}}" if token[0] == "{" else f"{token} "))
+    return "^" + "".join(out)
+
+
+#: Words that a match may be long, so many of a text are looked at from each place where one may begin.
+_MATCH = 400
+_SCANNED = [(label, template, base) for of, base in ((BASE, True), (TEMPLATES, False)) for label, found in of.items() for template in ([found] if base else found)]
+_FIRST = sorted({w.decode() for label, template, _ in _SCANNED for w in compiled(label, template).first_words()})
+LICENSES = rf"""WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+starts AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {_MATCH}], ' ') || ' ' AS s FROM places WHERE w[i] IN ({", ".join(f"'{w}'" for w in _FIRST)})),
+matches AS MATERIALIZED (SELECT doc_id, i, label, base, len(string_split(rtrim(m), ' ')) AS n FROM ({" UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label, {base} AS base, regexp_extract(s, '{_as_regex(template)}') AS m FROM starts" for label, template, base in _SCANNED)}) WHERE m <> ''),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM matches) GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i - 1) FILTER (base) AS first_word, max(i - 1) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM matches GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN len(w) > 0 THEN coalesce(c.n, 0) / len(w)::DOUBLE ELSE 0.0 END AS score
+FROM words LEFT JOIN told USING (doc_id) LEFT JOIN covered c USING (doc_id)"""
