@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from . import media
 from .licenses import BASE, TEMPLATES, compiled
 
 #: Components of links (a, b) both ways, as component (node, component): the least node reachable.
@@ -30,10 +31,23 @@ both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM lin
 {_COMPONENTS}, degree AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM v LEFT JOIN degree ON a = vec_id LEFT JOIN component ON node = vec_id"""
 
-#: CRC-32 of texts as crcs (doc_id, text, crc): the table by eight steps of the polynomial, then byte by byte.
-_CRC = r"""crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))),
-bytes AS (SELECT row_number() OVER () AS row, doc_id, text, CASE WHEN text = '' THEN []::BIGINT[] ELSE list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT) END AS v FROM documents),
-crcs AS (SELECT row, doc_id, text, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, v), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) END AS crc FROM bytes, crc_table)"""
+#: The table of CRC-32, by eight steps of the polynomial.
+_CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b)))"
+
+
+def _bytes(hexed: str) -> str:
+    """The numbers of pairs of hexadecimal digits."""
+    return f"list_transform(string_split(rtrim(regexp_replace({hexed}, '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::BIGINT)"
+
+
+def _crc(numbers: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+#: CRC-32 of texts as crcs (row, doc_id, text, crc), byte by byte.
+_CRC = f"""{_CRC_TABLE},
+bytes AS (SELECT row_number() OVER () AS row, doc_id, text, CASE WHEN text = '' THEN []::BIGINT[] ELSE {_bytes("hex(encode(text))")} END AS v FROM documents),
+crcs AS (SELECT row, doc_id, text, CASE WHEN text IS NOT NULL THEN {_crc("v")} END AS crc FROM bytes, crc_table)"""
 
 #: Longest processing time, one unit a step: the loads of the shards are a list, the least of them takes the next unit.
 LPT = f"""WITH RECURSIVE {_CRC},
@@ -106,3 +120,31 @@ covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(ra
 told AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(i - 1) FILTER (base) AS first_word, max(i - 1) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM matches GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN len(w) > 0 THEN coalesce(c.n, 0) / len(w)::DOUBLE ELSE 0.0 END AS score
 FROM words LEFT JOIN told USING (doc_id) LEFT JOIN covered c USING (doc_id)"""
+
+
+def _doubled(level: int) -> str:
+    """The gear hash over windows twice as long as those of the level before."""
+    w = 1 << level
+    return f"h{level + 1} AS (SELECT * EXCLUDE (h), list_transform(range(1, n + 1), lambda i: (h[i] + CASE WHEN i > {w} THEN h[i - {w}] << {w} ELSE 0 END) & 4294967295) AS h FROM h{level})"
+
+
+def _little(value: str, size: int) -> str:
+    return "printf('" + "%02x" * size + "', " + ", ".join(f"({value} >> {8 * i}) & 255" for i in range(size)) + ")"
+
+
+MEDIA = f"""WITH RECURSIVE {_CRC_TABLE},
+texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+padded AS (SELECT *, rpad(x, 2 * n::INT, '0') AS p FROM (SELECT *, greatest({media.BLOCK}, ceil(n_bytes / {media.BLOCK}.0)::BIGINT * {media.BLOCK}) AS n FROM texts)),
+numbers AS MATERIALIZED (SELECT row, doc_id, n_bytes, n, p, {_bytes("p")} AS v FROM padded),
+h0 AS (SELECT row, n, list_transform(v, lambda b: ([{", ".join(map(str, media._GEAR.tolist()))}])[b + 1]::BIGINT) AS h FROM numbers),
+{", ".join(_doubled(i) for i in range(5))},
+marks AS MATERIALIZED (SELECT row, n, list_filter(range(1, n + 1), lambda i: h[i] < {1 << 32 - media.BITS}) AS m FROM h5),
+cuts AS (SELECT row, n, m, 0::BIGINT AS lo, CASE WHEN n <= {media.MIN} THEN n ELSE least(coalesce(list_min(list_filter(m, lambda x: x >= {media.MIN})), n), {media.MAX}, n) END::BIGINT AS hi, 0 AS seq FROM marks
+  UNION ALL SELECT row, n, m, hi, CASE WHEN n - hi <= {media.MIN} THEN n ELSE least(coalesce(list_min(list_filter(m, lambda x: x >= hi + {media.MIN})), n), hi + {media.MAX}, n) END, seq + 1 FROM cuts WHERE hi < n),
+chunks AS MATERIALIZED (SELECT row, seq, hi - lo AS size, sha256(unhex(substr(p, (2 * lo + 1)::BIGINT, (2 * (hi - lo))::BIGINT)))[1:32] AS digest FROM cuts JOIN numbers USING (row)),
+lists AS (SELECT row, count(*) AS k, count(*) FILTER (uses > 1) AS shared, string_agg(digest || {_little("size", 4)}, '' ORDER BY seq) AS d FROM (SELECT *, count(*) OVER (PARTITION BY digest) AS uses FROM chunks) GROUP BY row),
+media AS (SELECT *, unhex('{media.MAGIC.hex()}' || {_little("n_bytes", 8)} || {_little("k", 4)} || d || p) AS stored FROM numbers JOIN lists USING (row)),
+seen AS (SELECT row, sum(c)::BIGINT AS n, sum(b * c)::BIGINT AS s, sum(b * b * c)::BIGINT AS q, abs(sum(c / total * log2(c / total))) AS e FROM (SELECT row, b, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY row)::DOUBLE AS total FROM (SELECT row, unnest(v) AS b FROM numbers) GROUP BY row, b) GROUP BY row)
+SELECT doc_id, n_bytes, media.n AS payload_bytes, sha256(unhex(p)) AS payload_sha256, {_crc(f"v[-{media.BLOCK}:]")} AS tail_crc32, octet_length(stored) AS media_bytes, sha256(stored) AS media_sha256,
+  printf('%.4f', seen.s / media.n::DOUBLE) || '|' || printf('%.4f', sqrt((media.n * seen.q - seen.s * seen.s)::DOUBLE / (media.n * media.n))) || '|' || printf('%.4f', e) || '|' || len(list_filter(range(1, media.n), lambda i: v[i] <> v[i + 1])) AS feature,
+  k::INT AS n_chunks, shared::INT AS n_shared FROM media JOIN seen USING (row), crc_table"""
