@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from geoloom.functions import geo
 from geoloom.functions import text as tx
 from geoloom.operators import describe, extract, nearest, profile, regions, search, viewport
 from geoloom.operators.viewport import Box
@@ -69,14 +70,15 @@ def pip_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {o.SITES}, {_EDGES}, {_QP}, {o.covering('qp', 'query_id')}, pairs AS (SELECT query_id, type_rank AS area_type, id AS area_id FROM q, a WHERE admin_level IN (2, 4) UNION ALL SELECT query_id, 9, 9 FROM q)"
+    f"WITH {o.SITES}, {_EDGES}, {_QP}, {o.covering('qp', 'query_id')}, pairs AS (SELECT query_id, unnest([1, 2, 2, 2, 9]) AS area_type, unnest([100000 + query_id, 100 + query_id % 5, 1000 + query_id % 25, 500000 + query_id % 25, 9]) AS area_id FROM q)"
     " SELECT p.query_id, p.area_type, p.area_id, pip.query_id IS NOT NULL AS covers FROM pairs p LEFT JOIN pip USING (query_id, area_type, area_id)"
 )
 def covers_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, corners = derived.areas(spark, sf_dir)
-    some = found.where("admin_level in (2, 4)").select(F.col("type_rank").alias("area_type"), F.col("id").alias("area_id"))
-    unknown = spark.createDataFrame([(9, 9)], "area_type int, area_id long")
-    pairs = derived.supplier_points(spark, sf_dir).join(F.broadcast(some.unionByName(unknown)), F.lit(True))
+    """Each point with a town, one area of each other kind and one that does not exist, so that every area is asked about."""
+    _, corners = derived.areas(spark, sf_dir)
+    asked = ("1", "100000 + query_id"), ("2", "100 + query_id % 5"), ("2", "1000 + query_id % 25"), ("2", "500000 + query_id % 25"), ("9", "9")
+    each = ", ".join(f"named_struct('area_type', {t}, 'area_id', cast({i} as bigint))" for t, i in asked)
+    pairs = derived.supplier_points(spark, sf_dir).selectExpr("*", f"inline(array({each}))")
     return regions.covers(pairs, corners, ["query_id"]).select("query_id", "area_type", "area_id", "covers")
 
 
@@ -424,6 +426,16 @@ def geojson_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.features(describe.area_geojson(corners).join(found, ["type_rank", "id"]), ["name", "admin_level"])
 
 
-@query()
+_ALONG = "least(greatest(((lo[i] - lo[a]) * (lo[b] - lo[a]) + (la[i] - la[a]) * (la[b] - la[a])) / nullif(pow(lo[b] - lo[a], 2) + pow(la[b] - la[a], 2), 0), 0.0), 1.0)"
+_OFF = " + ".join(f"pow({v}[i] - {v}[a] - coalesce({_ALONG}, 0.0) * ({v}[b] - {v}[a]), 2)" for v in ("lo", "la"))
+
+
+@query(
+    f"""WITH RECURSIVE {o.STREETS}, path AS (SELECT id, list(lat_e7::DOUBLE ORDER BY pos) AS la, list(lon_e7::DOUBLE ORDER BY pos) AS lo FROM sv GROUP BY id),
+part AS (SELECT id, la, lo, 1::BIGINT AS a, len(la)::BIGINT AS b FROM path
+  UNION ALL SELECT id, la, lo, unnest([a, far]), unnest([far, b]) FROM (SELECT *, a + list_position(d, list_max(d)) AS far FROM (SELECT *, list_transform(range(a + 1, b), lambda i: {_OFF}) AS d FROM part WHERE b - a >= 2)) WHERE list_max(d) > {o.num((geo.level_scale(12) * 1e7) ** 2)}),
+kept AS (SELECT id, a AS i FROM part UNION SELECT id, b FROM part)
+SELECT sv.id, CAST(sv.pos AS INT) AS pos, lat_e7, lon_e7 FROM sv JOIN kept ON kept.id = sv.id AND i = pos + 1"""
+)
 def simplify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.simplified(derived.street_vertices(spark, sf_dir), ["id"], 12)

@@ -151,7 +151,7 @@ ln AS (SELECT CAST(l_orderkey AS BIGINT) AS id, CAST(l_linenumber AS BIGINT) AS
 wr AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY ln, pk, sk) - 1 AS pos, pk AS ref, count(*) OVER (PARTITION BY id) AS n, first_value(pk) OVER (PARTITION BY id ORDER BY ln, pk, sk) AS head FROM ln),
 refs AS (SELECT id, pos, ref FROM wr UNION ALL SELECT DISTINCT id, n, head FROM wr WHERE id % 2 = 0),
 rw AS (SELECT id, id % 3 = 0 AS highway, id % 4 = 0 AS building, id % 5 <> 0 AS named, CASE WHEN id % 11 = 0 THEN 'administrative' WHEN id % 13 = 0 THEN 'postal_code' END AS boundary, count(*) AS refs FROM refs GROUP BY id),
-mem AS (SELECT DISTINCT sk AS relation, id AS ref FROM ln WHERE (id + pk) % 7 = 0),
+mem AS (SELECT DISTINCT sk AS relation, id AS ref FROM ln),
 rr AS (SELECT id, id % 2 = 0 AS multipolygon, id % 3 = 0 AS building, CASE WHEN id % 5 = 0 THEN 'administrative' WHEN id % 7 = 0 THEN 'postal_code' END AS boundary, id % 4 <> 0 AS named FROM (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier)),
 needed AS (SELECT id FROM rw WHERE highway OR building OR boundary IS NOT NULL OR id IN (SELECT ref FROM mem))"""
 

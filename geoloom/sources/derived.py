@@ -128,7 +128,7 @@ def raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
            'building', case when id % 4 = 0 then 'yes' end, 'name', case when id % 5 <> 0 then concat('Way ', id) end,
            'boundary', case when id % 11 = 0 then 'administrative' when id % 13 = 0 then 'postal_code' end), (k, v) -> v is not null) tags""",
     )
-    member = lines.selectExpr("sk", "id", "pk").distinct().where("(id + pk) % 7 = 0").selectExpr("sk", "id").distinct()
+    member = lines.selectExpr("sk", "id").distinct()
     joined = member.groupBy("sk").agg(F.sort_array(F.collect_list("id")).alias("m"))
     relations = _read(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) id", "s_name").join(joined, F.col("id") == F.col("sk"), "left").selectExpr(
         "id", "transform(coalesce(m, array()), v -> struct('way' as type, v as ref, element_at(array('outer', 'inner', ''), cast(v % 3 as int) + 1) as role)) members",
