@@ -4,11 +4,14 @@ import re
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from geoloom.llm import licenses, media, pseudonyms, quality
+from geoloom.llm.wordstream import chunks
 
 KEY = b"k"
 
@@ -223,3 +226,42 @@ def test_resampling_separates_held_out_rows(spark):
     through = sampler.filtered(docs)
     assert through.columns == docs.columns and {r.doc_id for r in through.collect()} == {i for i, k in kept.items() if k}
     assert quality.Resampler(docs.limit(0), labels.limit(0)).kept().count() == 0
+
+
+def test_resampling_is_the_plain_computation(spark):
+    rnd = random.Random(1)
+    good = ["the cat and the dog", "a river runs by", "people talk of the weather", "in town they say"]
+    texts = [" ".join(rnd.choice(good) for _ in range(rnd.randint(1, 9))) if i % 3 else "BUY NOW!! $$$ " * rnd.randint(1, 9) for i in range(240)] + ["", None]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    labels = [(i, 1 if i % 3 else 0) for i in range(0, 120)]
+    made = quality.Resampler(docs, spark.createDataFrame(labels, "doc_id long, quality int"), buckets=512)
+    every = [quality.features(next(chunks(pa.array([t or ""]), quality._CLASSES))[2], 512)[0] for t in texts]
+    raw, target = np.ones(512), np.zeros(512)
+    for i, buckets in enumerate(every):
+        np.add.at(raw, buckets, 1)
+        if dict(labels).get(i):
+            np.add.at(target, buckets, 1)
+    raw /= raw.sum()
+    target += raw * 512 * quality.SMOOTHING
+    table = np.log(target / target.sum()) - np.log(raw)
+    assert np.allclose(made.table, table)
+    rows = {r.doc_id: r for r in made.kept().collect()}
+    assert all(abs(rows[i].log_ratio - table[b].sum()) < 1e-9 for i, b in enumerate(every))
+    kept = sorted((r.score for r in rows.values() if r.kept), reverse=True)
+    assert kept == sorted((r.score for r in rows.values()), reverse=True)[: made.k] and 0 < made.k < len(texts)
+    filtered = made.filtered(docs)
+    assert filtered.columns == docs.columns and {r.doc_id for r in filtered.collect()} == {i for i, r in rows.items() if r.kept}
+
+
+def test_draws_follow_the_weights():
+    """Of two documents with equal noise sources, the first one drawn is each with the chance that its weight gives it."""
+    rng = np.random.default_rng(3)
+    noise = rng.integers(-(2**63), 2**63, (20_000, 2), dtype=np.int64)
+    words = pa.array(["x", "y"])
+    table = np.zeros(64)
+    bucket = [quality.features(next(chunks(pa.array([w]), quality._CLASSES))[2], 64)[0] for w in ("x", "y")]
+    table[bucket[0][0]] = 1.0
+    ratio, _ = quality._scores(words, noise[0], table, 1.0)
+    first = np.mean([np.argmax(quality._scores(words, n, table, 1.0)[1]) == 0 for n in noise[:4000]])
+    share = np.exp(ratio[0]) / np.exp(ratio).sum()
+    assert abs(first - share) < 0.03
