@@ -157,17 +157,17 @@ def viewport_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewport.scan(derived.buildings(spark, sf_dir), VIEW, 100)
 
 
-_X0, _Y0, _X1, _Y1 = (o.num(v) for v in viewport.plane_box(VIEW))
-_MEETS = f"max(gx) >= {_X0} AND min(gx) <= {_X1} AND max(gy) >= {_Y0} AND min(gy) <= {_Y1}"
+_MEETS = "max(gx) >= (SELECT x - pad FROM seen) AND min(gx) <= (SELECT x + pad FROM seen) AND max(gy) >= (SELECT y - pad FROM seen) AND min(gy) <= (SELECT y + pad FROM seen)"
+_SEEN = o.view(VIEW.min_lat, VIEW.min_lon, VIEW.max_lat, VIEW.max_lon)
 
 
-@query(f"WITH {o.STREETS} SELECT id FROM svp GROUP BY id HAVING {_MEETS} ORDER BY id LIMIT 1000")
+@query(f"WITH {o.STREETS}, {_SEEN} SELECT id FROM svp GROUP BY id HAVING {_MEETS} ORDER BY id LIMIT 1000")
 def viewport_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewport.streets(derived.street_vertices(spark, sf_dir), VIEW, 15)
 
 
 @query(
-    f"WITH {_EDGES}, shown AS (SELECT type_rank, id FROM avp GROUP BY ALL HAVING {_MEETS}) SELECT type_rank, id, name, admin_level, area_ord FROM ao JOIN shown USING (type_rank, id)"
+    f"WITH {_EDGES}, {_SEEN}, shown AS (SELECT type_rank, id FROM avp GROUP BY type_rank, id HAVING {_MEETS}) SELECT type_rank, id, name, admin_level, area_ord FROM ao JOIN shown USING (type_rank, id)"
     " WHERE admin_level BETWEEN 0 AND 8 ORDER BY admin_level, area_ord LIMIT 50"
 )
 def viewport_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,13 @@ def meets(p: str, q: str, a: str, b: str) -> str:
     )
 
 
+def view(lat0: int, lon0: int, lat1: int, lon1: int) -> str:
+    """CTE seen: the middle of a lat/lon box in the plane, and how far the plane's box reaches from it: the box's half sides together, over the squared cosine of the angle at which they end."""
+    return f"""mid AS (SELECT ({lat0} + {lat1}) / 2 AS lat_e7, ({lon0} + {lon1}) / 2 AS lon_e7, ({lat1} - {lat0} + {lon1} - {lon0}) / 2 * {E7} * {RAD} + {num(1e-8)} AS r),
+centre AS (SELECT r, {unit("u")}, {plane(x="x", y="y")} FROM mid),
+seen AS (SELECT x, y, r / pow(cos(acos(ux * {num(geo.CENTRE[0])} + uy * {num(geo.CENTRE[1])} + uz * {num(geo.CENTRE[2])}) + r), 2) AS pad FROM centre)"""
+
+
 KNN_PARTS = f"""bu AS (SELECT type_rank, id, {unit("b")} FROM b WHERE has_point AND building_type IS NOT NULL AND building_type <> 'no'),
 qu AS (SELECT query_id, {unit("q")} FROM q),
 kd AS (SELECT query_id, type_rank, id, {R} * {angle("q", "b")} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {R} * {angle("q", "b")}, type_rank, id) AS rank FROM qu, bu)"""
