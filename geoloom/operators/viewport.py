@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from geoloom.operators.cells import projected
 from geoloom.operators.regions import area_ordinals
+from geoloom.plans.settle import settled
 
 REGION_LIMIT = 50
 MIN_HOUSE_ZOOM, MIN_STREET_ZOOM = 16, 14
@@ -31,14 +32,22 @@ def points_in(df: DataFrame, box: Box) -> DataFrame:
     return df.where(F.col("lat_e7").between(box.min_lat, box.max_lat) & F.col("lon_e7").between(box.min_lon, box.max_lon))
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """Adds _n, a row's number from 0 by type and id: rows are dealt by ranges, each task numbers its own, and the ranges' totals (a row for each task) say where it begins."""
+    dealt = settled(found.repartitionByRange("type_rank", "id").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("type_rank", "id")) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_start") + F.col("_own")).drop("_part", "_own", "_start")
+
+
 def houses(buildings: DataFrame, box: Box, limit: int = 10_000, stride: int = 1) -> DataFrame:
     """Every stride-th building in the box, by type and id, at most limit; limit 0 is nothing, stride 0 an error."""
     if stride < 1:
         raise ValueError("stride must be at least 1")
     found = points_in(buildings.where("has_point"), box)
     if stride > 1:
-        # One box's rows, thinned; the number is global by definition of a stride.
-        found = found.withColumn("_n", F.row_number().over(Window.orderBy("type_rank", "id"))).where((F.col("_n") - 1) % stride == 0).drop("_n")
+        found = _numbered(found).where(F.col("_n") % stride == 0).drop("_n")
     return found.orderBy("type_rank", "id").limit(limit)
 
 
