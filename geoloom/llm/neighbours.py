@@ -88,6 +88,16 @@ def decoded(x: np.ndarray, size: int, codes: Iterable[int] = range(CODES), liste
             yield i, (code * size + rows[at_row]).astype(np.int64) * size + columns[at_column]
 
 
+def around(x: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each unit vector of few dimensions the cells of its first coordinates, at most three, that it is in or next to; vectors of a cosine of `least` or more share one."""
+    width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    at = np.floor((x[:, :3] + 1) / width).astype(np.int64) + 1
+    near = np.array(np.meshgrid(*[[-1, 0, 1]] * at.shape[1], indexing="ij")).reshape(at.shape[1], -1).T
+    side = math.ceil(2 / width) + 4
+    for i in range(len(x)):
+        yield i, (at[i] + near) @ side ** np.arange(at.shape[1], dtype=np.int64)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, by their largest component first so that squares neither overflow nor vanish."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -103,19 +113,20 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
     Rows without label, and vectors that are null, empty, zero or hold null or non-finite
     components, link with nothing; so do vectors of different length. Equal vectors of one label are
-    one class and link with each other; classes are compared by their caps. Links of fewer than 8
-    dimensions are all found. Of others the caps find about RECALL or more whatever the number of
+    one class, told by a hash of 64 bits, and link with each other; classes are compared by their
+    caps. Links of fewer than 8 dimensions are all found, by cells of up to three coordinates. Of
+    others the caps find about RECALL or more whatever the number of
     rows: unless codes is given, as many codes are taken as that needs, by a sample of pairs at
     `least` for each length of vectors. Every link found is verified in double precision, so none
-    below is returned. Repeated rows are rows of their own; rows that
-    share an id share links. Other columns are not read.
+    below is returned. Repeated rows are rows of their own, and so are rows
+    that share an id. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))
     rows = rows.withColumn("usable", usable)
-    classes = stored(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    classes = stored(rows.where("usable").groupBy("label", "v").agg(F.count("*").alias("copies")).withColumn("rep", F.xxhash64("label", "v")), "vector-classes")
     size = code_size(classes.count())
     lengths = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]
     taken = {d: codes or codes_needed(d, size, least, listed) for d in lengths if d >= 8}
@@ -129,7 +140,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
                 x = unit(_matrix(own.column(1)))
                 for lo in range(0, len(x), 1024):
                     owner, found = [], []
-                    for i, f in decoded(x[lo : lo + 1024], size, range(taken[dim]), listed) if dim >= 8 else ((i, np.zeros(1, dtype=np.int64)) for i in range(len(x[lo : lo + 1024]))):
+                    for i, f in decoded(x[lo : lo + 1024], size, range(taken[dim]), listed) if dim >= 8 else around(x[lo : lo + 1024], least):
                         owner.append(np.full(len(f), lo + i))
                         found.append(f)
                     owners = own.take(pa.array(np.concatenate(owner)))
@@ -158,13 +169,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     links = stored(checked, "vector-links")
     degree = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).unionAll(links.select("b", "na")).groupBy("rep").agg(F.sum("n").alias("n"))
     group = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component")
-    known = classes.join(degree, "rep", "left").join(group, "rep", "left").select(
-        F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    good = rows.where("usable").join(known, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
+    known = classes.join(degree, "rep", "left").join(group, "rep", "left").select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    good = stored(rows.where("usable").select("vec_id", F.xxhash64("label", "v").alias("rep")).join(known, "rep").select("vec_id", "n_links", "component"), "vector-components")
+    good = good.join(good.groupBy("component").agg(F.min("vec_id").alias("component_id")), "component").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component among vectors of its label."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -145,6 +145,22 @@ def test_caps_find_links_at_the_threshold(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_few_dimensions_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for dim in (1, 2, 3, 5):
+        x = rng.normal(size=(60, dim))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.93
+        np.fill_diagonal(near, False)
+        rows += [(100 * dim + i, v.tolist(), 1) for i, v in enumerate(x)]
+        want |= {100 * dim + i: int(n) for i, n in enumerate(near.sum(axis=1))}
+    rows += [(9, [5.0, 0.0], 2), (9, [0.0, 1.0], 2), (8, [0.0, 2.0], 2)]
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert found[:3] == [(8, 1, 8), (9, 0, 9), (9, 1, 8)]
+    assert {i: n for i, n, _ in found[3:]} == want
+
+
 @pytest.mark.parametrize("n", [20_000, 1_000_000, 10_000_000, 30_000_000])
 def test_caps_find_links_among_any_number_of_vectors(n):
     rng, size = np.random.default_rng(n), neighbours.code_size(n)
