@@ -34,8 +34,8 @@ VERIFY = 16.0
 #: Prefix shingles of each document, those of the least hashes, by which it looks for a hub.
 PICKS = 8
 #: Rounds that link documents to hubs before the remaining candidates are listed: at most so many,
-#: and no more once listing meets at most FEW times as many pairs as lists have rows.
-HUB_ROUNDS, FEW = 4, 4
+#: and no more once listing meets at most FEW times as many pairs as lists have rows, or a round leaves over GAIN of them.
+HUB_ROUNDS, FEW, GAIN = 4, 4, 0.6
 #: Hubs of each list in all rounds but the first.
 SLOTS = 16
 #: Length buckets of candidate lists for each factor of 100 / percent.
@@ -357,7 +357,7 @@ def _verified(open_lists: DataFrame, prefix: DataFrame, sets: DataFrame, links:
             return links
         if turn:
             listing = _Listing(lists, percent)
-            if turn == HUB_ROUNDS or listing.meetings <= FEW * rows or (before is not None and listing.meetings > 0.8 * before):
+            if turn == HUB_ROUNDS or listing.meetings <= FEW * rows or (before is not None and listing.meetings > GAIN * before):
                 break
             before = listing.meetings
             discard(listing.needed)
