@@ -20,7 +20,7 @@ from .shared import bounded_batches, stored
 from .tokencount import byte_letters, pretokens
 
 #: Pretokens whose ids a worker keeps, of at most KEPT_LENGTH characters each: twice so many, those used last.
-KEPT, KEPT_LENGTH = 150_000, 32
+KEPT, KEPT_LENGTH = 250_000, 32
 #: A table of sums over tasks with at most so many rows is broadcast.
 SMALL = 400_000
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches
 
 #: Pretokens whose counts a worker keeps, of at most KEPT_LENGTH characters each: twice so many, those used last.
-KEPT, KEPT_LENGTH = 150_000, 32
+KEPT, KEPT_LENGTH = 250_000, 32
 _SHIFT = 20
 
 
