@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from geoloom.functions import geo
 
-#: Cells of the plane that areas are covered by, for each unit of it: about 6 km near the centre.
-CELLS = 1024
 #: Cells in which edges meet edges are as large as the median edge, within these bounds: about 25 km and 100 m.
 COARSEST_MEETING, FINEST_MEETING = 256.0, 65536.0
 #: Slabs of the plane for each unit of it: about 3 km.
@@ -18,11 +16,11 @@ SLABS = 2048
 FINEST = 16
 
 
-def floor_cell(v: Column, per_unit: float) -> Column:
-    return F.floor(v * geo.number(per_unit))
+def floor_cell(v: Column, per_unit: float | Column) -> Column:
+    return F.floor(v * (per_unit if isinstance(per_unit, Column) else geo.number(per_unit)))
 
 
-def covered(lo: Column, hi: Column, per_unit: float) -> Column:
+def covered(lo: Column, hi: Column, per_unit: float | Column) -> Column:
     """All cells that the interval meets, with the boundary tolerance."""
     return F.sequence(floor_cell(lo - geo.number(geo.EPS), per_unit), floor_cell(hi + geo.number(geo.EPS), per_unit))
 
@@ -65,9 +63,9 @@ def extent(a: str = "a", b: str = "b") -> Column:
     return F.greatest(F.abs(F.col(f"{b}x") - F.col(f"{a}x")), F.abs(F.col(f"{b}y") - F.col(f"{a}y")))
 
 
-def in_cells(edges: DataFrame, per_unit: float = CELLS) -> DataFrame:
+def in_cells(edges: DataFrame, per_unit: float | Column) -> DataFrame:
     """A row for each cell that the boxes of an edge's pieces meet; pieces are at most as long as a cell, so a long edge has cells along its line only."""
-    n = F.greatest(F.lit(1), F.ceil(extent() * geo.number(per_unit))).cast("int")
+    n = F.greatest(F.lit(1), F.ceil(extent() * per_unit)).cast("int")
     out = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
     def span(c: str, at: Column) -> tuple[Column, Column]:

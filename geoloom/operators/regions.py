@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from geoloom.functions import geo
-from geoloom.operators.cells import CELLS, SLABS, covered, floor_cell, in_cells, meeting_cells, projected, segments
+from geoloom.operators.cells import SLABS, covered, floor_cell, in_cells, meeting_cells, projected, segments
 from geoloom.plans.settle import settled
 
 AREA = ["area_type", "area_id"]
+#: The finest level of cells that cover areas; cells have edges of 2**-level in the plane.
+FINEST_COVER = 24
+#: Cells of a level, and edges in them, that go to the points, at most.
+SMALL = 20_000
 
 
 def area_ordinals(areas: DataFrame) -> DataFrame:
@@ -41,23 +45,57 @@ def refine(candidates: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame
     return part.groupBy(*key, *AREA).agg(F.bool_or(F.col("touches") | (F.col("outer") & ~F.col("hole"))).alias("covers")).where("covers").drop("covers")
 
 
+def _covered_by(edges: Column, gx: Column, gy: Column) -> Column:
+    """Whether the rings of these edges cover the point, as `refine` says it; edges left of the point and beyond its row may be missing."""
+    ends = lambda e: [e[c] for c in ("ax", "ay", "bx", "by")]
+    crossed = F.transform(F.filter(edges, lambda e: geo.crosses_ray(*ends(e), gx, gy)), lambda e: F.struct(e["component"], e["ring"], e["is_inner"]))
+    odd = F.filter(F.array_distinct(crossed), lambda r: F.size(F.filter(crossed, lambda o: o == r)) % 2 == 1)
+    part = lambda inner: F.transform(F.filter(odd, lambda r: r["is_inner"] == F.lit(inner)), lambda r: r["component"])
+    return F.exists(edges, lambda e: geo.on_segment(*ends(e), gx, gy)) | (F.size(F.array_except(part(False), part(True))) > 0)
+
+
 def cover_cells(edges: DataFrame) -> DataFrame:
-    """Cells of each area: `sure` ones lie inside as a whole, the others meet an edge. Cells outside are left out."""
-    box = edges.groupBy(*AREA).agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"))
-    every = box.withColumn("cx", F.explode(covered(F.col("x0"), F.col("x1"), CELLS))).withColumn("cy", F.explode(covered(F.col("y0"), F.col("y1"), CELLS))).select(*AREA, "cx", "cy")
-    edge = in_cells(edges).select(*AREA, "cx", "cy").distinct()
-    free = every.join(edge, [*AREA, "cx", "cy"], "left_anti").withColumn("gx", (F.col("cx") + 0.5) / CELLS).withColumn("gy", (F.col("cy") + 0.5) / CELLS)
-    inside = refine(free, edges, ["cx", "cy"]).select(*AREA, "cx", "cy", F.lit(True).alias("sure"))
-    return inside.unionByName(edge.withColumn("sure", F.lit(False)))
+    """(level, cx, cy, area, edges) for each cell that an area may cover, on the level of the area's largest part.
+
+    edges are null where the cell lies inside as a whole, else those that decide on its points: the
+    ones of its row that reach as far right. Cells outside are left out.
+    """
+    c = F.col
+    box = edges.groupBy(*AREA, "component").agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"))
+    extent = F.greatest(F.max(c("x1") - c("x0")), F.max(c("y1") - c("y0")), F.lit(1e-9))
+    # Cells are a quarter to a 16th as large as the part, on every second level.
+    level = (F.greatest(F.lit(-12), F.least(F.lit(FINEST_COVER), F.ceil((2 - F.log2(extent)) / 2) * 2))).cast("int")
+    leveled = settled(box.groupBy(*AREA).agg(level.alias("level"), F.collect_list(F.struct("x0", "x1", "y0", "y1")).alias("boxes")))
+    per_unit = F.pow(F.lit(2.0), c("level"))
+    every = leveled.withColumn("b", F.explode("boxes")).withColumn("cx", F.explode(covered(c("b.x0"), c("b.x1"), per_unit))).withColumn("cy", F.explode(covered(c("b.y0"), c("b.y1"), per_unit)))
+    every = every.select(*AREA, "level", "cx", "cy").distinct()
+    of_level = edges.join(leveled.select(*AREA, "level"), AREA)
+    met = in_cells(of_level, per_unit).select(*AREA, "cx", "cy").distinct().withColumn("met", F.lit(True))
+    rows = of_level.withColumn("cy", F.explode(covered(F.least("ay", "by"), F.greatest("ay", "by"), per_unit)))
+    rows = rows.groupBy(*AREA, "cy").agg(F.collect_list(F.struct("component", "ring", "is_inner", "ax", "ay", "bx", "by")).alias("edges"))
+    cells = every.join(met, [*AREA, "cx", "cy"], "left").join(rows, [*AREA, "cy"])
+    right = F.filter("edges", lambda e: F.greatest(e["ax"], e["bx"]) >= c("cx") / per_unit - 2 * geo.EPS)
+    cells = cells.withColumn("edges", right)
+    inside = _covered_by(c("edges"), (c("cx") + 0.5) / per_unit, (c("cy") + 0.5) / per_unit)
+    return cells.where(c("met") | inside).select("level", "cx", "cy", *AREA, F.when(c("met"), c("edges")).alias("edges"))
 
 
 def regions_at(points: DataFrame, area_vertices: DataFrame, key: list[str]) -> DataFrame:
-    """(key, area_type, area_id) for every area that covers a point (key, lat_e7, lon_e7). Points are joined by cell; only those in cells that an edge meets are refined."""
-    edges = area_edges(area_vertices)
-    placed = projected(points.select(*dict.fromkeys([*key, "lat_e7", "lon_e7"]))).withColumn("cx", floor_cell(F.col("gx"), CELLS)).withColumn("cy", floor_cell(F.col("gy"), CELLS))
-    met = placed.join(cover_cells(edges), ["cx", "cy"])
-    sure = met.where("sure").select(*key, *AREA)
-    return sure.unionByName(refine(met.where("not sure").select(*key, "gx", "gy", *AREA), edges, key).select(*key, *AREA)).distinct()
+    """(key, area_type, area_id) for every area that covers a point (key, lat_e7, lon_e7). Points are joined by cell; those in cells that an edge meets are decided by the cell's edges. A key has one point."""
+    cells = settled(cover_cells(area_edges(area_vertices)))
+    held = cells.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("edges"), F.lit(0))).alias("e")).collect()  # at most some 20 levels
+    placed = settled(projected(points.select(*dict.fromkeys([*key, "lat_e7", "lon_e7"])).distinct()).select(*dict.fromkeys([*key, "gx", "gy"])))
+    out = None
+    for r in sorted(held, key=lambda r: r["level"]):
+        per_unit = 2.0 ** r["level"]
+        own = cells.where(F.col("level") == r["level"]).drop("level")
+        own = F.broadcast(own) if r["n"] <= SMALL and r["e"] <= SMALL else own.hint("merge")
+        met = placed.withColumn("cx", floor_cell(F.col("gx"), per_unit)).withColumn("cy", floor_cell(F.col("gy"), per_unit)).join(own, ["cx", "cy"])
+        met = met.where(F.col("edges").isNull() | _covered_by(F.col("edges"), F.col("gx"), F.col("gy"))).select(*key, *AREA)
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        out = placed.join(cells, F.lit(False)).select(*key, *AREA)
+    return out
 
 
 def covers(pairs: DataFrame, area_vertices: DataFrame, key: list[str]) -> DataFrame:

@@ -97,6 +97,17 @@ def test_holes_parts_and_boundaries(spark):
     assert {(r.query_id, r.area_id) for r in regions.covers(pairs, vertices, ["query_id"]).where("covers").collect()} == {p for p in found if p[1] == 1}
 
 
+def test_cells_fit_the_areas(spark):
+    corners = [c for i in range(400) for c in _square(i, 50 + i // 20 * 0.003, 10 + i % 20 * 0.003, 0.001)] + _square(1000, 50, 10, 1)
+    vertices = spark.createDataFrame(corners, AREA_SCHEMA)
+    cells = regions.cover_cells(regions.area_edges(vertices)).where("area_id < 1000").groupBy("cx", "cy").count()
+    assert max(r["count"] for r in cells.collect()) <= 4
+    points = [(i * 10 + j, 50 + i // 20 * 0.003 + d, 10 + i % 20 * 0.003) for i in range(400) for j, d in enumerate((0, 0.0009, 0.0015))]
+    q = spark.createDataFrame([(i, round(a * E7), round(b * E7)) for i, a, b in points] * 2, "query_id long, lat_e7 long, lon_e7 long")
+    found = sorted((r.query_id, r.area_id) for r in regions.regions_at(q, vertices, ["query_id"]).collect())
+    assert found == sorted([(i, 1000) for i, _, _ in points] + [(i, i // 10) for i, _, _ in points if i % 10 < 2])
+
+
 def test_a_street_across_borders(spark):
     corners = spark.createDataFrame(_square(1, 50, 9, 0.5) + _square(2, 50, 10, 0.5) + _square(3, 55, 10, 0.1), AREA_SCHEMA)
     street = spark.createDataFrame([(7, 0, 50 * E7, 8 * E7), (7, 1, 50 * E7, 10 * E7)], "id long, pos int, lat_e7 long, lon_e7 long")
