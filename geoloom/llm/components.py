@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, stored
 
+#: Links that the driver joins by itself, at most; more take rounds over the executors.
+FEW_LINKS = 100_000
 #: A bound on rounds, far beyond the logarithm of any table's size; reaching it is an error, not a result.
 ROUNDS = 200
 
 
+def _joined(links: pa.Table) -> tuple[list, list]:
+    """The nodes of links (a, b) and the least node of each one's component."""
+    over: dict = {}
+
+    def top(node):
+        while (up := over.setdefault(node, node)) != node:
+            over[node] = node = over[up]
+        return node
+
+    for a, b in zip(*(c.to_pylist() for c in links.columns), strict=True):
+        a, b = top(a), top(b)
+        over[max(a, b)] = min(a, b)
+    return list(over), [top(node) for node in over]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b). Returns (node, component) for every node of a link; component is the least node that can be reached.
 
-    Each round, a node takes the least label among its own and its neighbours', then its label's
+    Up to FEW_LINKS links are joined in the driver. Of more, each round, a node takes the least label among its own and its neighbours', then its label's
     label; labels only fall, and when none fell, all of a component's are its least node. Tables are
     joined by shuffles, which Spark splits where one node has most links, and each round's labels
-    are written, so lineage stays short. Nothing is collected but the number of changes.
+    are written, so lineage stays short; nothing is collected but the number of changes.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "links")
+    once = stored(links.select("a", "b").where("a <> b"), "links")
+    if once.count() <= FEW_LINKS:
+        few = once.toArrow()
+        kind = few.schema.field("a").type
+        labels = pa.table({name: pa.array(of, kind) for name, of in zip(("node", "component"), _joined(few), strict=True)})
+        discard(once)
+        return stored(links.sparkSession.createDataFrame(labels), "labels")
+    both = stored(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    discard(once)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component"), F.lit(True).alias("changed")), "labels")
     for _ in range(ROUNDS):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

@@ -40,6 +40,8 @@ HUB_ROUNDS, FEW, GAIN = 4, 4, 0.6
 SLOTS = 16
 #: Length buckets of candidate lists for each factor of 100 / percent.
 FINE = 4
+#: Shingles that a posting has with it, the first of its document's open ones: a pair that shares an earlier one is met there.
+EARLY = 12
 
 
 def _sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -297,11 +299,13 @@ class _Listing:
     A longer document goes to the length buckets of all shorter ones that its place in the list lets
     it link with, a shorter one to its own bucket if its place lets it link with any longer one. In
     each list's bucket the shorter documents of one component, that with most of them, are kept
-    apart, as the longer ones of that component need none of them.
+    apart, as the longer ones of that component need none of them. Shingles have one order, so
+    a pair that links meets in the list of the first that it shares; in later ones it is passed over
+    where one of the first EARLY shingles of either document proves that it shares an earlier one.
     """
 
     def __init__(self, lists: DataFrame, percent: int):
-        self.percent = percent
+        self.percent, self.lists = percent, lists
         step = float(np.log(100.0 / percent)) / FINE
         bucket = lambda x: F.floor(F.log(x.cast("double")) / step).cast("int")
         reach = F.expr(f"((n - pos) * {100 + percent}L) div {percent}L - n")
@@ -317,14 +321,23 @@ class _Listing:
         self.short = short.join(counts.select("token", "bucket", "main"), ["token", "bucket"]).withColumn("side", F.col("component") == F.col("main")).drop("main")
         self.meetings = self.needed.agg(F.coalesce(F.sum(F.when(F.col("of_main"), F.col("in_all") - F.col("in_main")).otherwise(F.col("in_all"))), F.lit(0))).first()[0]
 
-    def pairs(self, prefix: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb, shared) whose prefixes (k, level, token) share as many shingles as the lesser level asks for."""
+    def met(self) -> DataFrame:
+        """A shorter (ks, ns) and a longer document (kt, nt) of different components for each list that they may meet in: one, unless they share none of their first EARLY shingles."""
         sides = F.when(F.col("of_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
-        long = self.needed.select("token", "bucket", F.explode(sides).alias("side"), *_side(self.needed, "t"))
-        short = self.short.select("token", "bucket", "side", *_side(self.short, "s"))
+        early = self.lists.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_all"))
+        early = early.select("k", F.transform(F.slice("_all", 1, EARLY), lambda x: x["token"]).alias("_first"))
+        place = F.array_position("_first", F.col("token")).cast("int")
+        before = F.when(place > 0, F.slice("_first", F.lit(1), place - 1)).otherwise(F.col("_first"))
+        short, long = (rows.join(early, "k").withColumn("early", before).drop("_first") for rows in (self.short, self.needed))
+        long = long.select("token", "bucket", F.explode(sides).alias("side"), *_side(long, "t"), F.col("early").alias("et"))
+        short = short.select("token", "bucket", "side", *_side(short, "s"), F.col("early").alias("es"))
         once = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("ks") < F.col("kt")))
-        met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent))
-        both = met.select("ks", "ns", "kt", "nt").distinct()
+        met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent) & ~F.arrays_overlap("es", "et"))
+        return met.select("ks", "ns", "kt", "nt")
+
+    def pairs(self, prefix: DataFrame) -> DataFrame:
+        """Pairs (a, na, b, nb, shared) whose prefixes (k, level, token) share as many shingles as the lesser level asks for."""
+        both = self.met().distinct()
         for s in "st":
             both = both.join(prefix.select(F.col("k").alias(f"k{s}"), F.col("level").alias(f"l{s}"), F.col("token").alias(f"x{s}")), f"k{s}")
         shared = both.withColumn("shared", F.size(F.array_intersect("xs", "xt"))).where("shared >= least(ls, lt)")

@@ -30,6 +30,20 @@ def test_components(spark):
     assert found == {n: union.find(n) for n in union if n != 5}
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_few_links_take_no_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few, raising=False)
+    if few:
+        monkeypatch.setattr(components, "ROUNDS", 0)
+    links = [(7, 7), (90, 80)] + [(1 << 62, 100 + i) for i in range(40)] + [(-3, 140), (-3, 130)] + [(200 + i, 201 + i) for i in range(50)]
+    union = Union()
+    for a, b in links:
+        union.join(a, b)
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in found.collect()} == {n: union.find(n) for n in union if n != 7}
+    assert components.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
 def _shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group(0).lower(), text or ""))
     if len(words) < 5:
@@ -81,6 +95,15 @@ def test_rows_that_share_an_id_are_one_node(spark, turned):
     assert found == sorted(want, key=str)
 
 
+def test_a_pair_is_met_once(spark):
+    """Documents that share all of a long prefix meet in the list of its first shingle only."""
+    rows = [(token, k, 100, pos, k) for k in range(30) for pos, token in enumerate(range(500, 520))]
+    rows += [(900 + k, k, 100, 20, k) for k in range(30)]
+    lists = spark.createDataFrame(rows, "token long, k long, n long, pos long, component long")
+    met = [(r.ks, r.kt) for r in ngramjoin._Listing(lists, 80).met().collect()]
+    assert sorted(met) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 def test_prefix_bounds_hold():
     rng = np.random.default_rng(0)
     for n in range(1, 60):
