@@ -40,7 +40,10 @@ class Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            if piece.isascii() and piece.isprintable():
+                letters = piece.replace(" ", self.letters[32])
+            else:
+                letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT:
@@ -128,8 +131,22 @@ def _plan(windows: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
     return rows
 
 
+#: Bytes of text whose ids are made before they are handed on, about, so that their bytes have offsets of 32 bits.
+HANDED_ON = 1 << 28
+
+
+def _bounded(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with at most HANDED_ON bytes in the column, or of one row."""
+    half = batch.num_rows // 2
+    if half and batch.column(column).nbytes > HANDED_ON:
+        yield from _bounded(batch.slice(0, half), column)
+        yield from _bounded(batch.slice(half), column)
+    else:
+        yield batch
+
+
 def tokenized(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """For every row: part (the task's number), doc_id, doc_tokens (with the end), full (whole windows), rest, the ids in cuts of window, and how many whole windows and how many rests of this length the task has had before it.
+    """For every row: part (the task's number), doc_id, doc_tokens (with the end), full (whole windows), rest, the ids in cuts of window, as little-endian 32-bit numbers, and how many whole windows and how many rests of this length the task has had before it.
 
     What a task counts is only right together with the rows of the same attempt, so store the result before use.
     """
@@ -137,7 +154,7 @@ def tokenized(docs: DataFrame, path: str, window: int, end_id: int, id_col: str,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = ids_of(path), array("I", [end_id]).tobytes()
         fulls, rests = 0, [0] * window
-        for batch in batches:
+        for batch in (part for whole in batches for part in _bounded(whole, 2)):
             datas, sizes, inner, outer, at = [], [], [0], [0], 0
             before, ranks = [], []
             for text in batch.column(2):
@@ -153,30 +170,36 @@ def tokenized(docs: DataFrame, path: str, window: int, end_id: int, id_col: str,
                 ranks.append(rests[n % window])
                 fulls += n // window
                 rests[n % window] += 1
-            values = pa.array(np.frombuffer(b"".join(datas), dtype=np.int32))
-            cuts = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), values))
+            ends = np.array(inner, dtype=np.int64) * 4
+            cut_ids = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(datas))])
+            cuts = pa.ListArray.from_arrays(pa.array(outer, pa.int32()), cut_ids)
             size = np.array(sizes, dtype=np.int64)
             columns = [size, size // window, size % window, np.array(before, dtype=np.int64), np.array(ranks, dtype=np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), cuts], names=["part", "doc_id", "doc_tokens", "full", "rest", "before", "rank", "cuts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, f"part int, doc_id {kind}, doc_tokens long, full long, rest long, before long, rank long, cuts array<array<int>>")
+    return rows.mapInArrow(cut, f"part int, doc_id {kind}, doc_tokens long, full long, rest long, before long, rank long, cuts array<binary>")
 
 
 def with_checksum(pieces: DataFrame) -> DataFrame:
-    """pieces and, after ids, ids_crc32: the CRC of ids as little-endian 32-bit numbers."""
+    """pieces, their ids as numbers instead of little-endian bytes of 32 bits each, and, after ids, ids_crc32: the CRC of these bytes."""
     at = pieces.columns.index("ids") + 1
     columns = [*pieces.columns[:at], "ids_crc32", *pieces.columns[at:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at - 1)
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            crcs = pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], crcs, *batch.columns[at:]], names=columns)
-
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema} | {"ids_crc32": "long"}
+            if not batch.num_rows:
+                continue
+            cut = batch.column(at - 1)
+            _, offsets, data = cut.buffers()
+            ends = np.frombuffer(offsets, dtype=np.int32)[cut.offset : cut.offset + len(cut) + 1]
+            view = memoryview(data)
+            crcs = pa.array([zlib.crc32(view[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+            ids = pa.ListArray.from_arrays(pa.array(ends // 4), pa.Array.from_buffers(pa.int32(), int(ends[-1]) // 4, [None, data]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at - 1], ids, crcs, *batch.columns[at:]], names=columns)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema} | {"ids": "array<int>", "ids_crc32": "long"}
     return pieces.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
@@ -215,7 +238,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
     def piece(ids: Column, i: Column) -> Column:
         whole = i < F.col("full")
         return F.struct(
-            (i.cast("long") * window).alias("start"), F.size(ids).cast("long").alias("length"), ids.alias("ids"),
+            (i.cast("long") * window).alias("start"), (F.octet_length(ids) / 4).cast("long").alias("length"), ids.alias("ids"),
             F.when(whole, F.lit(shared).cast("long") + F.col("_fulls") + F.col("before") + i).otherwise(F.col("_rest_sequence")).alias("sequence_id"),
             F.when(whole, F.lit(0).cast("long")).otherwise(F.col("_rest_offset")).alias("offset"),
         )

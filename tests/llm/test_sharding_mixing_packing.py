@@ -3,6 +3,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,3 +143,19 @@ def test_packed_ids_are_the_documents(spark):
         assert len(r.ids) == r.length and zlib.crc32(array("I", r.ids).tobytes()) == r.ids_crc32
         found[r.sequence_id].append((r.offset, r.length))
     assert sorted(found) == list(range(len(found))) and all(sum(n for _, n in pieces) <= 64 for pieces in found.values())
+
+
+def test_ids_are_stored_as_bytes(spark, monkeypatch):
+    """Cuts are bytes, which Spark copies as a whole, however batches are cut."""
+    texts = ["a b c " * i for i in range(20)] + [None, "漢字 don't <|endoftext|>\x1c x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.tokenized(docs, PATH, 16, 0, "doc_id", "text")
+    assert rows.schema["cuts"].dataType.simpleString() == "array<binary>"
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 9] * 7)], names=["text"])
+    monkeypatch.setattr(packing, "HANDED_ON", 40)
+    parts = list(packing._bounded(batch, 0))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    tokenizer = Tokenizer.from_file(PATH)
+    for r in rows.collect():
+        want = [*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        assert array("I", b"".join(r.cuts)).tolist() == want and all(len(c) == 64 for c in r.cuts[:-1])
