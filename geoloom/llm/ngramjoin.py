@@ -42,6 +42,8 @@ SLOTS = 16
 FINE = 4
 #: Shingles that a posting has with it, the first of its document's open ones: a pair that shares an earlier one is met there.
 EARLY = 12
+#: Bits of a document's sketch. A set of some hundred shingles is told from one that is less alike than asked for; of much larger ones more pairs are counted.
+SKETCH = 512
 
 
 def _sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -186,15 +188,21 @@ def _digest(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of how many shingles fall on each of SKETCH bits, as longs."""
+    odd = np.bincount((mix(s) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> DataFrame:
-    """Of every row of docs (doc_id, th, text): n, the number k of its set (null if empty), its multiplicity, and what of its prefix, rarest first, other sets may have: shingles, their places, and which are its picks."""
+    """Of every row of docs (doc_id, th, text): n, the number k of its set (null if empty), its multiplicity, and what of its prefix, rarest first, other sets may have: shingles, their places, and which are its picks; and its sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         length = np.array([0.0, 2.0, *CLASSES[1:]])  # of lists, by class
         for batch in batches:
-            n, k, level, tokens, places, picks = [], [], [], [], [], []
+            n, k, level, tokens, places, picks, sketches = [], [], [], [], [], [], []
             for _, _, words in chunks(batch.column(2), SPACED):
                 for s in _sets(words, size):
                     n.append(len(s))
@@ -210,11 +218,13 @@ def prefixes(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> Dat
                     tokens.append(token.view(np.int64))
                     places.append(place.astype(np.int32))
                     picks.append(pick)
+                    sketches.append(_sketch(s))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in tokens])]), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], t)) for x, t in ((tokens, pa.int64()), (places, pa.int32()), (picks, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(level, pa.int32()), *lists], names=["doc_id", "th", "n", "k", "level", "token", "pos", "pick"])
+            lists.append(pa.array(sketches, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(level, pa.int32()), *lists], names=["doc_id", "th", "n", "k", "level", "token", "pos", "pick", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, n long, k long, level int, token array<long>, pos array<int>, pick array<boolean>")
+    return docs.mapInArrow(run, f"doc_id {kind}, th long, n long, k long, level int, token array<long>, pos array<int>, pick array<boolean>, sketch array<long>")
 
 
 def _shared_shingles(docs: DataFrame, wanted: DataFrame, shared: Broadcast, size: int) -> DataFrame:
@@ -263,12 +273,18 @@ def _can_link(s: str, t: str, percent: int) -> Column:
     return F.expr(f"100L * n{s} >= {percent}L * n{t} and least(n{s} - p{s}, n{t} - p{t}) >= {both}")
 
 
+def _alike(s: str, t: str, percent: int) -> Column:
+    """Whether documents' sketches let them link, as no sketches do: a bit that differs stands for a shingle that only one of them has."""
+    differ = sum((F.bit_count(F.col(f"w{s}")[i].bitwiseXOR(F.col(f"w{t}")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col(f"w{s}")[0].bitwiseXOR(F.col(f"w{t}")[0])))
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(f"n{s}") + F.col(f"n{t}")), F.lit(True))
+
+
 def _side(rows: DataFrame, s: str) -> list[Column]:
     return [F.col("k").alias(f"k{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("component").alias(f"c{s}")]
 
 
 def _stars(picks: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) of a document and hubs in its lists of another component; of the hubs of a slot each document keeps that which it shares most lists with.
+    """Pairs (a, na, b, nb) of a document and hubs in its lists of another component whose sketches let them link; of the hubs of a slot each document keeps that which it shares most lists with.
 
     Each list and each two neighbouring length classes have a hub: in the first round the document
     with the least share of rarer shingles, as the source of edited copies has, later one in each of
@@ -281,9 +297,9 @@ def _stars(picks: DataFrame, turn: int, percent: int) -> DataFrame:
     drawn = F.xxhash64("k", F.lit(turn))
     first = F.struct(F.floor(20 * rarer).alias("rarer"), drawn.alias("drawn")) if turn else F.struct(rarer.alias("rarer"))
     slot = F.pmod(F.shiftright(drawn, 8), F.lit(SLOTS)).cast("int") if turn else F.lit(0)
-    hubs = wide.groupBy("token", "window", slot.alias("slot")).agg(F.min(F.struct(first.alias("first"), *_side(wide, "h"))).alias("hub"))
-    met = wide.select("token", "window", *_side(wide, "d")).join(hubs.select("token", "window", "slot", "hub.*"), ["token", "window"]).where("cd <> ch")
-    met = met.where(F.when(F.col("nd") <= F.col("nh"), _can_link("d", "h", percent)).otherwise(_can_link("h", "d", percent)))
+    hubs = wide.groupBy("token", "window", slot.alias("slot")).agg(F.min(F.struct(first.alias("first"), *_side(wide, "h"), F.col("sketch").alias("wh"))).alias("hub"))
+    met = wide.select("token", "window", *_side(wide, "d"), F.col("sketch").alias("wd")).join(hubs.select("token", "window", "slot", "hub.*"), ["token", "window"]).where("cd <> ch")
+    met = met.where(F.when(F.col("nd") <= F.col("nh"), _can_link("d", "h", percent)).otherwise(_can_link("h", "d", percent)) & _alike("d", "h", percent))
     best = met.groupBy("kd", "nd", "kh", "nh", "slot").agg(F.count("*").alias("lists")).groupBy("kd", "nd", "slot").agg(F.max(F.struct("lists", "kh", "nh")).alias("best"))
     return best.select(*_ordered("kd", "nd", "best.kh", "best.nh")).distinct()
 
@@ -301,7 +317,8 @@ class _Listing:
     each list's bucket the shorter documents of one component, that with most of them, are kept
     apart, as the longer ones of that component need none of them. Shingles have one order, so
     a pair that links meets in the list of the first that it shares; in later ones it is passed over
-    where one of the first EARLY shingles of either document proves that it shares an earlier one.
+    where one of the first EARLY shingles of either document proves that it shares an earlier one,
+    and everywhere if the documents' sketches prove that they differ in too many shingles.
     """
 
     def __init__(self, lists: DataFrame, percent: int):
@@ -321,23 +338,24 @@ class _Listing:
         self.short = short.join(counts.select("token", "bucket", "main"), ["token", "bucket"]).withColumn("side", F.col("component") == F.col("main")).drop("main")
         self.meetings = self.needed.agg(F.coalesce(F.sum(F.when(F.col("of_main"), F.col("in_all") - F.col("in_main")).otherwise(F.col("in_all"))), F.lit(0))).first()[0]
 
-    def met(self) -> DataFrame:
-        """A shorter (ks, ns) and a longer document (kt, nt) of different components for each list that they may meet in: one, unless they share none of their first EARLY shingles."""
+    def met(self, sketches: DataFrame | None = None) -> DataFrame:
+        """A shorter (ks, ns) and a longer document (kt, nt) of different components, whose sketches (k, sketch), if given, let them link, for each list that they may meet in: one, unless they share none of their first EARLY shingles."""
         sides = F.when(F.col("of_main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         early = self.lists.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_all"))
         early = early.select("k", F.transform(F.slice("_all", 1, EARLY), lambda x: x["token"]).alias("_first"))
+        early = early.withColumn("sketch", F.lit(None).cast("array<long>")) if sketches is None else early.join(sketches, "k")
         place = F.array_position("_first", F.col("token")).cast("int")
         before = F.when(place > 0, F.slice("_first", F.lit(1), place - 1)).otherwise(F.col("_first"))
         short, long = (rows.join(early, "k").withColumn("early", before).drop("_first") for rows in (self.short, self.needed))
-        long = long.select("token", "bucket", F.explode(sides).alias("side"), *_side(long, "t"), F.col("early").alias("et"))
-        short = short.select("token", "bucket", "side", *_side(short, "s"), F.col("early").alias("es"))
+        long = long.select("token", "bucket", F.explode(sides).alias("side"), *_side(long, "t"), F.col("early").alias("et"), F.col("sketch").alias("wt"))
+        short = short.select("token", "bucket", "side", *_side(short, "s"), F.col("early").alias("es"), F.col("sketch").alias("ws"))
         once = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("ks") < F.col("kt")))
-        met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent) & ~F.arrays_overlap("es", "et"))
+        met = short.join(long, ["token", "bucket", "side"]).where(once & (F.col("cs") != F.col("ct")) & _can_link("s", "t", self.percent) & ~F.arrays_overlap("es", "et") & _alike("s", "t", self.percent))
         return met.select("ks", "ns", "kt", "nt")
 
     def pairs(self, prefix: DataFrame) -> DataFrame:
-        """Pairs (a, na, b, nb, shared) whose prefixes (k, level, token) share as many shingles as the lesser level asks for."""
-        both = self.met().distinct()
+        """Pairs (a, na, b, nb, shared) whose prefixes (k, level, token, sketch) share as many shingles as the lesser level asks for."""
+        both = self.met(prefix.select("k", "sketch")).distinct()
         for s in "st":
             both = both.join(prefix.select(F.col("k").alias(f"k{s}"), F.col("level").alias(f"l{s}"), F.col("token").alias(f"x{s}")), f"k{s}")
         shared = both.withColumn("shared", F.size(F.array_intersect("xs", "xt"))).where("shared >= least(ls, lt)")
@@ -374,7 +392,7 @@ def _verified(open_lists: DataFrame, prefix: DataFrame, sets: DataFrame, links:
                 break
             before = listing.meetings
             discard(listing.needed)
-        verify(_stars(lists.where("pick"), turn, percent))
+        verify(_stars(lists.where("pick").join(prefix.select("k", "sketch"), "k"), turn, percent))
         discard(lists)
     pairs = stored(listing.pairs(prefix), "shingle-candidates")
     discard(lists)
@@ -399,7 +417,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     Shingles are ordered by classes of their frequencies over all documents, then by hash. A document
     asks for as many shared prefix shingles as its estimated candidate cost advises and has a prefix
     that much longer; documents in a link share at least the lesser number of the two, the first at a
-    place that leaves enough of either for the rest (_can_link). Shingles of one document only are proven
+    place that leaves enough of either for the rest (_can_link), and their sketches differ in no more bits
+    than their sets may in shingles (_alike), which is told where they meet. Shingles of one document only are proven
     so by a filter and enter no list. Since components are asked for, candidates of one component
     need no verification: documents first link to a hub of their lists, and then every candidate
     pair that is still in two components is verified. No list is gathered in one row or in memory;
@@ -411,7 +430,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         common = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
         rows = stored(prefixes(docs, common, size, percent), "shingle-rows")
         result = rows.select("doc_id", F.col("n").alias("n_shingles"), "k", "th")
-        classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick")]), "shingle-classes")
+        classes = stored(rows.where("k is not null").groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "level", "th", "token", "pos", "pick", "sketch")]), "shingle-classes")
         lists = classes.select(F.inline(F.arrays_zip("token", "pos", "pick")), "k", "n", "th").withColumn("pos", F.col("pos").cast("long"))
         lists = lists.where(F.expr(f"n - pos >= ({percent}L * n + 99L) div 100L"))  # the first shared shingle is one of these
         open_lists = stored(_mixed(lists.withColumn("component", F.col("k"))).drop("component"), "shingle-lists")

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,39 @@ def test_a_pair_is_met_once(spark):
     assert sorted(met) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+def test_sketches_tell_who_cannot_link():
+    """Where sketches differ, so do the sets, in as many shingles at least."""
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 80, 700, 5000):
+        s = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+        for same in (0, n // 2, n - 1, n):
+            a, b = s[:n], np.concatenate([s[:same], s[n : 2 * n - same]])
+            assert np.unpackbits((ngramjoin._sketch(a) ^ ngramjoin._sketch(b)).view(np.uint8)).sum() <= 2 * (n - same)
+
+
+def test_copies_too_far_apart_are_not_paired(spark):
+    """Of a text's copies that all differ from each other in too many words, none is paired, though all share most shingles."""
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(160)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rnd.sample(range(160), 6):
+            words[at] = "other"
+        texts.append(" ".join(words))
+    rows, sketches = [], []
+    for k, s in enumerate(s for _, _, words in ngramjoin.chunks(pa.array(texts), ngramjoin.SPACED) for s in ngramjoin._sets(words, 5)):
+        rows += [(int(token), k, len(s), pos, k) for pos, token in enumerate(np.sort(s).view(np.int64)[:40])]
+        sketches.append((k, ngramjoin._sketch(s).tolist()))
+    listing = ngramjoin._Listing(spark.createDataFrame(rows, "token long, k long, n long, pos long, component long"), 80)
+    kept = {frozenset((r.ks, r.kt)) for r in listing.met(spark.createDataFrame(sketches, "k long, sketch array<long>")).collect()}
+    met = {frozenset((r.ks, r.kt)) for r in listing.met().collect()}
+    shingled = [_shingles(t) for t in texts]
+    links = {frozenset((a, b)) for a in range(60) for b in range(a) if 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])}
+    assert met & links <= kept <= met
+    assert len(kept) - len(kept & links) < 0.2 * (len(met) - len(met & links))
+
+
 def test_prefix_bounds_hold():
     rng = np.random.default_rng(0)
     for n in range(1, 60):
