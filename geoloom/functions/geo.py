@@ -118,6 +118,14 @@ def segments_meet(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
     return ~apart & (proper | on_segment(*a, *b, *c) | on_segment(*a, *b, *d) | on_segment(*c, *d, *a) | on_segment(*c, *d, *b))
 
 
+def segments_cross(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[Column, Column]:
+    """Whether a-b and c-d, in boxes that overlap, cross properly, and whether they may touch at an end: where neither is so, segments_meet is false."""
+    x, y, z, w = orient(*a, *b, *c), orient(*a, *b, *d), orient(*c, *d, *a), orient(*c, *d, *b)
+    slack = lambda u, v: number(2 * EPS) * (F.abs(v[0] - u[0]) + F.abs(v[1] - u[1]))  # noqa: E731  twice a bound on what on_segment allows
+    near = (F.least(F.abs(x), F.abs(y)) <= slack(a, b)) | (F.least(F.abs(z), F.abs(w)) <= slack(c, d))
+    return ((x < 0) != (y < 0)) & ((z < 0) != (w < 0)), near
+
+
 def with_nearest_on_arc(df: DataFrame, q: str = "q", u: str = "u", v: str = "v", out: str = "n") -> DataFrame:
     """Adds the point of the minor arc u-v that is closest to q: the foot of q on its plane if that lies between, else the closer end.
 

@@ -15,6 +15,8 @@ AREA = ["area_type", "area_id"]
 FINEST_COVER = 24
 #: Cells of a level, and edges in them, that go to the points, at most.
 SMALL = 20_000
+#: Rows of edges in cells that go to the segments that may meet them, at most.
+FEW_MEETING = 1_500_000
 
 
 def area_ordinals(areas: DataFrame) -> DataFrame:
@@ -105,15 +107,27 @@ def covers(pairs: DataFrame, area_vertices: DataFrame, key: list[str]) -> DataFr
 
 
 def _meeting(paths: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """Paths' segments (key, a, b) that meet area edges, by cells as large as the median area edge; boxes are compared first."""
+    """Paths' segments (key, a, b) that meet area edges, by cells as large as the median area edge; boxes are compared first.
+
+    Area edges go to the segments if they have few rows in cells. Most pairs cross or are apart, which
+    four signs tell; only the others are measured, in a step of its own, as its code is long.
+    """
     per_unit = meeting_cells(edges)
     c = F.col
-    left = in_cells(paths, per_unit).select(*key, "cx", "cy", *[c(v).alias(f"p{v}") for v in ("ax", "ay", "bx", "by")])
-    met = left.join(in_cells(edges, per_unit).select(*AREA, "cx", "cy", "ax", "ay", "bx", "by"), ["cx", "cy"])
+    cell = (c("cx") * F.lit(1 << 32) + c("cy")).alias("cell")
+    ends = ("ax", "ay", "bx", "by")
+    given = settled(in_cells(edges, per_unit).select(*AREA, cell, *ends))
+    given = F.broadcast(given) if given.count() <= FEW_MEETING else given.hint("merge")
+    met = in_cells(paths, per_unit).select(*key, cell, *[c(v).alias(f"p{v}") for v in ends]).join(given, "cell")
     for v in "xy":
         met = met.where((F.greatest(f"pa{v}", f"pb{v}") >= F.least(f"a{v}", f"b{v}")) & (F.least(f"pa{v}", f"pb{v}") <= F.greatest(f"a{v}", f"b{v}")))
-    hit = geo.segments_meet((c("pax"), c("pay")), (c("pbx"), c("pby")), (c("ax"), c("ay")), (c("bx"), c("by")))
-    return met.where(hit).select(*key, *AREA).distinct()
+    p, q, a, b = ((c(f"{v}x"), c(f"{v}y")) for v in ("pa", "pb", "a", "b"))
+    proper, near = geo.segments_cross(p, q, a, b)
+    met = met.where(proper | near)
+    # A number of each row keeps the next condition out of the join's.
+    met = met.select(*key, *AREA, *[f"p{v}" for v in ends], *ends, proper.alias("proper"), F.monotonically_increasing_id().alias("_row"))
+    touches = F.exists(F.array(F.col("_row")), lambda r: (r >= 0) & geo.segments_meet(p, q, a, b))
+    return met.where(F.col("proper") | touches).select(*key, *AREA).distinct()
 
 
 def street_regions(street_vertices: DataFrame, area_vertices: DataFrame) -> DataFrame:

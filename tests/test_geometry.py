@@ -158,6 +158,24 @@ def test_a_street_across_borders(spark):
     assert {(r.own_id, r.area_id) for r in regions.area_overlap(corners).collect()} == {(1, 2), (2, 1)}
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_segments_meet_edges_however_they_are_joined(spark, monkeypatch, few):
+    """Crossing, touching, lying along, ending short by more and by less than the tolerance, and of no length: as segments_meet says it of every pair."""
+    monkeypatch.setattr(regions, "FEW_MEETING", few)
+    rnd = random.Random(5)
+    edges = [(1, i, *(rnd.randint(0, 6) / 1000 for _ in range(4))) for i in range(60)]
+    paths = [(i, *(rnd.randint(0, 6) / 1000 + rnd.choice([0, 0, 1e-13, 1e-9]) for _ in range(4))) for i in range(60)] + [(100 + i, 0.001 * i, 0.002, 0.001 * i, 0.002) for i in range(7)]
+    e = spark.createDataFrame(edges, "area_type int, area_id long, ax double, ay double, bx double, by double")
+    p = spark.createDataFrame(paths, "street_id long, ax double, ay double, bx double, by double")
+    every = p.select("street_id", *[F.col(v).alias(f"p{v}") for v in ("ax", "ay", "bx", "by")]).crossJoin(e)
+    at = lambda v: (F.col(f"{v}x"), F.col(f"{v}y"))
+    want = sorted((r.street_id, r.area_id) for r in every.where(geo.segments_meet(at("pa"), at("pb"), at("a"), at("b"))).collect())
+    found = regions._meeting(p, e, ["street_id"])
+    assert sorted((r.street_id, r.area_id) for r in found.collect()) == want
+    assert 200 < len(want) < 60 * 67
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (few > 0)
+
+
 def test_far_points_are_refused(spark):
     corners = spark.createDataFrame(_square(1, 50, 9, 0.5), AREA_SCHEMA)
     far = spark.createDataFrame([(1, -50 * E7, -170 * E7)], "query_id long, lat_e7 long, lon_e7 long")
