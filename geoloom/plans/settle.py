@@ -21,13 +21,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark deletes a plan's shuffle files at its end, not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back. The files go when the driver ends."""
+    """Writes df as Parquet to the shared folder and reads it back. The files go when the driver ends or `discard` is called, the write's shuffle files at once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geoloom/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     atexit.register(_discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._geoloom_path = path  # noqa: SLF001
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what settled() wrote. Only for tables that no later plan reads."""
+    _discard(df.sparkSession, df._geoloom_path)  # noqa: SLF001
 
 
 def _discard(spark: SparkSession, path: str) -> None:

@@ -8,6 +8,7 @@ from geoloom.functions import geo
 from geoloom.functions import text as tx
 from geoloom.operators import describe, extract, nearest, regions, viewport
 from geoloom.operators.viewport import Box
+from geoloom.plans.settle import discard, settled
 
 E7 = 10_000_000
 
@@ -123,6 +124,30 @@ def test_far_queries_meet_few_edges(spark):
     assert _joined_rows(found) < 30 * len(asked)  # 60 far queries and 3000 edges make 180,000 pairs
 
 
+def test_slanting_edges_meet_queries_near_them_only(spark):
+    """The box of a long slanting edge holds many queries that are far from the edge itself."""
+    starts = _points(300, 5, spread=0.3)
+    vertices = [(i, p, la + p * 1000000, lo + p * 1500000) for i, la, lo in starts for p in (0, 1)]
+    asked = _points(200, 6, spread=0.3)
+    q = spark.createDataFrame(asked, "query_id long, lat_e7 long, lon_e7 long")
+    found = nearest.nearest_street(q, spark.createDataFrame(vertices, "id long, pos int, lat_e7 long, lon_e7 long"))
+    got = {r.query_id: r.distance_m for r in found.collect()}
+    units = [_unit(la, lo) for _, _, la, lo in vertices]
+    for i, la, lo in asked:
+        assert got[i] <= min(_metres(_unit(la, lo), u) for u in units) + 1e-6
+    assert _joined_rows(found) < 25 * len(asked)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()  # noqa: SLF001
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = shuffles()
+    table = settled(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffles() - before
+    assert table.count() == 7
+    discard(table)
+
+
 def test_queries_in_many_cells_are_not_broadcast(spark, monkeypatch):
     """A bound on what goes to the driver counts cells, not queries."""
     monkeypatch.setattr(nearest, "FEW_ASKED", 0, raising=False)
