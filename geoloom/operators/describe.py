@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo
 from geoloom.functions import text as tx
 from geoloom.operators.regions import AREA, area_ordinals, regions_at
+from geoloom.plans.settle import settled
 
 
 def building_regions(memberships: DataFrame, areas: DataFrame) -> DataFrame:
@@ -26,8 +27,9 @@ def hit_addresses(hits: DataFrame, tables) -> DataFrame:
 
     Own tags hold first; what is missing comes from the areas that cover the hit's point, in area
     order: the first postcode, the first name of level 2 (country), 4 (state) and 8 (city; not for a
-    building with a city of its own).
+    building with a city of its own). Hits are found once, though they are read twice.
     """
+    hits = settled(hits)
     own = tables.buildings.select(F.lit("building").alias("kind"), "type_rank", "id", "street", "house_number", "postcode", "city", "state", "country")
     roads = tables.streets.select(F.lit("street").alias("kind"), F.lit(1).alias("type_rank"), "id", F.col("name").alias("street"), *[F.lit(None).cast("string").alias(c) for c in ("house_number", "postcode", "city", "state", "country")])
     tagged = hits.join(own.unionByName(roads), ["kind", "type_rank", "id"], "left")

@@ -87,12 +87,13 @@ def regions_at(points: DataFrame, area_vertices: DataFrame, key: list[str]) -> D
     cells = settled(cover_cells(area_edges(area_vertices)))
     held = cells.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("edges"), F.lit(0))).alias("e")).collect()  # at most some 20 levels
     placed = settled(projected(points.select(*dict.fromkeys([*key, "lat_e7", "lon_e7"])).distinct()).select(*dict.fromkeys([*key, "gx", "gy"])))
+    small = [r["level"] for r in held if r["n"] <= SMALL and r["e"] <= SMALL]
     out = None
-    for r in sorted(held, key=lambda r: r["level"]):
-        per_unit = 2.0 ** r["level"]
-        own = cells.where(F.col("level") == r["level"]).drop("level")
-        own = F.broadcast(own) if r["n"] <= SMALL and r["e"] <= SMALL else own.hint("merge")
-        met = placed.withColumn("cx", floor_cell(F.col("gx"), per_unit)).withColumn("cy", floor_cell(F.col("gy"), per_unit)).join(own, ["cx", "cy"])
+    for levels in filter(None, (small, *([r["level"]] for r in held if r["level"] not in small))):  # one join for all small ones keeps the plan short
+        per_unit = F.pow(F.lit(2.0), F.col("level"))
+        own = cells.where(F.col("level").isin(levels))
+        own = F.broadcast(own) if levels is small else own.hint("merge")
+        met = placed.withColumn("level", F.explode(F.lit(levels))).withColumn("cx", floor_cell(F.col("gx"), per_unit)).withColumn("cy", floor_cell(F.col("gy"), per_unit)).join(own, ["level", "cx", "cy"])
         met = met.where(F.col("edges").isNull() | _covered_by(F.col("edges"), F.col("gx"), F.col("gy"))).select(*key, *AREA)
         out = met if out is None else out.unionByName(met)
     if out is None:

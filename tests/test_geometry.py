@@ -9,6 +9,7 @@ from geoloom.functions import text as tx
 from geoloom.operators import describe, extract, nearest, regions, viewport
 from geoloom.operators.viewport import Box
 from geoloom.plans.settle import discard, settled
+from geoloom.sources.derived import Tables
 
 E7 = 10_000_000
 
@@ -201,6 +202,29 @@ def test_segments_meet_edges_however_they_are_joined(spark, monkeypatch, few):
     assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (few > 0)
 
 
+def test_hits_are_found_once_and_small_levels_share_a_join(spark):
+    """Areas of several sizes, whose few cells go to the points in one join; hits are not found anew for each reader."""
+    corners = [c for i in range(4) for c in _square(i, 49.0, 9.0, 0.01 * 5**i)]
+    vertices = spark.createDataFrame(corners, AREA_SCHEMA)
+    points = spark.createDataFrame([(1, 490000000, 90000000), (2, 490300000, 90000000)], "query_id long, lat_e7 long, lon_e7 long")
+    over = regions.regions_at(points, vertices, ["query_id"])
+    assert sorted((r.query_id, r.area_id) for r in over.collect()) == [(1, i) for i in range(4)] + [(2, i) for i in range(1, 4)]
+    assert over._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # noqa: SLF001
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        read.add(1)
+        return v
+
+    hits = points.select("query_id", F.lit(0).alias("place"), F.lit("building").alias("kind"), F.lit(1).alias("type_rank"), F.col("query_id").alias("id"), F.udf(counted, "long")("lat_e7").alias("lat_e7"), "lon_e7")
+    areas = spark.createDataFrame([(2, i, f"Area {i}", 2 + 2 * i, None) for i in range(4)], "type_rank int, id long, name string, admin_level int, postcode string")
+    buildings = spark.createDataFrame([(1, 1, "Street", "5", None, None, None, None)], "type_rank int, id long, street string, house_number string, postcode string, city string, state string, country string")
+    streets = spark.createDataFrame([], "id long, name string")
+    found = describe.hit_addresses(hits, Tables(buildings, streets, None, areas, vertices)).collect()
+    assert {r.query_id: (r.street, r.state, r.country) for r in found} == {1: ("Street", "Area 1", "Area 0"), 2: (None, "Area 1", None)}
+    assert read.value == 2
+
+
 def test_far_points_are_refused(spark):
     corners = spark.createDataFrame(_square(1, 50, 9, 0.5), AREA_SCHEMA)
     far = spark.createDataFrame([(1, -50 * E7, -170 * E7)], "query_id long, lat_e7 long, lon_e7 long")
